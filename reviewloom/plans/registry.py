@@ -1,0 +1,4 @@
+"""All queries of the collaboration-analytics operators, by name."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
