@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import decontam, near_dup
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -13,16 +14,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_hit = decontam.hit_words(F.col("spans"))
+    return got.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return got.withColumn("kept", got.doc_id == got.component_id)
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+ALNUM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op3_decontamination": rf"""
+WITH d AS (SELECT doc_id, coalesce({ALNUM_WORDS}, []) AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {ALNUM_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+w AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i:i+9])) AS win FROM b WHERE len(ws) > 0),
+k AS (SELECT DISTINCT len(win) AS size FROM w),
+p AS (SELECT doc_id, size, i, ws[i:i + size - 1] AS win FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, k)),
+h AS (SELECT p.doc_id, p.i, p.size, w.item FROM p JOIN w ON p.win = w.win),
+n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT doc_id, i, size FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: ws[i:i+3])) AS sh FROM w WHERE len(ws) > 0),

@@ -93,3 +93,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     # a repeated id gives one sample row
     got = got.groupBy("_id", "_y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     return [(r.text, r._y) for r in got.orderBy(F.xxhash64("_id"), "_id").toLocalIterator()]
+
+
+def map_texts(rows: DataFrame, text_col: str, make, out, keep: list[str] | None = None) -> DataFrame:
+    """One output row for each row: `row` (a struct of its columns, or of those in keep) and the columns `out`.
+
+    make() is called once in each task and returns a function from an Arrow array of whole texts
+    (null: empty; about a megabyte at a time) to the arrays of `out` (a StructType). Input columns travel
+    inside the struct, so their names can't clash with the output's.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from . import textvec as tv
+
+    ship(rows.sparkSession)
+    fields = [rows.schema[c] for c in (rows.columns if keep is None else keep)]
+    names = ["row", *out.fieldNames()]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            texts = tv.text_column(batch, "text")
+            for lo, hi in tv.slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *work(texts.slice(lo, hi - lo))], names)
+
+    src = rows.select(F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return src.mapInArrow(run, T.StructType([T.StructField("row", T.StructType(fields)), *out.fields]))
