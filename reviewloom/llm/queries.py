@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup
+from . import decontam, near_dup, toxicity
+from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -20,6 +21,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"), keep=lambda i: F.crc32(i.cast("string")) % 5 != 0)
+    got = toxicity.toxicity(docs, model, keep=["doc_id"])
+    return got.select("row.doc_id", (fold("row.doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return got.withColumn("kept", got.doc_id == got.component_id)
@@ -27,6 +35,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
