@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup, toxicity
+from . import decontam, mixing, near_dup, toxicity
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -28,6 +28,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", (fold("row.doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return got.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return got.withColumn("kept", got.doc_id == got.component_id)
@@ -36,6 +41,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -53,6 +59,22 @@ n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id,
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  ('0x' || md5('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:15])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS top,
+  row_number() OVER (ORDER BY source NULLS LAST) AS rank, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, row_number() OVER x AS pos, coalesce(sum(top) OVER (ORDER BY top / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (ORDER BY top / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM r WINDOW x AS (ORDER BY top / w, rank)),
+k AS (SELECT arg_min(total - before, pos) AS rest, arg_min(after, pos) AS wsum, min(pos) AS k FROM o WHERE (total - before) * w < top * after),
+t AS (SELECT source, source_size, CASE WHEN k IS NULL OR pos < k THEN top ELSE rest * w / wsum END AS target FROM o, k),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
+g AS (SELECT source, h, doc_id::VARCHAR AS id, size, sum(size) AS words FROM d GROUP BY ALL),
+c AS (SELECT g.source, g.h, g.id, g.size, sum(words) OVER (PARTITION BY g.source ORDER BY g.h, g.id, g.size ROWS UNBOUNDED PRECEDING) - words / 2.0::DOUBLE <= target - passes * source_size AND target - passes * source_size > 0 AS part
+  FROM g JOIN e ON g.source IS NOT DISTINCT FROM e.source)
+SELECT d.doc_id, d.size, e.source_size, e.target, (d.size * (passes + part::INT))::BIGINT AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h AND d.doc_id::VARCHAR IS NOT DISTINCT FROM c.id AND d.size = c.size""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: ws[i:i+3])) AS sh FROM w WHERE len(ws) > 0),
