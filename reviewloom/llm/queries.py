@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, toxicity
+from . import decontam, mixing, near_dup, sharding, toxicity
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -33,6 +33,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.sharded(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return got.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return got.withColumn("kept", got.doc_id == got.component_id)
@@ -42,6 +47,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
