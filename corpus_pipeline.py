@@ -1,8 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing, sharding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; docs needs doc_id, text and source.
+Further columns are passed on. Null and empty texts have no toxic sentence, no near-duplicate and no benchmark
+passage: they stay. An empty table gives an empty table. Each stage's result is written and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewloom.llm import decontam, mixing, near_dup, sharding, toxicity
+from reviewloom.llm.shared import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a toxicity score under 0.5; the model learns from all labelled rows of docs, within its bound."""
+    model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(docs, model).where("score < 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, that of the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8).
+
+    Of rows with one id one stays. Rows without an id can't be named and stay.
+    """
+    found = near_dup.near_duplicates(docs, width=5, percent=80)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without any window of a benchmark item."""
+    got = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return got.where(F.size("spans") == 0).select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of all sources at their target weights: rows repeat as often as they are drawn."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their shard and their place in it (columns shard and slot, or shard_ and slot_ if docs has those)."""
+    got = sharding.sharded(docs)
+    name = lambda c: c + "_" * (c in docs.columns)
+    return got.select("row.*", F.col("shard").alias(name("shard")), F.col("slot").alias(name("slot")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: The first stage scores with a trained model, which SQL can't express; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
