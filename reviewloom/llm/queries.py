@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, sharding, toxicity
+from . import decontam, html_extract, mixing, near_dup, sharding, toxicity, url_filter
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -21,6 +21,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+#: allow and block rules (verdict, host, path), and the list of canonical URLs that the Bloom filter holds
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+URL_LIST = ["spam-farm.example.org/", "free-bets.example.net/"]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame([(x,) for x in URL_LIST], "entry string")
+    got = url_filter.judged(table(spark, sf_dir, "pages"), entries, URL_RULES, keep=["page_id"])
+    return got.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"), keep=lambda i: F.crc32(i.cast("string")) % 5 != 0)
@@ -38,6 +49,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return got.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
     return got.withColumn("kept", got.doc_id == got.component_id)
@@ -45,8 +61,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
@@ -65,6 +83,14 @@ n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id,
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op5_url_filters": r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*(/[^?#]*)?', 1, 's') AS path FROM pages),
+rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+r AS (SELECT u.*, v, h || p AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, h || p) AS n
+  FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bare IN ('spam-farm.example.org', 'free-bets.example.net') OR ends_with(bare, '.spam-farm.example.org') OR ends_with(bare, '.free-bets.example.net') THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*)?\.?$', '') AS bare FROM r) WHERE n = 1""",
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
   ('0x' || md5('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:15])::BIGINT AS h FROM documents),
