@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mixing, near_dup, sharding, toxicity, url_filter
+from . import decontam, html_extract, mil_quality, mixing, near_dup, quality_rules, sharding, toxicity, url_filter
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -15,12 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = quality_rules.quality(docs, quality_rules.trained(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return got.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = decontam.hit_words(F.col("spans"))
     return got.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil_quality.trained(docs, table(spark, sf_dir, "labels"), keep=lambda i: F.crc32(i.cast("string")) % 4 != 2)
+    got = mil_quality.quality_score(docs, model, keep=["doc_id"])
+    return got.select("row.doc_id", (fold("row.doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 #: allow and block rules (verdict, host, path), and the list of canonical URLs that the Bloom filter holds
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 URL_LIST = ["spam-farm.example.org/", "free-bets.example.net/"]
@@ -60,7 +73,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,

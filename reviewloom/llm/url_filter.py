@@ -121,6 +121,8 @@ def judged(pages: DataFrame, entries: DataFrame, rules: list[tuple[str, str, str
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("url", F.when(F.col("hit").isNull() & (F.col("host") != ""), canonical(F.col("host"), F.col("path"))))
     found = listed(rows.select("url"), entries).withColumnRenamed("entry", "listed_by")
-    out = rows.join(found, "url", "left")
+    # rows that a rule decides have no part in the join: their null key would fall to one task
+    out = rows.where("url is not null").join(found, "url", "left").select("row", "host", "path", "hit", "listed_by")
+    out = out.unionAll(rows.where("url is null").select("row", "host", "path", "hit", F.lit(None).cast("string").alias("listed_by")))
     verdict = F.coalesce("hit.verdict", F.when(F.col("listed_by").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("row", "host", "path", F.col("hit.rule").alias("rule"), "listed_by", verdict.alias("verdict"))
