@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mil_quality, mixing, near_dup, quality_rules, sharding, toxicity, url_filter
+from . import decontam, html_extract, mil_quality, mixing, near_dup, quality_rules, sharding, toxicity, url_filter, warc
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -21,6 +21,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    got = warc.read_archives(archives, payloads=False)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = decontam.hit_words(F.col("spans"))
@@ -74,6 +80,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
@@ -87,6 +94,11 @@ QUERIES = {
 ALNUM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM top AND page_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top AND page_id IS NOT NULL THEN top END AS refers_to FROM m""",
     "op3_decontamination": rf"""
 WITH d AS (SELECT doc_id, coalesce({ALNUM_WORDS}, []) AS ws FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {ALNUM_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
