@@ -1 +1 @@
-
+"""Operators: shaping, bags, features, graphs, ranking, statistics, learning."""

@@ -1,0 +1,79 @@
+"""Term weights in long form, and their reduction by principal components."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import path_prefixes
+
+
+def path_terms(files: DataFrame, doc: str, path: str = "filename") -> DataFrame:
+    """(doc, term): one row for every prefix of every file row; repeats count."""
+    return files.select(F.col(doc).alias("doc"), F.explode(path_prefixes(F.col(path))).alias("term")).where("doc is not null")
+
+
+def term_frequency(terms: DataFrame) -> DataFrame:
+    """(doc, term, tf)."""
+    return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequency(tf: DataFrame) -> DataFrame:
+    """(term, df): number of documents that hold a term."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _weighed(tf: DataFrame, weight) -> DataFrame:
+    n = tf.agg(F.count_distinct("doc").alias("n"))  # one row: a broadcast of proven size
+    return tf.join(document_frequency(tf), "term").crossJoin(F.broadcast(n)).select("doc", "term", weight.alias("w"))
+
+
+def tfidf_plain(tf: DataFrame) -> DataFrame:
+    """(doc, term, w): tf * (ln(N / df) + 1), the stated formula (the reference's code itself yields 0)."""
+    return _weighed(tf, F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1))
+
+
+def tfidf(tf: DataFrame) -> DataFrame:
+    """(doc, term, w): tf * log2(N / df), of unit length in each document; terms of all documents weigh 0 and go."""
+    raw = _weighed(tf, F.col("tf") * F.log2(F.col("n") / F.col("df"))).where("w > 0")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.withColumn("w", F.col("w") / length)
+
+
+def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in a total order."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Vectors joined with (doc, label); other labels than 0 (train) and 1 (test) are left out."""
+    if "label" not in labels.columns:
+        raise ValueError("labels need a column `label`")
+    return vectors.join(labels.where("label in (0, 1)"), "doc")
+
+
+def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, max_terms: int = 64, max_parts: int = 32) -> DataFrame:
+    """(doc, label, parts): principal components that keep `share` of the variance, fitted on the train rows.
+
+    The vocabulary is the max_terms most frequent terms: the covariance of d terms takes d * d numbers on
+    the driver. Data are centred by the train mean; ids travel with their vectors.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    terms = [r["term"] for r in vectors.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()]
+    at = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term"))
+    cells = labelled(vectors, labels).withColumn("at", at).groupBy("doc", "label").agg(F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, F.struct("at", "w")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(len(terms))), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0)))
+    wide = cells.select("doc", "label", array_to_vector(dense).alias("raw"))
+    train = wide.where("label = 0")
+    centre = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=False).fit(train)
+    k = min(max_parts, len(terms))
+    pca = PCA(k=k, inputCol="x", outputCol="p").fit(centre.transform(train))
+    total, parts = 0.0, 0
+    for v in pca.explainedVariance.toArray():
+        total, parts = total + v, parts + 1
+        if total > share:
+            break
+    return pca.transform(centre.transform(wide)).select("doc", "label", F.slice(vector_to_array("p"), 1, parts).alias("parts"))

@@ -1,4 +1,548 @@
-"""All queries of the collaboration-analytics operators, by name."""
+"""All queries of the collaboration-analytics operators over the driver's tables, with the SQL they are compared with.
+
+Proxies: orders are pull requests, lines with their part are changed files, suppliers are reviewers,
+customers are authors, documents are texts, events are timelines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import porter, tagging, text
+from ..operators import bags, features, graphs, learning, shaping
+from ..sources import readers, schemas, scratch, writers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "de", "la"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+# ---- sources, projection, joins
+
+_PR = "o_orderkey AS pr_id, o_orderstatus AS pr_state, o_custkey AS pr_author, o_orderdate AS pr_created_at"
+
+
+def _pull_requests(spark, sf):
+    """Orders in the shape of the pull-request table."""
+    o = t(spark, sf, "orders")
+    have = {"repo_full_name": "o_orderpriority", "number": "o_orderkey", "state": "o_orderstatus", "user_login": "o_custkey", "created_at": "o_orderdate"}
+    return o.select(*[(F.col(have[n]) if n in have else F.lit(None).cast("string")).alias(n) for n, _, _ in schemas.PULL_REQUEST])
+
+
+@query(f"SELECT {_PR} FROM orders WHERE o_orderpriority = '1-URGENT'")
+def pr_projection(spark, sf):
+    return readers.pull_requests(_pull_requests(spark, sf), "1-URGENT", limit=None).select("pr_id", "pr_state", "pr_author", "pr_created_at")
+
+
+@query(f"SELECT {_PR} FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 20")
+def pr_filter_limit(spark, sf):
+    return readers.pull_requests(_pull_requests(spark, sf), "1-URGENT").select("pr_id", "pr_state", "pr_author", "pr_created_at")
+
+
+def _files(spark, sf) -> DataFrame:
+    """(pr, commit_sha, filename, ...): a line with the path of its part. Parts are joined by shuffle or broadcast, as their size allows."""
+    path = F.concat_ws("/", F.regexp_replace("p_brand", "#", ""), F.lower("p_type"), F.regexp_replace("p_name", " ", "_"))
+    part = t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), path.alias("filename"))
+    return t(spark, sf, "lineitem").join(part, "l_partkey").select(F.col("l_orderkey").alias("pr"), "filename")
+
+
+_FILES = """files AS (SELECT l_orderkey AS pr, replace(p_brand, '#', '') || '/' || lower(p_type) || '/' || replace(p_name, ' ', '_') AS filename FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(f"WITH {_FILES} SELECT o_orderkey AS commit_sha, o_custkey AS author, filename FROM orders LEFT JOIN files ON o_orderkey = pr")
+def commit_files_left_join(spark, sf):
+    files = readers.commit_files(_files(spark, sf).withColumnRenamed("pr", "commit_sha"))
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("commit_sha"), F.col("o_custkey").alias("author"))
+    return shaping.with_commit_files(rows, files).select("commit_sha", "author", "filename")
+
+
+_FIRST = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+
+
+@query(f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_FIRST)}) AS n FROM lineitem) WHERE n = 1")
+def keep_first_review(spark, sf):
+    return features.keep_first(t(spark, sf, "lineitem"), "l_suppkey", _FIRST).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+_CONCAT = "SELECT o_orderkey, 0::INT AS label FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 1::INT FROM orders WHERE o_orderkey % 5 = 0"
+
+
+def _labels(spark, sf) -> DataFrame:
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 5 == 0).cast("int").alias("label"))
+
+
+@query(_CONCAT)
+def train_test_concat(spark, sf):
+    label = _labels(spark, sf).withColumnRenamed("doc", "o_orderkey")
+    return label.where("label = 0").unionByName(label.where("label = 1"))
+
+
+@query("SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem")
+def distinct_pairs(spark, sf):
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+
+
+# ---- path and text features
+
+_PREFIX = "unnest(list_transform(range(1, len(string_split(filename, '/')) + 1), lambda i: '/' || array_to_string(string_split(filename, '/')[1:i], '/')))"
+_COUNTS = f"terms AS (SELECT pr AS doc, {_PREFIX} AS term FROM files), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf)"
+_TERMS = f"{_FILES}, {_COUNTS}"
+_TFIDF = "raw AS (SELECT doc, term, tf * log2(n / df) AS w FROM tf JOIN df USING (term), n WHERE log2(n / df) > 0), vec AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw)"
+
+
+def _tf(spark, sf) -> DataFrame:
+    return features.term_frequency(features.path_terms(_files(spark, sf), "pr"))
+
+
+@query(f"SELECT p_partkey, unnest(list_transform(range(1, len(string_split(p_name, ' ')) + 1), lambda i: '/' || array_to_string(string_split(p_name, ' ')[1:i], '/'))) AS prefix FROM part")
+def path_prefixes(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", F.explode(text.path_prefixes(F.regexp_replace("p_name", " ", "/"))).alias("prefix"))
+
+
+@query(f"WITH {_TERMS} SELECT * FROM tf")
+def path_tf(spark, sf):
+    return _tf(spark, sf)
+
+
+@query(f"WITH {_TERMS} SELECT * FROM df")
+def path_df(spark, sf):
+    return features.document_frequency(_tf(spark, sf))
+
+
+@query(f"WITH {_TERMS} SELECT doc, term, round(tf * (ln(n / df) + 1), 6) AS w FROM tf JOIN df USING (term), n")
+def path_tfidf_manual(spark, sf):
+    return features.tfidf_plain(_tf(spark, sf)).select("doc", "term", r6("w"))
+
+
+@query(f"WITH {_TERMS}, {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
+def path_tfidf(spark, sf):
+    return features.tfidf(_tf(spark, sf)).select("doc", "term", r6("w"))
+
+
+@query(f"WITH {_FILES.replace('SELECT l_orderkey', 'SELECT DISTINCT l_orderkey')}, {_COUNTS}, {_TFIDF}, labels_ AS ({_CONCAT}) SELECT doc, term, round(w, 6) AS w, label FROM vec JOIN labels_ ON doc = o_orderkey")
+def labelled_path_features(spark, sf):
+    tf = features.term_frequency(features.path_terms(_files(spark, sf).distinct(), "pr"))
+    return features.labelled(features.tfidf(tf), _labels(spark, sf)).select("doc", "term", r6("w"), "label")
+
+
+@query()
+def pca_path_features(spark, sf):
+    got = features.reduced(features.tfidf(_tf(spark, sf)), _labels(spark, sf))
+    return got.select("doc", "label", F.size("parts").cast("long").alias("n_parts"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+
+
+_STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+_WORDS = f"words AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: NOT list_contains({_STOPS}, w)) AS ws FROM documents)"
+
+
+def _words(spark, sf) -> DataFrame:
+    return t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.without_stop_words(text.tokens(F.col("text")), STOP).alias("ws"))
+
+
+def _text_tf(words: DataFrame) -> DataFrame:
+    return features.term_frequency(words.select("doc", F.explode("ws").alias("term")))
+
+
+@query(f"WITH {_WORDS} SELECT doc, len(ws)::BIGINT AS n_tokens, len(list_distinct(ws))::BIGINT AS n_terms FROM words")
+def text_tokens(spark, sf):
+    return _words(spark, sf).select("doc", F.size("ws").cast("long").alias("n_tokens"), F.size(F.array_distinct("ws")).cast("long").alias("n_terms"))
+
+
+@query(f"WITH {_WORDS}, tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w, quality AS label FROM vec JOIN labels ON doc = doc_id")
+def text_tfidf(spark, sf):
+    labels = t(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
+    return features.labelled(features.tfidf(_text_tf(_words(spark, sf))), labels).select("doc", "term", r6("w"), "label")
+
+
+@query()
+def text_tfidf_stemmed(spark, sf):
+    stems = porter.stems_udf()
+    return features.tfidf(_text_tf(_words(spark, sf).select("doc", stems("ws").alias("ws")))).select("doc", "term", r6("w"))
+
+
+# ---- scalars and shaping
+
+_LOGIN = "CASE WHEN c_custkey % 7 = 0 THEN c_name || '[bot]' WHEN c_custkey % 11 = 0 THEN 'codecov-io' ELSE c_name END"
+
+
+@query(f"SELECT c_custkey, login, contains(login, '[bot]') OR login = 'codecov-io' AS bot FROM (SELECT c_custkey, {_LOGIN} AS login FROM customer)")
+def bot_filter(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", F.expr(_LOGIN).alias("login")).withColumn("bot", text.is_bot(F.col("login")))
+
+
+def _pairs(spark, sf) -> DataFrame:
+    """(customer, supplier) pairs of all orders, once each."""
+    lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    return t(spark, sf, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").cast("string").alias("c"), F.concat(F.lit("s"), "l_suppkey").alias("s")).distinct()
+
+
+_PAIRS = "pairs AS (SELECT DISTINCT o_custkey::VARCHAR AS c, 's' || l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+def _connection(pairs: DataFrame, key: str, field: str) -> DataFrame:
+    """JSON replies (login, reply): one connection per login, made from pairs, read back by the guarded parser."""
+    other = "s" if key == "c" else "c"
+    edges = F.array_sort(F.collect_list(F.struct(F.col(other).alias("cursor"), F.struct(F.col(other).alias(field)).alias("node"))))
+    return pairs.groupBy(F.col(key).alias("login")).agg(F.struct(F.count(F.lit(1)).alias("totalCount"), edges.alias("edges")).alias("list"))
+
+
+@query(f"WITH {_PAIRS} SELECT c AS login, s AS following_login FROM pairs UNION ALL SELECT c, s FROM pairs")
+def follow_edges(spark, sf):
+    pairs = _pairs(spark, sf)
+    following = _connection(pairs, "c", "login").select(F.to_json(F.struct(F.struct(F.struct("login", F.col("list").alias("following")).alias("user")).alias("data"))).alias("j"))
+    followers = _connection(pairs, "s", "login").select(F.to_json(F.struct(F.struct(F.struct("login", F.col("list").alias("followers")).alias("user")).alias("data"))).alias("j"))
+    return shaping.follow_edges(following.unionAll(followers).select(readers.nested(F.col("j"), schemas.FOLLOW).alias("r")).select("r.*"))
+
+
+@query(f"WITH {_PAIRS} SELECT c AS login, s AS repo_full_name, count(*) OVER (PARTITION BY c) AS total, max(s) OVER (PARTITION BY c) AS last_cursor FROM pairs")
+def watch_edges(spark, sf):
+    replies = _connection(_pairs(spark, sf), "c", "nameWithOwner").select(F.to_json(F.struct(F.struct(F.struct("login", F.col("list").alias("watching")).alias("user")).alias("data"))).alias("j"))
+    parsed = replies.select(readers.nested(F.col("j"), schemas.WATCH).alias("r")).select("r.*")
+    return shaping.watch_edges(parsed).join(shaping.connection_state(parsed, "watching"), "login")
+
+
+@query("SELECT 'r' || o_orderstatus AS repository, o_orderkey::VARCHAR AS parent_oid, l_partkey::VARCHAR AS child_oid, 'tree' AS parent_type, l_returnflag AS child_type, l_linenumber::VARCHAR AS child_path FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber % 5 <> 0")
+def tree_entries(spark, sf):
+    node = F.when(F.col("l_linenumber") % 5 != 0, F.struct(F.col("l_suppkey").cast("string").alias("id"), F.col("l_partkey").cast("string").alias("oid")))
+    entry = F.struct(F.col("l_linenumber").cast("string").alias("name"), F.col("l_returnflag").alias("type"), node.alias("object"))
+    trees = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(entry).alias("entries")).join(t(spark, sf, "orders"), "o_orderkey")
+    reply = F.struct(F.struct(F.concat(F.lit("r"), "o_orderstatus").alias("nameWithOwner")).alias("repository"), F.lit("tree").alias("__typename"), F.col("o_orderkey").cast("string").alias("oid"), F.lit("n").alias("id"), "entries")
+    parsed = trees.select(readers.nested(F.to_json(reply), schemas.TREE).alias("r")).select("r.*")
+    return shaping.tree_entries(parsed).select("repository", "parent_oid", "child_oid", "parent_type", "child_type", "child_path")
+
+
+@query("SELECT p_brand AS repository, p_partkey::VARCHAR AS oid, 'n' || p_size AS node_id, p_size::BIGINT AS byte_size, p_size > 25 AS is_binary, false AS is_truncated, p_name AS text FROM part")
+def blob_records(spark, sf):
+    reply = F.struct(F.col("p_partkey").cast("string").alias("oid"), F.concat(F.lit("n"), "p_size").alias("id"), (F.col("p_size") > 25).alias("isBinary"), F.lit(False).alias("isTruncated"), F.col("p_size").alias("byteSize"), F.col("p_name").alias("text"), F.struct(F.col("p_brand").alias("nameWithOwner")).alias("repository"))
+    return shaping.blobs(t(spark, sf, "part").select(readers.nested(F.to_json(reply), schemas.BLOB).alias("r")).select("r.*"))
+
+
+@query("SELECT event_id AS id, event_type AS path, user_id::VARCHAR AS commit_id, props AS body, json_extract_string(props, '$.k')::BIGINT AS original_line, 'u' || user_id AS user_login FROM events")
+def comment_records(spark, sf):
+    reply = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("path"), F.col("user_id").cast("string").alias("commit_id"), F.col("props").alias("body"), F.get_json_object("props", "$.k").cast("long").alias("original_line"), F.struct(F.concat(F.lit("u"), "user_id").alias("login"), F.col("user_id").alias("id")).alias("user"))
+    got = shaping.comments(t(spark, sf, "events").select(readers.nested(F.to_json(reply), schemas.COMMENT).alias("r")).select("r.*"))
+    return got.select("id", "path", "commit_id", "body", "original_line", "user_login")
+
+
+def _timeline(spark, sf) -> DataFrame:
+    """Timelines of all users; signups are null nodes."""
+    node = F.when(F.col("event_type") != "signup", F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("typename"), F.col("ts").cast("string").alias("createdAt")))
+    edges = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", node.alias("node")))), lambda x: F.struct(x["node"].alias("node")))
+    users = t(spark, sf, "events").groupBy("user_id").agg(edges.alias("edges"))
+    reply = F.struct(F.col("user_id").cast("string").alias("id"), F.lit("r").alias("repo_full_name"), F.struct("edges").alias("timelineItems"))
+    return shaping.timeline(users.select(readers.nested(F.to_json(reply), schemas.TIMELINE).alias("r")).select("r.*"))
+
+
+_TIMELINE = "tl AS (SELECT * FROM (SELECT user_id::VARCHAR AS pullrequest_node, event_id::VARCHAR AS timelineitem_node, event_type AS typename, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events) WHERE typename <> 'signup')"
+
+
+@query(f"WITH {_TIMELINE} SELECT * FROM tl")
+def timeline_positions(spark, sf):
+    return _timeline(spark, sf).select("pullrequest_node", "timelineitem_node", "typename", "position")
+
+
+@query(f"""WITH {_TIMELINE}, s AS (SELECT *, max(CASE WHEN typename = 'purchase' THEN position END) OVER (PARTITION BY pullrequest_node ORDER BY position) AS since FROM tl WHERE typename IN ('purchase', 'click')),
+c AS (SELECT * FROM s WHERE typename = 'click' AND since IS NOT NULL)
+SELECT r.pullrequest_node, r.timelineitem_node AS review_node, coalesce(c.timelineitem_node, '-1') AS change_node, r.position AS review_position, coalesce(c.position, -1) AS change_position
+FROM (SELECT * FROM s WHERE typename = 'purchase') r LEFT JOIN c ON c.pullrequest_node = r.pullrequest_node AND c.since = r.position""")
+def review_changes(spark, sf):
+    return shaping.review_changes(_timeline(spark, sf), "purchase", "click")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS made FROM orders), {_FILES}, l AS (SELECT DISTINCT l_orderkey, 's' || l_suppkey AS s FROM lineitem), f AS (SELECT DISTINCT pr, filename FROM files)
+SELECT 'p/p' AS repo_full_name, o_orderkey AS pull_number, made AS pr_created_at, s AS review_user_login, filename AS file_filename FROM o JOIN l ON o_orderkey = l_orderkey JOIN f ON o_orderkey = pr""")
+def review_path_rows(spark, sf):
+    paths = _files(spark, sf).groupBy("pr").agg(F.collect_set(F.struct(F.col("filename").alias("location"))).alias("filePaths"))
+    who = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pr")).agg(F.collect_set(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("name"))).alias("reviewers"))
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp")
+    replies = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), at).join(paths, "pr").join(who, "pr").withColumnRenamed("pr", "changeNumber")
+    return shaping.review_paths(replies, "p").drop("commit_sha")
+
+
+@query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*) AS n, min(o_orderkey) AS first_pr FROM orders GROUP BY ALL")
+def month_slices(spark, sf):
+    got = writers.by_month(t(spark, sf, "orders"), "o_orderdate")
+    return got.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_pr"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity::FLOAT * l_discount::FLOAT)::DOUBLE, 5) AS mul, CASE WHEN l_tax = 0 THEN NULL ELSE round((l_quantity::FLOAT / l_tax::FLOAT)::DOUBLE, 3) END AS div, l_tax = 0 AS infinite FROM lineitem")
+def float32_mul_div(spark, sf):
+    div = text.float_div(F.col("l_quantity"), F.col("l_tax"))
+    infinite = div == F.lit(float("inf"))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(text.float_mul(F.col("l_quantity"), F.col("l_discount")).cast("double"), 5).alias("mul"), F.when(~infinite, F.round(div.cast("double"), 3)).alias("div"), infinite.alias("infinite"))
+
+
+# ---- bags: brands that the suppliers of each nation deliver
+
+_BAGS = "bags AS (SELECT s_nationkey AS set_id, p_brand AS key, count(*)::DOUBLE AS cnt FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), x AS (SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey)"
+_COMMON = f"WITH {_BAGS}, tot AS (SELECT set_id, sum(cnt) AS t FROM bags GROUP BY set_id), c AS (SELECT x, y, sum(a.cnt * b.cnt) AS d, sum(least(a.cnt, b.cnt)) AS n FROM x JOIN bags a ON a.set_id = x JOIN bags b ON b.set_id = y AND b.key = a.key GROUP BY ALL), j AS (SELECT x.x, x.y, coalesce(d, 0) AS d, coalesce(n, 0) AS n, coalesce(tx.t, 0) AS tx, coalesce(ty.t, 0) AS ty FROM x LEFT JOIN c ON c.x = x.x AND c.y = x.y LEFT JOIN tot tx ON tx.set_id = x.x LEFT JOIN tot ty ON ty.set_id = x.y)"
+
+
+def _bags(spark, sf) -> DataFrame:
+    lines = t(spark, sf, "lineitem").join(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    lines = lines.join(t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return lines.groupBy(F.col("s_nationkey").alias("set_id"), F.col("p_brand").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+
+
+def _nation_pairs(spark, sf) -> DataFrame:
+    n = t(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("x")).join(n.select(F.col("n_nationkey").alias("y")), F.col("x") < F.col("y"))
+
+
+@query("SELECT lang AS set_id, w AS key, count(*)::DOUBLE AS cnt FROM (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents) GROUP BY ALL")
+def bag_count(spark, sf):
+    return bags.count_words(t(spark, sf, "documents").withColumn("ws", text.tokens(F.col("text"))), "lang", "ws")
+
+
+@query(f"WITH {_BAGS} SELECT set_id, key, sum(cnt) AS cnt FROM (SELECT * FROM bags UNION ALL SELECT r.n_regionkey, key, cnt FROM bags JOIN nation r ON r.n_nationkey = set_id) GROUP BY ALL")
+def bag_merge(spark, sf):
+    b = _bags(spark, sf)
+    region = b.join(t(spark, sf, "nation"), F.col("set_id") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("set_id"), "key", "cnt")
+    return bags.merge(b, region)
+
+
+@query(f"WITH {_BAGS} SELECT set_id, key, round(cnt / sum(cnt) OVER (PARTITION BY set_id), 6) AS cnt FROM bags")
+def bag_normalise(spark, sf):
+    return bags.normalise(_bags(spark, sf)).select("set_id", "key", r6("cnt"))
+
+
+@query(f"WITH {_BAGS} SELECT a.set_id, a.key, round(coalesce(a.cnt / b.cnt, a.cnt), 6) AS cnt FROM bags a LEFT JOIN (SELECT set_id + 1 AS set_id, key, cnt FROM bags WHERE key < 'Brand#2') b USING (set_id, key)")
+def bag_divide(spark, sf):
+    b = _bags(spark, sf)
+    return bags.divide(b, b.where("key < 'Brand#2'").withColumn("set_id", F.col("set_id") + 1)).select("set_id", "key", r6("cnt"))
+
+
+@query(f"{_COMMON} SELECT x, y, d AS dot FROM j")
+def bag_dot(spark, sf):
+    return bags.dot(_bags(spark, sf), _nation_pairs(spark, sf))
+
+
+@query(f"{_COMMON} SELECT x, y, round(CASE WHEN tx + ty = 0 THEN 1 ELSE n / (tx + ty) END, 6) AS jaccard FROM j")
+def bag_jaccard(spark, sf):
+    return bags.jaccard(_bags(spark, sf), _nation_pairs(spark, sf)).select("x", "y", r6("jaccard"))
+
+
+@query(f"{_COMMON} SELECT x, y, round(CASE WHEN tx + ty = 0 THEN 1 ELSE n / (tx + ty - 0.25 * (tx - n) - 0.75 * (ty - n)) END, 6) AS tversky FROM j")
+def bag_tversky(spark, sf):
+    return bags.tversky(_bags(spark, sf), _nation_pairs(spark, sf), 0.25, 0.75).select("x", "y", r6("tversky"))
+
+
+# ---- graphs: customers' orders to suppliers
+
+def _calls(spark, sf) -> DataFrame:
+    lines = t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    ord_ = F.struct("o_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
+    return t(spark, sf, "orders").join(lines, "o_orderkey").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_extendedprice").alias("cost"), F.col("l_linenumber").alias("r_cnt"), ord_.alias("ord"))
+
+
+_CALLS = "calls AS (SELECT ('c' || o_custkey) AS src, ('s' || l_suppkey) AS dst, l_extendedprice AS cost, l_linenumber AS r_cnt, {'a': o_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice, 'e': l_suppkey} AS ord FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+@query(f"WITH {_CALLS}, i AS (SELECT dst AS node, count(*) AS in_cnt, sum(r_cnt)::BIGINT AS reviewer_cnt FROM calls GROUP BY dst), o AS (SELECT src AS node, count(*) AS author_cnt FROM calls GROUP BY src) SELECT node, coalesce(in_cnt, 0) AS in_cnt, coalesce(author_cnt, 0) AS author_cnt, coalesce(reviewer_cnt, 0) AS reviewer_cnt FROM i FULL JOIN o USING (node)")
+def digraph_counters(spark, sf):
+    return graphs.calls_summary(_calls(spark, sf))[0]
+
+
+@query(f"WITH {_CALLS}, e AS (SELECT src, dst, arg_max(cost, ord) AS weight, min(ord) AS ord FROM calls GROUP BY ALL) SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, ord) AS n FROM e) WHERE n = 1")
+def best_neighbour(spark, sf):
+    return graphs.best_neighbour(graphs.calls_summary(_calls(spark, sf))[1])
+
+
+@query(f"WITH {_CALLS} SELECT 'author_reviewer_relation' AS type, src AS u, dst AS v, round(sum(cost), 2) AS weight FROM calls GROUP BY ALL")
+def edge_accumulate(spark, sf):
+    edges = _calls(spark, sf).select("ord", F.lit(text.EDGE_TYPES[3]).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
+    return graphs.accumulate(edges).select("type", "u", "v", F.round("weight", 2).alias("weight"))
+
+
+@query(f"WITH {_CALLS}, a AS (SELECT 'author' AS type, src AS key, min(ord) AS ord FROM calls GROUP BY ALL UNION ALL SELECT 'reviewer', dst, min(ord) FROM calls GROUP BY ALL) SELECT row_number() OVER (ORDER BY ord, type, key) - 1 AS id, type, key FROM a")
+def graph_nodes(spark, sf):
+    c = _calls(spark, sf)
+    return graphs.add_nodes(c.select("ord", F.lit("author").alias("type"), F.col("src").alias("key")).unionAll(c.select("ord", F.lit("reviewer"), "dst")))
+
+
+def _incidence(spark, sf) -> DataFrame:
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_suppkey").alias("node_id")).distinct()
+
+
+def _edge_weights(spark, sf) -> DataFrame:
+    return t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("edge_id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+_INC = "inc AS (SELECT DISTINCT l_orderkey AS edge_id, l_suppkey AS node_id FROM lineitem), ew AS (SELECT l_orderkey AS edge_id, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL), sz AS (SELECT edge_id, count(*) AS size FROM inc GROUP BY ALL), dg AS (SELECT node_id, sum(weight) AS degree FROM inc JOIN ew USING (edge_id) GROUP BY ALL)"
+
+
+@query(f"WITH {_INC}, gone AS (SELECT edge_id FROM sz WHERE size <= 2 AND edge_id IN (SELECT edge_id FROM inc WHERE node_id = 7)) SELECT edge_id, node_id FROM inc WHERE node_id <> 7 AND edge_id NOT IN (SELECT edge_id FROM gone)")
+def remove_node(spark, sf):
+    return graphs.remove_node(_incidence(spark, sf), 7)[0]
+
+
+@query(f"WITH {_INC} SELECT node_id AS id, 'node' AS kind, degree FROM dg UNION ALL SELECT edge_id, 'edge', size::DOUBLE FROM sz")
+def hypergraph_degrees(spark, sf):
+    nodes, edges = graphs.degrees(_incidence(spark, sf), _edge_weights(spark, sf))
+    return nodes.select(F.col("node_id").alias("id"), F.lit("node").alias("kind"), "degree").unionAll(edges.select("edge_id", F.lit("edge"), F.col("size").cast("double")))
+
+
+@query(f"WITH {_INC} SELECT u, v, round(s / sqrt(du.degree * dv.degree), 6) AS value FROM (SELECT a.node_id AS u, b.node_id AS v, sum(weight / size) AS s FROM inc a JOIN inc b USING (edge_id) JOIN ew USING (edge_id) JOIN sz USING (edge_id) GROUP BY ALL) JOIN dg du ON du.node_id = u JOIN dg dv ON dv.node_id = v")
+def hypergraph_matrix(spark, sf):
+    return graphs.propagation(_incidence(spark, sf), _edge_weights(spark, sf)).select("u", "v", r6("value"))
+
+
+_NATION_EDGES = "ne AS (SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, l_quantity AS weight, {'a': o_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_quantity} AS ord FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey)"
+
+
+def _nation_edges(spark, sf) -> DataFrame:
+    """(ord, u, v, weight): one edge for each line between two nations, of its quantity."""
+    cust = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    supp = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    rows = t(spark, sf, "orders").join(t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey").join(cust, "o_custkey").join(supp, "l_suppkey")
+    ord_ = F.struct("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("ord")
+    return rows.where("c_nationkey <> s_nationkey").select(ord_, F.least("c_nationkey", "s_nationkey").alias("u"), F.greatest("c_nationkey", "s_nationkey").alias("v"), F.col("l_quantity").alias("weight"))
+
+
+@query(f"WITH {_NATION_EDGES}, p AS (SELECT u, v, arg_max(weight, ord) AS w FROM ne GROUP BY ALL), c AS (SELECT u AS i, v AS j, w FROM p UNION ALL SELECT v, u, w FROM p) SELECT i, j, round(w / sum(w) OVER (PARTITION BY j), 6) AS value FROM c WHERE i <> 24")
+def random_walk_matrix(spark, sf):
+    return graphs.random_walk(_nation_edges(spark, sf), 25).select("i", "j", r6("value"))
+
+
+_SUMMED = f"{_NATION_EDGES}, e AS (SELECT u, v, sum(weight) AS w FROM ne GROUP BY ALL)"
+
+
+@query(f"WITH {_SUMMED}, m AS (SELECT sum(w) AS m FROM e), r AS (SELECT e.*, a.n_regionkey AS cu, b.n_regionkey AS cv FROM e JOIN nation a ON a.n_nationkey = u JOIN nation b ON b.n_nationkey = v), d AS (SELECT c, sum(w) AS d FROM (SELECT cu AS c, w FROM r UNION ALL SELECT cv, w FROM r) GROUP BY c), i AS (SELECT cu AS c, sum(w) AS i FROM r WHERE cu = cv GROUP BY ALL) SELECT round(sum(coalesce(i, 0) / m - (d / (2 * m)) ** 2), 6) AS q FROM d LEFT JOIN i USING (c), m")
+def modularity_score(spark, sf):
+    edges = _nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
+    parts = t(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
+    return graphs.modularity(edges, parts).select(r6("q"))
+
+
+@query()
+def communities(spark, sf):
+    return graphs.communities(_nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+
+
+def _gexf(spark, sf) -> dict[str, DataFrame]:
+    path = scratch.shared_path(spark, "gexf")
+    nation = t(spark, sf, "nation")
+    value = F.array(F.struct(F.lit("modularity_class").alias("for"), F.col("n_regionkey").cast("string").alias("value")))
+    nodes = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), value.alias("attvalues"))
+    e = _nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
+    e = e.select(F.concat_ws("-", "u", "v").alias("id"), F.col("u").alias("source"), F.col("v").alias("target"), "weight")
+    writers.write_gexf(nodes, e, path, [("modularity_class", "Modularity Class", "integer")])
+    return readers.gexf(spark, path)
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS label, n_regionkey::VARCHAR AS value FROM nation")
+def gexf_nodes(spark, sf):
+    got = _gexf(spark, sf)["nodes"]
+    return got.join(readers.gexf_values(got, "modularity_class"), "id").select("id", "label", "value")
+
+
+@query(f"WITH {_SUMMED} SELECT u || '-' || v AS id, u::VARCHAR AS source, v::VARCHAR AS target, w AS weight FROM e")
+def gexf_edges(spark, sf):
+    return _gexf(spark, sf)["edges"].select("id", "source", "target", "weight")
+
+
+# ---- tags, reports, statistics, ranking, factors
+
+
+@query()
+def tag_corpus(spark, sf):
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.transform(F.filter(F.split("text", r"[\s/\[\]]+"), lambda w: w != ""), lambda w: F.concat(w, F.when(F.length(w) > 6, F.lit("/ns")).otherwise(F.lit("/n")))).alias("ws"))
+    tags = tagging.tags_udf()
+    return rows.select("conv_id", "turn", tags("ws").alias("tags")).select("conv_id", "turn", F.size("tags").cast("long").alias("n_chars"), F.size(F.filter("tags", lambda x: x["tag"] == "B")).cast("long").alias("n_places"))
+
+
+@query(f"WITH r AS (SELECT substr('BMESO', l_linenumber % 5 + 1, 1) AS ref, CASE WHEN l_partkey % 4 = 0 THEN 'O' ELSE substr('BMESO', l_linenumber % 5 + 1, 1) END AS pred FROM lineitem), a AS (SELECT count(*) FILTER (ref <> 'O' AND ref = pred) AS hit, count(*) FILTER (pred <> 'O') AS p, count(*) FILTER (ref <> 'O') AS r FROM r) SELECT round(hit / p, 6) AS precision, round(hit / r, 6) AS recall, round(2 * (hit / p) * (hit / r) / (hit / p + hit / r), 6) AS f1 FROM a")
+def tag_scores(spark, sf):
+    ref = F.expr("substr('BMESO', l_linenumber % 5 + 1, 1)")
+    lines = t(spark, sf, "lineitem").select(ref.alias("ref"), F.when(F.col("l_partkey") % 4 == 0, "O").otherwise(ref).alias("pred"))
+    return learning.tag_scores(lines).select(r6("precision"), r6("recall"), r6("f1"))
+
+
+_PERIODS = "per AS (SELECT o_orderpriority AS sheet, year(o_orderdate) * 12 + month(o_orderdate) AS m, avg(o_totalprice) AS modularity, count(*)::DOUBLE AS entropy, min(o_totalprice) AS top1, max(o_totalprice) AS top3, sum(o_totalprice) AS top5 FROM orders GROUP BY ALL), num AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY m) - 1 AS period FROM per), rep AS (SELECT sheet, period, round(modularity, 2) AS modularity, entropy, round(top1, 2) AS top1, round(top3, 2) AS top3, round(top5, 2) AS top5 FROM num WHERE period < 12)"
+
+
+def _report(spark, sf) -> DataFrame:
+    """Monthly figures of each priority, laid out as the cells of a report sheet, and read back from there."""
+    from pyspark.sql import Window
+
+    per = t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("sheet"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m")).agg(F.round(F.avg("o_totalprice"), 2).alias("modularity"), F.count(F.lit(1)).cast("double").alias("entropy"), F.round(F.min("o_totalprice"), 2).alias("top1"), F.round(F.max("o_totalprice"), 2).alias("top3"), F.round(F.sum("o_totalprice"), 2).alias("top5"))
+    per = per.withColumn("p", F.row_number().over(Window.partitionBy("sheet").orderBy("m")) - 1)
+    no = F.lit(None).cast("string")
+    s = lambda c: F.col(c).cast("string")
+    row = lambda at, *cells: F.struct((F.col("p") * 18 + at).cast("long").alias("row_idx"), *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    cells = F.explode(F.array(
+        row(2, F.lit("community"), no, no, no, no, no, no), row(3, no, F.lit("whole"), no, no, s("modularity"), s("entropy"), no),
+        row(4, F.lit("accuracy"), no, no, no, no, no, no), row(6, no, no, s("top1"), no, s("top3"), no, s("top5")),
+    ))
+    return shaping.report_values(per.select("sheet", cells.alias("x")).select("sheet", "x.*"))
+
+
+@query(f"WITH {_PERIODS} SELECT * FROM rep")
+def report_blocks(spark, sf):
+    return _report(spark, sf)
+
+
+@query(f"WITH {_PERIODS} SELECT sheet, round(avg(modularity), 4) AS modularity, round(avg(entropy), 4) AS entropy, round(avg(top1), 4) AS top1 FROM rep GROUP BY sheet")
+def period_means(spark, sf):
+    got = learning.period_means(_report(spark, sf), "sheet", ["modularity", "entropy", "top1"])
+    return got.select("sheet", *[F.round(c, 4).alias(c) for c in ("modularity", "entropy", "top1")])
+
+
+@query("SELECT round(corr(l_extendedprice, l_quantity), 6) AS corr, count(*) AS n FROM lineitem")
+def pearson(spark, sf):
+    return learning.pearson(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(r6("corr"), "n")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
+def ols_1(spark, sf):
+    return learning.line_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r2"))
+
+
+@query("""WITH x AS (SELECT l_quantity AS a, l_discount * l_discount AS b, l_extendedprice AS y FROM lineitem), c AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
+s AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS b1, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM c) SELECT round(my - b1 * ma - b2 * mb, 3) AS b0, round(b1, 3) AS b1, round(b2, 3) AS b2 FROM s""")
+def ols_2(spark, sf):
+    return learning.surface_fit(t(spark, sf, "lineitem"), "l_quantity", "l_discount", "l_extendedprice").select(*[F.round(c, 3).alias(c) for c in ("b0", "b1", "b2")])
+
+
+@query("""WITH s AS (SELECT p_brand AS pr, 's' || l_suppkey AS candidate, count(*)::DOUBLE AS e, (-max(l_linenumber))::DOUBLE AS r, sum(l_quantity) AS a FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+q AS (SELECT *, round(0.4::DOUBLE * e + 0.2::DOUBLE * r + 0.4::DOUBLE * a, 9) AS score FROM s) SELECT pr, candidate, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY score DESC, candidate) AS n FROM q) WHERE n <= 10""")
+def top_reviewers(spark, sf):
+    part = t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pr"))
+    scores = t(spark, sf, "lineitem").join(part, "l_partkey").groupBy("pr", F.concat(F.lit("s"), "l_suppkey").alias("candidate")).agg(F.count(F.lit(1)).cast("double").alias("exp"), (-F.max("l_linenumber")).cast("double").alias("rsp"), F.sum("l_quantity").alias("act"))
+    return learning.top_reviewers(scores, 10)
+
+
+@query()
+def latent_factors(spark, sf):
+    ratings = _bags(spark, sf).select(F.col("set_id").alias("user"), F.regexp_extract("key", r"(\d+)", 1).cast("int").alias("item"), F.log1p("cnt").alias("rate"))
+    return learning.latent_factors(ratings).select("user", "item", r6("rate"), F.col("prediction").cast("double").alias("prediction"))
+
+
+@query("WITH g AS (SELECT (i - 10000) / 10000.0::DOUBLE AS x FROM range(0, 30001) r(i)) SELECT x, round(x * sin(10 * pi() * x) + 2, 9) AS value FROM g ORDER BY 2 DESC, 1 LIMIT 1")
+def grid_maximum(spark, sf):
+    grid = spark.range(30001).select(((F.col("id") - 10000) / 10000.0).alias("x"))
+    return learning.best_on_grid(grid, F.round(F.col("x") * F.sin(10 * F.pi() * F.col("x")) + 2, 9))
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))")
+def pareto_front(spark, sf):
+    return learning.undominated(t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey", "s_acctbal")
