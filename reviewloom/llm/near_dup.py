@@ -8,8 +8,9 @@
 3. Classes that share a band key are linked to the smallest class of that key (a star, not all pairs).
    Star links whose sketches differ too much are dropped; the others are confirmed on the full sets.
 4. Connected components join the confirmed links. A key whose classes are all in one component needs no
-   more. In the others, all pairs across components are compared by their sketches, within blocks of
-   bounded size, and those that pass are confirmed on the full sets as well.
+   more. In the others, sketches are compared across components, in pairs of blocks of bounded size, which
+   gives clusters. Within a cluster that holds several components, full sets are compared wherever sketches
+   pass, again by blocks. A task returns only as many links as connect what it found, never all pairs.
 
 A pair at the threshold of 0.8 shares no key with probability (1 - 0.8 ** 4) ** 32 < 5e-8, and its sketches
 differ beyond MAX_FLIPS about as rarely (over five standard deviations).
@@ -32,8 +33,8 @@ U = np.uint64
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 #: XOR bits at which the sketch estimate of the similarity is about 0.5
 MAX_FLIPS = 100
-#: classes of one key that one task compares with as many others
-BLOCK = 512
+#: classes, and shingles of theirs, that one task compares with as many others
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 
 
 def shingle_sets(arr: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,39 +151,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return got.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), both.alias("i")).where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def _across(pdf_key, ids: np.ndarray, comp: np.ndarray, sk: np.ndarray, ids2: np.ndarray, comp2: np.ndarray, sk2: np.ndarray):
-    """Pairs of two blocks in different components whose sketches pass."""
-    out_a, out_b = [], []
-    for i in range(len(ids)):
-        near = (np.bitwise_count(sk2 ^ sk[i]).sum(axis=1) <= MAX_FLIPS) & (comp2 != comp[i]) & (ids2 > ids[i] if pdf_key else True)
-        hit = np.flatnonzero(near)
-        if len(hit):
-            out_a.append(np.full(len(hit), ids[i]))
-            out_b.append(ids2[hit])
-    return out_a, out_b
-
-
-def rest_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components within keys, by blocks; members: (key, id, component, sketch)."""
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    # each class is sent to every pair of blocks that holds its own
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(sized, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "sketch")
+def _in_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Deals rows (group, id, n_shingles, ...) to tasks (group, x, y), one for every pair of blocks of a group.
+
+    A block holds BLOCK rows or BLOCK_SHINGLES shingles at most, about: no task gathers a whole group.
+    """
+    sized = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    sized = sized.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int"))
+    dealt = rows.join(sized, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *columns)
+
+
+def _sides(t: pa.Table):
+    own, x, y = (t.column(c).to_numpy() for c in ("own", "x", "y"))
+    left = np.flatnonzero(own == x[0])
+    right = left if x[0] == y[0] else np.flatnonzero(own != x[0])
+    sk = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(own), -1)
+    return left, right, t.column("id").to_numpy(), t.column("component").to_numpy().copy(), sk
 
-    def compare(t: pa.Table) -> pa.Table:
-        own, x, y = (t.column(c).to_numpy() for c in ("own", "x", "y"))
-        ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
-        sk = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(ids), -1)
-        left = own == x[0]
-        right = left if x[0] == y[0] else ~left
-        a, b = _across(x[0] == y[0], ids[left], comp[left], sk[left], ids[right], comp[right], sk[right])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "b": pairs.max(axis=1) if len(pairs) else pairs[:, 0]})
+
+
+def _linked(t: pa.Table, test) -> pa.Table:
+    """Links between rows of different components: as few as connect what all links of the two blocks connect.
+
+    test(i, js) says which of the rows js are linked with row i; only rows whose sketches pass are asked about.
+    """
+    left, right, ids, comp, sk = _sides(t)
+    found = []
+    for i in left:
+        near = right[(comp[right] != comp[i]) & (np.bitwise_count(sk[right] ^ sk[i]).sum(axis=1) <= MAX_FLIPS)]
+        for j in test(i, near) if len(near) else ():
+            if comp[j] != comp[i]:
+                found.append((ids[i], ids[j]))
+                comp[comp == comp[j]] = comp[i]
+    return _edges(found)
+
+
+def sketch_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect, within each key, the rows whose sketches pass. members: key, id, n_shingles, component, sketch."""
+    dealt = _in_blocks(members.withColumn("n_shingles", F.lit(0)), "key", ["id", "component", "sketch"])
+    return dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _linked(t, lambda i, js: js), "a long, b long").distinct()
+
+
+def full_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect, within each cluster, the rows whose full sets reach the threshold.
+
+    members: cluster, id, n_shingles, component, sketch, shingles.
+    """
+
+    def compare(t: pa.Table) -> pa.Table:
+        left, right, _, _, _ = _sides(t)
+        col = t.column("shingles").combine_chunks()
+        flat, bounds = col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets[0].as_py()
+        size = np.diff(bounds)
+        # which rows of the right side hold a shingle
+        at = np.repeat(np.arange(len(right)), size[right])
+        values = np.concatenate([flat[bounds[j] : bounds[j + 1]] for j in right])
+        order = np.argsort(values, kind="stable")
+        values, at = values[order], at[order]
+        place = np.full(len(size), -1)
+        place[right] = np.arange(len(right))
+
+        def test(i, js):
+            own = flat[bounds[i] : bounds[i + 1]]
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = hi - lo
+            hits = at[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            both = np.bincount(hits, minlength=len(right))[place[js]]
+            return js[100 * both >= percent * (size[i] + size[js] - both)]
+
+        return _linked(t, test)
+
+    return _in_blocks(members, "cluster", ["id", "component", "sketch", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,12 +262,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     comp = written(connected_components(links), "components")
 
     # keys whose classes are not yet in one component; pairs with the smallest class have been tried
-    at = shared.where("n > 2").join(comp, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    at = shared.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set"))
     open_keys = open_keys.where("lo <> hi").groupBy("n", "set").agg(F.min("key").alias("key")).select("key")  # equal keys once
     members = at.join(open_keys, "key", "left_semi").join(sketches, "id").select("key", "id", "component", "sketch")
-    more = written(rest_pairs(members).join(star, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(more, rep_texts, width, percent)
+    # clusters: what passing sketches and components connect; only there can further links be
+    alike = written(sketch_links(members), "alike")
+    cluster = written(connected_components(alike.unionAll(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))), "clusters")
+    inside = cluster.withColumnRenamed("component", "cluster").join(comp, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
+    several = inside.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
+    inside = written(inside.join(several, "cluster", "left_semi"), "inside")
+    sets = sets_of(rep_texts.join(inside.select("id"), "id", "left_semi"), width).dropDuplicates(["id"])
+    inside = inside.join(sketches, "id").join(sets, "id").withColumn("n_shingles", F.size("shingles"))
+    more = full_links(inside, percent)
     comp = written(connected_components(links.unionAll(more)), "components")
 
     final = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
