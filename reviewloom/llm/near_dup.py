@@ -35,6 +35,8 @@ BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 MAX_FLIPS = 100
 #: classes, and shingles of theirs, that one task compares with as many others
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: ids up to this many (16 MB) are broadcast to select texts; more are joined by shuffle
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_sets(arr: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +138,11 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in ids (id, a written table)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def flips(a: str, b: str):
     """Population count of the XOR of two sketches."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
@@ -143,8 +150,8 @@ def flips(a: str, b: str):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(sets_of(docs.join(need, "id", "left_semi"), width), "sets")
+    need = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = written(sets_of(_of(docs, need), width), "sets")
     got = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     got = got.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -272,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     inside = cluster.withColumnRenamed("component", "cluster").join(comp, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
     several = inside.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
     inside = written(inside.join(several, "cluster", "left_semi"), "inside")
-    sets = sets_of(rep_texts.join(inside.select("id"), "id", "left_semi"), width).dropDuplicates(["id"])
+    sets = sets_of(_of(rep_texts, inside.select("id")), width).dropDuplicates(["id"])
     inside = inside.join(sketches, "id").join(sets, "id").withColumn("n_shingles", F.size("shingles"))
     more = full_links(inside, percent)
     comp = written(connected_components(links.unionAll(more)), "components")
