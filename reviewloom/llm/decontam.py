@@ -225,8 +225,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, kee
             if passes > 1:
                 got = got.select("row", F.col("n_words"), "spans", "items", F.col(f"row.`{text_col}`").alias("text"))
         else:
-            more = map_texts(got, "text", make, _OUT)
-            got = more.select("row.row", "row.n_words", _union_spans(F.col("row.spans"), F.col("spans")).alias("spans"), F.array_sort(F.array_union("row.items", "items")).alias("items"), "row.text")
+            more = map_texts(got, "text", make, _OUT).select(F.col("row").alias("before"), F.col("spans").alias("now"), F.col("items").alias("found"))
+            items = F.array_sort(F.array_union("before.items", "found"))
+            got = more.select("before.row", "before.n_words", _union_spans(F.col("before.spans"), F.col("now")).alias("spans"), items.alias("items"), "before.text")
         if passes > 1:
             got = written(got, "passes")
     if passes > 1:

@@ -30,6 +30,23 @@ def _ranked(df: DataFrame, by: list[str], order: str, rows: int) -> DataFrame:
     return df.withColumn("_i", inner).join(counts, [*by, "_b"]).withColumn("rank", F.col("_before") + F.col("_i") - 1).drop("_b", "_i", "_before")
 
 
+def _moved(wish: DataFrame, room: list[int], r: int) -> DataFrame:
+    """(rid, bundle, shard) after the moves of wish (rid, bundle, shard, to) that the rooms of the shards allow.
+
+    Larger bundles are taken first, those of like sizes in the order of a hash, as long as they fit; sums run
+    over buckets first.
+    """
+    left = F.element_at(F.array(*[F.lit(max(0, k)) for k in room]), F.col("to") + 1)
+    move = wish.where(F.col("shard") != F.col("to")).groupBy("to", "bundle").agg(F.count(F.lit(1)).alias("n"))
+    move = move.withColumn("b", (64 - F.floor(F.log2("n"))) * BUCKETS + F.pmod(F.xxhash64("bundle", F.lit(r)), F.lit(BUCKETS)))
+    upto = Window.partitionBy("to").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    by_bucket = move.groupBy("to", "b").agg(F.sum("n").alias("m")).select("to", "b", (F.sum("m").over(upto) - F.col("m")).alias("before"))
+    inner = Window.partitionBy("to", "b").orderBy("bundle").rowsBetween(Window.unboundedPreceding, 0)
+    move = move.withColumn("inner", F.sum("n").over(inner)).join(by_bucket, ["to", "b"]).where(F.col("before") + F.col("inner") <= left)
+    new = wish.join(move.select("to", "bundle", F.lit(True).alias("took")), ["to", "bundle"], "left")
+    return new.select("rid", "bundle", F.when(F.col("took"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
+
+
 def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 9) -> DataFrame:
     """(rid, shard, slot) for rows (rid, unique) and links (rid, key long): rows that share a key are neighbours.
 
@@ -43,29 +60,50 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
     parted = links.join(sizes, "key", "left_semi").join(F.broadcast(large), "key", "left")
     part = F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("parts"))
     links = written(parted.select("rid", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key")), "linked")
-    label = written(links.groupBy("rid").agg(F.min("key").alias("bundle")).withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(shards)).cast("int")), "labels")
+    # parts of large keys, about as many as shards, each start in a shard of their own
+    number = F.row_number().over(Window.orderBy("key", "part"))
+    starts = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("key", "part").alias("bundle"), ((number - 1) % shards).cast("int").alias("start"))
+    label = links.groupBy("rid").agg(F.min("key").alias("bundle")).join(F.broadcast(starts), "bundle", "left")
+    label = written(label.select("rid", "bundle", F.coalesce("start", F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(shards)).cast("int")).alias("shard")), "labels")
 
     for r in range(rounds):
         held = links.join(label.select("rid", "shard"), "rid").groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-        near = links.join(held, "key").groupBy("rid", "shard").agg(F.sum("n").alias("n"), F.max(F.xxhash64("key", "shard")).alias("tie"))
-        near = near.groupBy("rid").agg(F.max_by("shard", F.struct("n", "tie")).alias("to"))
+        if r < rounds // 2:  # first all move at once
+            held = held.withColumn("fits", F.lit(True))
+        else:  # then only to where the rest of the key has room
+            load = {x["shard"]: x["n"] for x in label.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
+            free = F.element_at(F.array(*[F.lit(max(0, cap - load.get(s, 0))) for s in range(shards)]), F.col("shard") + 1)
+            held = held.join(held.groupBy("key").agg(F.sum("n").alias("all")), "key").withColumn("fits", F.col("all") <= F.col("n") + free)
+        near = links.join(held, "key").groupBy("rid", "shard").agg(F.bool_and("fits").alias("fits"), F.sum("n").alias("n"), F.max(F.xxhash64("key", "shard")).alias("tie"))
+        near = near.groupBy("rid").agg(F.max_by("shard", F.struct("fits", "n", "tie")).alias("to"))
         wish = written(label.join(near, "rid"), "wishes")
         flow = wish.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()  # at most shards ** 2 rows
         if not any(x["shard"] != x["to"] for x in flow):
             drop_written(wish)
             break
         stay = [sum(x["n"] for x in flow if x["shard"] == s and x["to"] == s) for s in range(shards)]
-        room = F.element_at(F.array(*[F.lit(max(0, cap - k)) for k in stay]), F.col("to") + 1)
-        move = wish.where(F.col("shard") != F.col("to")).groupBy("to", "bundle").agg(F.count(F.lit(1)).alias("n"))
-        move = move.withColumn("b", F.pmod(F.xxhash64("bundle", F.lit(r)), F.lit(BUCKETS)))
-        upto = Window.partitionBy("to").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        by_bucket = move.groupBy("to", "b").agg(F.sum("n").alias("m")).select("to", "b", (F.sum("m").over(upto) - F.col("m")).alias("before"))
-        inner = Window.partitionBy("to", "b").orderBy("bundle").rowsBetween(Window.unboundedPreceding, 0)
-        move = move.withColumn("inner", F.sum("n").over(inner)).join(by_bucket, ["to", "b"]).where(F.col("before") + F.col("inner") <= room)
-        took = move.select("to", "bundle", F.lit(True).alias("took"))
-        new = wish.join(took, ["to", "bundle"], "left")
-        new = new.select("rid", "bundle", F.when(F.col("took"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
-        old, label = label, written(new, "labels")
+        old, label = label, written(_moved(wish, [cap - k for k in stay], r), "labels")
+        drop_written(old)
+        drop_written(wish)
+
+    # bundles that a full shard can't hold, or that are still apart, move whole to shards with room
+    for r in range(rounds):
+        load = {x["shard"]: x["n"] for x in label.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
+        room = [max(0, cap - load.get(s, 0)) for s in range(shards)]
+        if not sum(room):
+            break
+        apart = label.groupBy("bundle").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).where("lo <> hi").select("bundle")
+        if max(load.values(), default=0) > cap:
+            apart = apart.unionAll(_ranked(label, ["shard"], "bundle", total // max(1, shards)).where(F.col("rank") >= cap).select("bundle"))
+        apart = written(apart.distinct().withColumn("out", F.lit(True)), "apart")
+        if apart.isEmpty():
+            break
+        ends = [sum(room[: s + 1]) for s in range(shards)]
+        draw = F.pmod(F.xxhash64("bundle", F.lit(100 + r)), F.lit(sum(room)))
+        to = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda e: e <= draw))
+        wish = label.join(apart, "bundle", "left").select("rid", "bundle", "shard", F.when(F.col("out"), to).otherwise(F.col("shard")).alias("to"))
+        wish = written(wish, "wishes")
+        old, label = label, written(_moved(wish, room, r), "labels")
         drop_written(old)
         drop_written(wish)
 
