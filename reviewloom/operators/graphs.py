@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import dense_numbers
 
 def add_nodes(rows: DataFrame) -> DataFrame:
     """(id, type, key): nodes of rows (ord, type, key), numbered from 0 in first-seen order."""
     first = rows.groupBy("type", "key").agg(F.min("ord").alias("ord"))
-    return first.select((F.row_number().over(Window.orderBy("ord", "type", "key")) - 1).cast("long").alias("id"), "type", "key")
+    return dense_numbers(first, "id", "ord", "type", "key").select(F.col("id").cast("long").alias("id"), "type", "key")
 
 
 def calls_summary(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,9 +48,8 @@ def remove_node(incidence: DataFrame, node) -> tuple[DataFrame, DataFrame, DataF
     sizes = incidence.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("node_id") == node).cast("int")).alias("has"))
     gone = sizes.where("has = 1 and n <= 2").select("edge_id")
     left = incidence.where(F.col("node_id") != node).join(gone, "edge_id", "left_anti")
-    place = lambda c: (F.row_number().over(Window.orderBy(c)) - 1).cast("long").alias("position")
-    nodes = incidence.where(F.col("node_id") != node).select("node_id").distinct().select("node_id", place("node_id"))
-    return left, nodes, left.select("edge_id").distinct().select("edge_id", place("edge_id"))
+    nodes = dense_numbers(incidence.where(F.col("node_id") != node).select("node_id").distinct(), "position", "node_id")
+    return left, nodes, dense_numbers(left.select("edge_id").distinct(), "position", "edge_id")
 
 
 def degrees(incidence: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -81,6 +81,14 @@ def numbered(rows: DataFrame, at: str) -> DataFrame:
     return rows.withColumn("_i", inner).join(sizes.select("_p", before.alias("_b")), "_p").withColumn("line_no", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
+def dense_numbers(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds `name`: 0, 1, ... in a total order. Rows are sorted by ranges; no task sorts them all."""
+    from .scratch import written
+
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return numbered(written(dealt, "ranges"), "_at").drop("_at").withColumnRenamed("line_no", name)
+
+
 def report_cells(spark: SparkSession, path: str) -> DataFrame:
     """A report sheet landed as CSV: row_idx, c0 ... c6, all text but the row number."""
     return spark.read.csv(path, header=True, schema="row_idx long, " + ", ".join(f"c{i} string" for i in range(7)))

@@ -1 +1 @@
-
+"""Streams of landed replies."""
