@@ -19,10 +19,18 @@ SHARDS, ROUNDS, BUCKETS = 24, 4, 1024
 RANK_ROWS = 20_000
 
 
-def _ranked(df: DataFrame, by: list[str], order: str, rows: int) -> DataFrame:
-    """Adds `rank` (from 0) within `by`, in the order of a hash of `order`, then `order`, without sorting a whole group in one task."""
+def _ranked(df: DataFrame, by: list[str], order: str, rows: int, big: DataFrame | None = None) -> DataFrame:
+    """Adds `rank` (from 0) within `by`, in the order of a hash of `order`, then `order`, without sorting a whole group in one task.
+
+    big (order, pieces): values of `order` with too many rows for a window; they come first and are ranked in pieces.
+    """
     buckets = max(16, rows // RANK_ROWS)
-    df = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    own = F.pmod(F.xxhash64(order), F.lit(buckets))
+    if big is None:
+        df = df.withColumn("_b", own)
+    else:
+        piece = F.pmod(F.xxhash64(order, F.pmod(F.xxhash64("rid"), F.col("pieces"))), F.lit(buckets))
+        df = df.join(big, order, "left").withColumn("_b", F.when(F.col("pieces").isNull(), own + buckets).otherwise(piece)).drop("pieces")
     counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     counts = counts.select(*by, "_b", before.alias("_before"))
@@ -86,6 +94,10 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
         drop_written(old)
         drop_written(wish)
 
+    big = label.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANK_ROWS)
+    big = written(big.select("bundle", F.ceil(F.col("n") / RANK_ROWS).alias("pieces")), "big")
+    big = None if big.isEmpty() else big
+
     # bundles that a full shard can't hold, or that are still apart, move whole to shards with room
     for r in range(rounds):
         load = {x["shard"]: x["n"] for x in label.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
@@ -94,7 +106,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
             break
         apart = label.groupBy("bundle").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).where("lo <> hi").select("bundle")
         if max(load.values(), default=0) > cap:
-            apart = apart.unionAll(_ranked(label, ["shard"], "bundle", total // max(1, shards)).where(F.col("rank") >= cap).select("bundle"))
+            apart = apart.unionAll(_ranked(label, ["shard"], "bundle", total // max(1, shards), big).where(F.col("rank") >= cap).select("bundle"))
         apart = written(apart.distinct().withColumn("out", F.lit(True)), "apart")
         if apart.isEmpty():
             break
@@ -108,7 +120,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
         drop_written(wish)
 
     # linked rows keep their shard up to its size; all others fill the gaps
-    kept = written(_ranked(label, ["shard"], "bundle", total // max(1, shards)).where(F.col("rank") < cap).select("rid", "shard", F.col("rank").alias("slot")), "kept")
+    kept = written(_ranked(label, ["shard"], "bundle", total // max(1, shards), big).where(F.col("rank") < cap).select("rid", "shard", F.col("rank").alias("slot")), "kept")
     load = {x["shard"]: x["n"] for x in kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard
     ends, starts, used, at = [], [], [], 0
     for s in range(shards):

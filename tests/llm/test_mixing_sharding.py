@@ -53,7 +53,9 @@ def test_tree_splits_exactly(spark):
     assert 60 < next(r.quota for r in leaves if r.shard == 0 and r.key == "s0") < 190
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("rank_rows", [20_000, 10])
+def test_shards(spark, monkeypatch, rank_rows):
+    monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
     r = random.Random(4)
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(200)] + [f"five {i // 5}" for i in range(200)] + [f"own {i} {r.random()}" for i in range(300)] + [None] * 40 + [""] * 30
     r.shuffle(texts)
