@@ -9,6 +9,7 @@ parts that fit.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ RANK_ROWS = 20_000
 def _ranked(df: DataFrame, by: list[str], order: str, rows: int, big: DataFrame | None = None) -> DataFrame:
     """Adds `rank` (from 0) within `by`, in the order of a hash of `order`, then `order`, without sorting a whole group in one task.
 
-    big (order, pieces): values of `order` with too many rows for a window; they come first and are ranked in pieces.
+    big (order, pieces): values of `order` with many rows; they come first, and too many for a window are ranked in pieces.
     """
     buckets = max(16, rows // RANK_ROWS)
     own = F.pmod(F.xxhash64(order), F.lit(buckets))
@@ -64,10 +65,10 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
     cap = total // shards
     sizes = links.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # keys of more than `cap` rows: at most (links / cap) of them, which is `shards` times the keys of a row
-    large = written(sizes.where(F.col("n") > cap).select("key", F.ceil(F.col("n") / max(1.0, 0.9 * cap)).alias("parts")), "large")
-    parted = links.join(sizes, "key", "left_semi").join(F.broadcast(large), "key", "left")
-    part = F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("parts"))
-    links = written(parted.select("rid", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key")), "linked")
+    large = written(sizes.where(F.col("n") > cap).select("key", "n", F.ceil(F.col("n") / max(1, cap)).alias("parts")), "large")
+    small = links.join(sizes, "key", "left_semi").join(F.broadcast(large), "key", "left_anti").select("rid", "key")
+    parted = _ranked(links.join(F.broadcast(large), "key"), ["key"], "rid", total).select("rid", F.xxhash64("key", F.expr("rank * parts div n")).alias("key"))
+    links = written(small.unionAll(parted), "linked")
     # parts of large keys, about as many as shards, each start in a shard of their own
     number = F.row_number().over(Window.orderBy("key", "part"))
     starts = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("key", "part").alias("bundle"), ((number - 1) % shards).cast("int").alias("start"))
@@ -94,7 +95,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
         drop_written(old)
         drop_written(wish)
 
-    big = label.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANK_ROWS)
+    big = label.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(RANK_ROWS, max(1, cap // 8)))
     big = written(big.select("bundle", F.ceil(F.col("n") / RANK_ROWS).alias("pieces")), "big")
     big = None if big.isEmpty() else big
 
@@ -141,17 +142,30 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text_col: str = "text", keep:
     """For every row: `row`, size (UTF-8 bytes of the text plus 8; null: 8), text_crc32, shard, slot.
 
     Rows of equal texts are neighbours, empty texts among them; a null text has no neighbour. Rows that are
-    equal in everything are rows of their own. Rows are told apart by a number given when they are written.
+    equal in everything are rows of their own. Rows are told apart by their place in their files.
     """
     text = F.col(f"`{text_col}`").cast("string")
     fields = docs.columns if keep is None else keep
+    docs = _numbered(docs)
     base = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"),
+        F.col("_rid").alias("rid"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.when(text.isNotNull(), F.xxhash64(F.md5(text), F.octet_length(text))).alias("key"),
     )
     base = written(base, "rows")
     out = balanced_shards(base.select("rid"), base.where("key is not null").select("rid", "key"), shards)
-    return base.join(out, "rid").select("row", "size", "text_crc32", "shard", "slot")
+    out = base.drop("key").join(out, "rid")
+    rows = docs.select(F.col("_rid").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"))
+    return rows.join(out, "rid").select("row", "size", "text_crc32", "shard", "slot")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column _rid that tells rows apart, the same on every evaluation.
+
+    Rows of Parquet files have their file and their place in it; other rows are numbered and written.
+    """
+    try:
+        return docs.withColumn("_rid", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return written(docs.withColumn("_rid", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")

@@ -71,7 +71,7 @@ def test_shards(spark, monkeypatch, rank_rows):
         assert x["size"] == len((x.text or "").encode()) + 8
     small = [t for t in where if t is not None and t.split()[:1] in (["pair"], ["five"])]
     assert sum(len(where[t]) > 1 for t in small) <= 0.03 * len(small) and len(where[""]) == 1
-    assert len(where["hot"]) <= 8
+    assert len(where["hot"]) <= 6  # 97 rows fill a shard
 
 
 def test_general_links(spark):
