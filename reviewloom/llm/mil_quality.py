@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import textstats
 from . import textvec as tv
-from .shared import labelled_sample, map_texts
+from .shared import labelled_sample, map_texts, release
 
 #: labelled texts the model is fitted on, at most; words of a passage; sizes of encoding and attention
 SAMPLE, PASSAGE, ENCODING, GATE = 3000, 64, 16, 8
@@ -111,4 +111,6 @@ def quality_score(docs: DataFrame, model: dict, text_col: str = "text", keep: li
 
 def trained(docs: DataFrame, labels: DataFrame, keep=None, bound: int = SAMPLE) -> dict:
     """A model from the labelled rows of docs; keep: a condition on the id. Labels: `quality`."""
-    return fit(labelled_sample(docs, labels, "quality", bound, keep))
+    model = fit(labelled_sample(docs, labels, "quality", bound, keep))
+    release()
+    return model

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import crf, textstats
 from . import textvec as tv
-from .shared import labelled_sample, map_texts
+from .shared import labelled_sample, map_texts, release
 
 #: labelled texts the field is fitted on, at most; share of words in content lines that keeps a text
 SAMPLE, SHARE = 3000, 0.5
@@ -100,4 +100,6 @@ def quality(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
 
 def trained(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     """A field from the labelled rows of docs, `bound` at most. Labels: `quality`."""
-    return fit(labelled_sample(docs, labels, "quality", bound))
+    model = fit(labelled_sample(docs, labels, "quality", bound))
+    release()
+    return model

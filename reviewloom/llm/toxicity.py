@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .shared import labelled_sample, map_texts
+from .shared import labelled_sample, map_texts, release
 
 U = np.uint64
 #: labelled texts the model is fitted on, at most (half of them toxic at most)
-SAMPLE = 4000
+SAMPLE = 3000
 BITS = 20
 PREFIXES = (4, 5, 6)
 
@@ -61,7 +61,7 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def _chunks(texts: list[str]):
     arr = pa.array(texts, pa.large_string())
-    for lo, hi in tv.slices(arr):
+    for lo, hi in tv.slices(arr, tv.SLICE_BYTES // 4):
         yield lo, arr.slice(lo, hi - lo)
 
 
@@ -169,4 +169,6 @@ def toxicity(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
 
 def trained(docs: DataFrame, labels: DataFrame, keep=None, bound: int = SAMPLE) -> dict:
     """A model from the labelled rows of docs; keep: a condition on the id, for held-out rows. Labels: `toxic`."""
-    return fit(labelled_sample(docs, labels, "toxic", bound, keep))
+    model = fit(labelled_sample(docs, labels, "toxic", bound, keep))
+    release()
+    return model
