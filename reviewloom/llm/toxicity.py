@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: a text is toxic if at least one of its sentences is.
 
 A sentence has a logistic score over hashed features (words and byte prefixes of words). The text's score
-is the noisy-or of its sentences, 1 - prod(1 - p). Only labels of whole texts are needed to fit the weights,
-yet each sentence gets a score of its own, so offending sentences are located.
+is the noisy-or of its sentences above the background p0, the score of a sentence without features:
+1 - prod((1 - p) / (1 - p0)), so that neutral sentences add nothing, however many there are. Only labels of
+whole texts are needed to fit the weights, yet each sentence gets a score of its own, so offending sentences
+are located.
 """
 
 from __future__ import annotations
@@ -65,6 +67,15 @@ def _chunks(texts: list[str]):
         yield lo, arr.slice(lo, hi - lo)
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def _evidence(p: np.ndarray, p0: float) -> np.ndarray:
+    """log of the share of doubt that sentences leave: log((1 - p) / (1 - p0)), 0 at the background p0 and below."""
+    return np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-p0), 0.0)
+
+
 def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dict:
     """Weights from (text, label) rows. Without rows of both classes all texts get the share of label 1."""
     y = np.array([x[1] for x in sample], float)
@@ -95,22 +106,21 @@ def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dic
         docs.append(lo + doc)
         base += len(doc)
     rows, cols, docs = map(np.concatenate, (rows, cols, docs))
-    # sentences without any kept feature differ in nothing: they count per text
+    # sentences without any kept feature have the background score: they say nothing
     used, rows = np.unique(rows, return_inverse=True)
-    plain = np.bincount(np.delete(docs, used), minlength=len(y)).astype(float)
     docs, k = docs[used], int(good.sum())
-    w, bias = np.zeros(k), -9.0
+    w, bias = np.full(k, 2.0), -9.0  # at 0 no sentence is above the background
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     rate = np.where(y > 0, 0.5 * len(y) / n1, 0.5 * len(y) / n0)  # both classes weigh the same
     for t in range(1, steps + 1):
         z = bias + np.bincount(rows, w[cols], minlength=len(used)) if len(rows) else np.full(len(used), bias)
-        p, p0 = 1 / (1 + np.exp(-np.clip(z, -35, 35))), 1 / (1 + np.exp(-bias))
-        logq = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-p0)
+        p, p0 = _sigmoid(z), _sigmoid(bias)
+        logq = np.bincount(docs, _evidence(p, p0), minlength=len(y))
         score = np.clip(-np.expm1(logq), 1e-9, 1)
-        up = rate * np.where(y > 0, np.exp(logq) / score, -1.0) / len(y)  # dL/dz is up * p
-        gz = up[docs] * p
+        up = rate * np.where(y > 0, np.exp(logq) / score, -1.0) / len(y)  # dL/dz is up * p above the background
+        gz = up[docs] * np.where(p >= p0, p, 0.0)
         g = np.bincount(cols, gz[rows], minlength=k) - l2 * w / len(y)
-        gb = gz.sum() + (up * plain).sum() * p0 - 0.5 * (bias + 9) / len(y)  # most sentences are harmless
+        gb = (up[docs] * np.maximum(p - p0, 0.0)).sum() - 0.5 * (bias + 9) / len(y)  # most sentences are harmless
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -132,8 +142,8 @@ def score(model: dict, texts: pa.Array, cut: float = 0.5):
         word, col = np.nonzero(model["weights"][f])
         key = np.unique(sent[word].astype(np.int64) << BITS | f[word, col])
         np.add.at(z, key >> BITS, model["weights"][key & ((1 << BITS) - 1)])
-    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    logq = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n) if len(doc) else np.zeros(n)
+    p = _sigmoid(z)
+    logq = np.bincount(doc, _evidence(p, _sigmoid(model["bias"])), minlength=n) if len(doc) else np.zeros(n)
     found: list[list[dict]] = [[] for _ in range(n)]
     hit = np.flatnonzero(p >= cut)
     if len(hit):
@@ -142,7 +152,7 @@ def score(model: dict, texts: pa.Array, cut: float = 0.5):
         for s in hit.tolist():
             d = int(doc[s])
             found[d].append({"start": int(chars[a[bounds[s]]] - base[d]), "end": int(chars[b[bounds[s + 1] - 1]] - base[d]), "score": float(p[s])})
-    return -np.expm1(logq), found
+    return -np.expm1(logq) + 0.0, found
 
 
 _SENTENCE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])

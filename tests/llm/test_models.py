@@ -58,6 +58,16 @@ def test_toxic_sentences():
     assert toxicity.score(toxicity.fit([]), pa.array(["x"], pa.large_string()))[0][0] == 0
 
 
+def test_long_clean_text_is_not_toxic():
+    bad, fine = ["idiotic", "vermin"], "sun moon tree river stone cloud field bird path hill".split()
+    r = random.Random(3)
+    text = lambda x, n=2: " ".join([*(" ".join(r.choices(fine, k=5)) + "." for _ in range(n)), x, "end."])
+    m = toxicity.fit([(text(r.choice(bad)), 1) for _ in range(80)] + [(text(r.choice(fine)), 0) for _ in range(80)])
+    long = text("hill", 50000)
+    p = toxicity.score(m, pa.array([long, long + " vermin end.", "other words. " * 50000], pa.large_string()))[0]
+    assert p[0] < 0.1 and p[1] > 0.5 and p[2] == 0
+
+
 def test_base_counts(labelled):
     m = quality_rules.fit([])
     texts = [r[0] for r in labelled[:300]] + ["", " \n", "a b c a b c", "x\nx\n\n \nx", "#|x", "é é é é"]
