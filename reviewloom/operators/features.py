@@ -53,27 +53,82 @@ def labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return vectors.join(labels.where("label in (0, 1)"), "doc")
 
 
-def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, max_terms: int = 64, max_parts: int = 32) -> DataFrame:
-    """(doc, label, parts): principal components that keep `share` of the variance, fitted on the train rows.
+#: terms of the covariance, at most: d terms take d * d numbers on the driver, and four times that while it is solved
+MAX_TERMS = 16384
 
-    The vocabulary is the max_terms most frequent terms: the covariance of d terms takes d * d numbers on
-    the driver. Data are centred by the train mean; ids travel with their vectors.
+
+def principal_parts(cov, share: float):
+    """Orthonormal columns: the fewest principal components, largest first, whose part of the variance exceeds share."""
+    import numpy as np
+
+    total = float(np.trace(cov))
+    if not total > 0:
+        return np.zeros((len(cov), 0))
+    values, axes = np.linalg.eigh(cov)
+    held = np.cumsum(np.maximum(values[::-1], 0.0)) / total
+    k = min(int(np.searchsorted(held, share, side="right")) + 1, len(values))
+    return np.ascontiguousarray(axes[:, ::-1][:, :k])
+
+
+def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, min_df: int = 1, max_terms: int = MAX_TERMS) -> DataFrame:
+    """(doc, label, parts): the fewest principal components that keep more than `share` of the variance, fitted on the train rows.
+
+    The vocabulary is every term that min_df train documents hold (a term of no train document has no variance).
+    More than max_terms terms are an error, never cut: raise min_df, or max_terms with the driver's memory.
+    Data are centred by the train mean; ids travel with their vectors.
     """
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    terms = [r["term"] for r in vectors.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()]
-    at = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term"))
-    cells = labelled(vectors, labels).withColumn("at", at).groupBy("doc", "label").agg(F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, F.struct("at", "w")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(1), F.lit(len(terms))), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0)))
-    wide = cells.select("doc", "label", array_to_vector(dense).alias("raw"))
-    train = wide.where("label = 0")
-    centre = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=False).fit(train)
-    k = min(max_parts, len(terms))
-    pca = PCA(k=k, inputCol="x", outputCol="p").fit(centre.transform(train))
-    total, parts = 0.0, 0
-    for v in pca.explainedVariance.toArray():
-        total, parts = total + v, parts + 1
-        if total > share:
-            break
-    return pca.transform(centre.transform(wide)).select("doc", "label", F.slice(vector_to_array("p"), 1, parts).alias("parts"))
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..sources.scratch import written
+
+    spark = vectors.sparkSession
+    rows = written(labelled(vectors, labels).select("doc", "label", "term", "w"), "vectors")
+    train = rows.where("label = 0")
+    df = train.groupBy("term").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_df)
+    terms = [r["term"] for r in df.select("term").limit(max_terms + 1).collect()]
+    if len(terms) > max_terms:
+        raise ValueError(f"more than {max_terms} terms: raise min_df, or max_terms if the driver can hold their covariance")
+    d, n = len(terms), train.select("doc").distinct().count()
+    vocabulary = spark.createDataFrame(list(zip(sorted(terms), range(d))), T.StructType([T.StructField("term", rows.schema["term"].dataType), T.StructField("at", T.LongType())]))
+    cell = F.when(F.col("at").isNotNull(), F.struct("at", "w"))
+    cells = written(rows.join(F.broadcast(vocabulary), "term", "left").groupBy("doc", "label").agg(F.array_sort(F.collect_list(cell)).alias("m")), "cells")
+
+    # sums of products of each pair of terms, packed by the tasks
+    one = cells.where("label = 0").select("m", F.explode("m").alias("a"))
+    pairs = one.select("a", F.explode(F.filter("m", lambda x: x["at"] >= F.col("a.at"))).alias("b"))
+    sums = pairs.groupBy((F.col("a.at") * d + F.col("b.at")).alias("key")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("s"))
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], ["key", "s"])
+
+    cov, mean = np.zeros((d, d)), np.zeros(d)
+    for r in sums.mapInArrow(packed, "key binary, s binary").toLocalIterator():
+        cov.reshape(-1)[np.frombuffer(r["key"], np.int64)] = np.frombuffer(r["s"], np.float64)
+    for r in one.groupBy("a.at").agg(F.sum("a.w").alias("s")).collect():
+        mean[r["at"]] = r["s"] / n
+    for i in range(d):  # the sums fill the upper half
+        cov[i, i:] = (cov[i, i:] - n * mean[i] * mean[i:]) / max(n - 1, 1)
+        cov[i:, i] = cov[i, i:]
+    axes = principal_parts(cov, share)
+    del cov
+    held = spark.sparkContext.broadcast((axes, mean @ axes))
+    names = cells.select("doc", "label").schema
+
+    def project(batches):
+        axes, centre = held.value
+        step = max(1, (1 << 22) // max(1, axes.shape[1] * 32))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                out = np.tile(-centre, (part.num_rows, 1))
+                for i, m in enumerate(part.column(2).to_pylist()):
+                    if m:
+                        out[i] += np.array([x["w"] for x in m]) @ axes[[x["at"] for x in m]]
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * axes.shape[1]
+                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), parts], ["doc", "label", "parts"])
+
+    return cells.select("doc", "label", "m").mapInArrow(project, T.StructType([*names, T.StructField("parts", T.ArrayType(T.DoubleType()))]))

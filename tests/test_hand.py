@@ -190,3 +190,27 @@ def test_similarity_properties(spark, sets):
     t2 = {(r.x, r.y): r.tversky for r in bags.tversky(b, pairs, 0.75, 0.25).collect()}
     for x, y in j:
         assert close(j[x, y], j[y, x]) and (j[x, y] <= 0.5 or not (sets[x] or sets[y])) and close(t1[x, y], t2[y, x])
+
+
+def test_reduced_keeps_the_share_of_all_terms(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = np.where(r.random((160, 90)) < 0.15, r.random((160, 90)), 0.0)
+    x[:40, 85:] = 0  # terms of train documents only
+    label = np.arange(160) < 40
+    cells = [(int(i), f"t{j:02}", float(x[i, j])) for i, j in zip(*x.nonzero())] + [(0, "only in test", 1.0)]
+    vectors = spark.createDataFrame(cells, "doc long, term string, w double")
+    labels = spark.createDataFrame([(i, int(label[i])) for i in range(160)], "doc long, label int")
+    got = {g.doc: np.array(g.parts) for g in features.reduced(vectors, labels).collect()}
+    train = x[~label]
+    mean = train.mean(0)
+    values, axes = np.linalg.eigh(np.cov(train.T))
+    kept = np.cumsum(values[::-1]) / values.sum()
+    k = int((kept <= 0.95).sum()) + 1
+    assert 32 < k < 90 and kept[k - 1] > 0.95
+    want = (x - mean) @ axes[:, ::-1][:, :k]
+    assert len(got) == 160 and all(len(v) == k for v in got.values())
+    assert all(np.allclose(abs(got[i]), abs(want[i]), atol=1e-8) for i in range(160))
+    with pytest.raises(ValueError):
+        features.reduced(vectors, labels, max_terms=50)
