@@ -31,6 +31,8 @@ from .shared import ship, written
 
 U = np.uint64
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
+#: least threshold that bands and MAX_FLIPS are proven for
+LEAST_PERCENT = 80
 #: XOR bits at which the sketch estimate of the similarity is about 0.5
 MAX_FLIPS = 100
 #: classes, and shingles of theirs, that one task compares with as many others
@@ -244,8 +246,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     space) have 100 * intersection >= percent * union; component_id is the smallest id reachable.
     Null and empty texts have empty sets and are linked with nothing. Ids must be integers; a repeated id
     counts as one vertex, all its rows get its component; a null id is its own component (null).
-    Other columns are not read, whatever their names.
+    Other columns are not read, whatever their names. A percent under LEAST_PERCENT is an error: links would be missed.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent {percent}: bands and sketches find links of {LEAST_PERCENT} percent or more only")
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = written(sign(texts, width, "id", "text"), "signatures")

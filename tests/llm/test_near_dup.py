@@ -90,3 +90,8 @@ def test_sketches_estimate(spark):
     _, _, sketch = near_dup.signatures(np.concatenate(flat), np.array(bounds))
     z = [int(np.bitwise_count(sketch[i] ^ sketch[i + 1]).sum()) for i in range(0, len(sketch), 2)]
     assert z[0] == 0 and z[1] < near_dup.MAX_FLIPS and z[2] < near_dup.MAX_FLIPS < z[3] < z[4]
+
+
+def test_percent_below_the_proven_one_is_an_error(spark):
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=50)
