@@ -32,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any window of a benchmark item."""
-    got = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows without any window of a benchmark item, items without an id included."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = decontam.contamination(docs, bench.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null"))))
     return got.where(F.size("spans") == 0).select("row.*")
 
 

@@ -69,3 +69,12 @@ def test_no_items(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id string, text string")
     assert [tuple(r) for r in decontam.contamination(d, b).select("n_words", "spans", "items").collect()] == [(3, [], [])]
+
+
+def test_stage_drops_passages_of_items_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(None, passage), (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"so {passage} it is", "s"), (2, "nothing of the kind", "s")], "doc_id long, text string, source string")
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
