@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a text is toxic if at least one of its sentences is.
 
-A sentence has a logistic score over hashed features (words and byte prefixes of words). The text's score
+A sentence has a logistic score over hashed features of each of its words (the word, and what longer words begin with). The text's score
 is the noisy-or of its sentences above the background p0, the score of a sentence without features:
 1 - prod((1 - p) / (1 - p0)), so that neutral sentences add nothing, however many there are. Only labels of
 whole texts are needed to fit the weights, yet each sentence gets a score of its own, so offending sentences
@@ -22,7 +22,12 @@ U = np.uint64
 #: labelled texts the model is fitted on, at most (half of them toxic at most)
 SAMPLE = 3000
 BITS = 20
-PREFIXES = (4, 5, 6)
+#: bytes of the beginnings of longer words
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: settings that a validation split chooses from: least z-score of a screened feature, l2 and the bias to which l2 draws
+SETTINGS = [(z, l2, b) for z in (3.0, 5.0) for l2 in (0.2, 1.0) for b in (-9.0, -6.0)]
+#: a false alarm weighs as much as so many misses when settings are chosen
+FALSE_ALARM = 3.0
 
 _all = np.arange(256)
 WORD = ((_all >= 0x30) & (_all <= 0x39)) | ((_all >= 0x41) & (_all <= 0x5A)) | ((_all >= 0x61) & (_all <= 0x7A)) | (_all >= 0x80)
@@ -51,13 +56,13 @@ def sentences(texts: pa.Array):
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashed features of each word: itself and its byte prefixes (of shorter words: 0)."""
+    """Hashed features of each word: itself, and its first bytes if it is longer than those (else 0)."""
     view = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), 0, (1,))
     head, size = view[starts], ends - starts
     cols = [tv.word_hashes(buf, starts, ends) >> U(64 - BITS)]
     for n in PREFIXES:
         h = tv.mix((head & U((1 << (8 * n)) - 1)) + U(n * 0x9E3779B97F4A7C15 % 2**64)) >> U(64 - BITS)
-        cols.append(np.where(size >= n, h, U(0)))
+        cols.append(np.where(size > n, h, U(0)))
     return np.stack(cols, axis=1).astype(np.int32)
 
 
@@ -76,31 +81,31 @@ def _evidence(p: np.ndarray, p0: float) -> np.ndarray:
     return np.minimum(np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-p0), 0.0)
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dict:
-    """Weights from (text, label) rows. Without rows of both classes all texts get the share of label 1."""
-    y = np.array([x[1] for x in sample], float)
+def _counted(keys: np.ndarray) -> np.ndarray:
+    """Keys, each at most twice: a feature counts twice in a sentence, not as often as it is repeated."""
+    keys = np.sort(keys)
+    third = np.zeros(len(keys), bool)
+    third[2:] = keys[2:] == keys[:-2]
+    return keys[~third]
+
+
+def _fit(parts: list, y: np.ndarray, steps: int, z_least: float, l2: float, bias0: float) -> dict:
+    """Weights for one setting. parts: (first text, features of words, sentence of each word, text of each sentence)."""
     table = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.min() == y.max():
-        return {"weights": table, "bias": -30.0, "prior": float(y.mean()) if len(y) else 0.0}
-    texts = [x[0] for x in sample]
-    # screening: features that stand in texts of label 1 more often than in the others
+    # screening: features that stand in more texts of label 1 than chance allows
     seen = np.zeros((2, 1 << BITS), np.int32)
-    for lo, part in _chunks(texts):
-        buf, a, b, sent, doc, _ = sentences(part)
-        f = features(buf, a, b)
-        key = np.unique((doc[sent][:, None].astype(np.int64) << BITS | f).ravel()) if len(a) else np.zeros(0, np.int64)
-        label = y[lo + (key >> BITS)].astype(int)
-        np.add.at(seen, (label, key & ((1 << BITS) - 1)), 1)
+    for lo, f, sent, doc in parts:
+        key = np.unique((doc[sent][:, None].astype(np.int64) << BITS | f).ravel()) if len(f) else np.zeros(0, np.int64)
+        np.add.at(seen, (y[lo + (key >> BITS)].astype(int), key & ((1 << BITS) - 1)), 1)
     n1, n0 = y.sum(), (1 - y).sum()
-    good = (seen[1] >= 3) & (seen[1] / n1 > 1.5 * (seen[0] + 0.5) / n0)
+    share = (seen.sum(axis=0) + 1) / (len(y) + 2)
+    good = (seen[1] >= 3) & ((seen[1] / n1 - seen[0] / n0) > z_least * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))
     good[0] = False
     index = np.cumsum(good) - 1
     rows, cols, docs, base = [], [], [], 0
-    for lo, part in _chunks(texts):
-        buf, a, b, sent, doc, _ = sentences(part)
-        f = features(buf, a, b)
+    for lo, f, sent, doc in parts:
         word, col = np.nonzero(good[f])
-        key = np.unique(sent[word].astype(np.int64) << BITS | f[word, col])
+        key = _counted(sent[word].astype(np.int64) << BITS | f[word, col])
         rows.append(base + (key >> BITS))
         cols.append(index[key & ((1 << BITS) - 1)])
         docs.append(lo + doc)
@@ -109,7 +114,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dic
     # sentences without any kept feature have the background score: they say nothing
     used, rows = np.unique(rows, return_inverse=True)
     docs, k = docs[used], int(good.sum())
-    w, bias = np.full(k, 2.0), -9.0  # at 0 no sentence is above the background
+    w, bias = np.full(k, 2.0), bias0  # at 0 no sentence is above the background
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     rate = np.where(y > 0, 0.5 * len(y) / n1, 0.5 * len(y) / n0)  # both classes weigh the same
     for t in range(1, steps + 1):
@@ -120,7 +125,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dic
         up = rate * np.where(y > 0, np.exp(logq) / score, -1.0) / len(y)  # dL/dz is up * p above the background
         gz = up[docs] * np.where(p >= p0, p, 0.0)
         g = np.bincount(cols, gz[rows], minlength=k) - l2 * w / len(y)
-        gb = (up[docs] * np.maximum(p - p0, 0.0)).sum() - 0.5 * (bias + 9) / len(y)  # most sentences are harmless
+        gb = (up[docs] * np.maximum(p - p0, 0.0)).sum() - 0.5 * (bias - bias0) / len(y)  # most sentences are harmless
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -130,6 +135,41 @@ def fit(sample: list[tuple[str, int]], steps: int = 400, l2: float = 0.2) -> dic
     return {"weights": table, "bias": float(bias), "prior": None}
 
 
+def _prepared(texts: list[str]) -> list:
+    out = []
+    for lo, part in _chunks(texts):
+        buf, a, b, sent, doc, _ = sentences(part)
+        out.append((lo, features(buf, a, b), sent, doc))
+    return out
+
+
+def fit(sample: list[tuple[str, int]], steps: int = 300, folds: int = 4) -> dict:
+    """Weights from (text, label) rows. Without rows of both classes all texts get the share of label 1.
+
+    Every folds-th row of each class is set aside first: the setting that does best there is fitted to all rows. Samples too
+    small for that (under 10 rows of a class set aside) take the first setting.
+    """
+    y = np.array([x[1] for x in sample], float)
+    if not len(y) or y.min() == y.max():
+        return {"weights": np.zeros(1 << BITS, np.float32), "bias": -30.0, "prior": float(y.mean()) if len(y) else 0.0}
+    place = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        place[y == label] = np.arange(int((y == label).sum()))
+    aside = place % folds == 0
+    best = SETTINGS[0]
+    if min((y[aside] == k).sum() for k in (0, 1)) >= 10:
+        parts = _prepared([x[0] for x, out in zip(sample, aside) if not out])
+        held = pa.array([x[0] for x, out in zip(sample, aside) if out], pa.large_string())
+        truth, value = y[aside] > 0, -1.0
+        for setting in SETTINGS:
+            m = _fit(parts, y[~aside], steps, *setting)
+            got = np.concatenate([score(m, held.slice(lo, hi - lo))[0] for lo, hi in tv.slices(held)]) >= 0.5
+            now = got[truth].mean() + FALSE_ALARM * (~got[~truth]).mean()
+            if now > value:
+                best, value = setting, now
+    return {**_fit(_prepared([x[0] for x in sample]), y, steps, *best), "setting": best}
+
+
 def score(model: dict, texts: pa.Array, cut: float = 0.5):
     """Scores of texts, and per text the sentences (start, end in code points, score) of at least `cut`."""
     n = len(texts)
@@ -140,8 +180,8 @@ def score(model: dict, texts: pa.Array, cut: float = 0.5):
     if len(a):
         f = features(buf, a, b)
         word, col = np.nonzero(model["weights"][f])
-        key = np.unique(sent[word].astype(np.int64) << BITS | f[word, col])
-        np.add.at(z, key >> BITS, model["weights"][key & ((1 << BITS) - 1)])
+        key = _counted(sent[word].astype(np.int64) << BITS | f[word, col])
+        z += np.bincount(key >> BITS, model["weights"][key & ((1 << BITS) - 1)], minlength=len(z))
     p = _sigmoid(z)
     logq = np.bincount(doc, _evidence(p, _sigmoid(model["bias"])), minlength=n) if len(doc) else np.zeros(n)
     found: list[list[dict]] = [[] for _ in range(n)]
