@@ -21,8 +21,10 @@ from . import crf
 from .shared import map_texts
 
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
-#: their text is never shown as text of the page
-SKIPPED = frozenset("head script style noscript template svg iframe object audio video canvas title math".split())
+#: their text is never shown as text of the page, or stands for a script
+SKIPPED = frozenset("head script style noscript template iframe title".split())
+#: any other element ends a head that was not closed
+IN_HEAD = frozenset("head base link meta script style title template noscript".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: an opening element closes open ones of these, up to the nearest of the bounds
@@ -38,7 +40,7 @@ KEYWORDS = {
     "foot": "footer copyright legal contentinfo imprint bottom",
     "side": "sidebar side widget widgets related recommended recommendation popular trending aside rail complementary teaser more tags tag",
     "notice": "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall toast disclaimer warning info",
-    "comment": "comment comments commentlist disqus reply replies discussion respond responses reactions feedback review reviews",
+    "comment": "comment comments commentlist disqus reply replies discussion respond responses reactions feedback",
     "share": "share sharing social follow buttons tools meta byline author date",
     "form": "form search login signup register contact survey poll",
     "text": "content article post entry story body main text page maincontent articlebody",
@@ -54,15 +56,22 @@ _OWN = {x: BIT[f"is_{x}"] for x in OWN}
 _KIND = {k: BIT[f"word_{k}"] for k in KEYWORDS}
 _NEAREST = BIT["nearest_text"] | BIT["nearest_other"]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+#: a tag up to its end; a quote that never closes stops quoting: then the next way of reading is taken for the rest of the page
+_TAGS = [re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(" + part + r")>") for part in ("(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", "(?:[^>\"]++|\"[^\"]*+\")*+", "(?:[^>']++|'[^']*+')*+", "[^>]*+")]
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in RAW}
+_LONG_NUMBER = re.compile(r"&#0*([0-9]{8,});?")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-@functools.lru_cache(maxsize=65536)
 def _context(tag: str, attrs: str) -> tuple[int, int]:
     """Bits that an element adds to all below it, and what its own words say of it (nearest)."""
+    return _short_context(tag, attrs) if len(attrs) < 400 else _any_context(tag, attrs)
+
+
+def _any_context(tag: str, attrs: str) -> tuple[int, int]:
     bits, near = _ABOVE.get(tag, 0), 0
     if attrs:
         kinds = set()
@@ -82,11 +91,25 @@ def _context(tag: str, attrs: str) -> tuple[int, int]:
     return bits, near
 
 
+_short_context = functools.lru_cache(maxsize=65536)(_any_context)
+
+
+def decoded(text: str) -> str:
+    """Text with its character references decoded; a number beyond all code points is U+FFFD."""
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text))
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(feature bits, text) of the leaf blocks of a page, in page order; texts are decoded and trimmed, never empty."""
+    """(feature bits, text) of the leaf blocks of a page, in page order; texts are decoded and trimmed, never empty.
+
+    The time is linear in the page's length, however its markup is broken: open elements are found by their names, and
+    what can't be closed is looked for once.
+    """
     out: list[tuple[int, str]] = []
-    # (tag, bits, skipped) of open elements
+    # (tag, bits, skipped) of open elements, the places of each name, and those of block elements
     stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    places: dict[str, list[int]] = {}
+    block_places: list[int] = []
     text: list[str] = []
     links = [0]
     state = [0, ""]  # bits and nearest block element where the run of text began
@@ -94,7 +117,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     def flush() -> None:
         if not text:
             return
-        got = " ".join(html.unescape("".join(text)).split())
+        got = " ".join(decoded("".join(text)).split())
         text.clear()
         n_link, links[0] = links[0], 0
         if not got:
@@ -116,81 +139,87 @@ def blocks(page: str) -> list[tuple[int, str]]:
         out.append((bits, got))
 
     def add(piece: str) -> None:
+        if not piece:
+            return
+        if stack[-1][0] == "head" and not piece.isspace():  # text can't stand in a head
+            drop_to(len(stack) - 1)
         top = stack[-1]
-        if top[2] or not piece:
+        if top[2]:
             return
         if not text:
             if piece.isspace():
                 return
             state[0] = top[1]
-            state[1] = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
+            state[1] = stack[block_places[-1]][0] if block_places else ""
         if top[1] & _ABOVE["a"]:
             links[0] += len(piece)
         text.append(piece)
 
+    def drop_to(i: int) -> None:
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+
     def pop_to(i: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[i:]):
+        if block_places and block_places[-1] >= i:
             flush()
-        del stack[i:]
+        drop_to(i)
 
-    at, end = 0, len(page)
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+    at, end, last_end, way = 0, len(page), page.rfind(">") + 1, 0
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+        m = _START.search(page, at, last_end)
+        if m is None:  # no tag is closed any more; a comment is cut off
+            cut = page.find("<!--", max(at, last_end))
+            add(page[at:] if cut < 0 else page[at:cut])
             break
         add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        if m[0] == "<!--":
+            close = page.find("-->", m.end())
+            at = end if close < 0 else close + 3
+            continue
+        if not m[0][-1].isalpha():
+            at = page.find(">", m.end()) + 1 or end
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+        while (tagged := _TAGS[way].match(page, m.start())) is None:
+            way += 1
+        at = tagged.end()
+        tag, attrs = tagged[2].lower(), tagged[3]
+        if tagged[1]:
+            if places.get(tag):
+                pop_to(places[tag][-1])
+            elif tag in BLOCK:
+                flush()
             continue
         if tag == "br":
             add(" ")
             continue
+        if places.get("head") and tag not in IN_HEAD and last(("template", "noscript")) < places["head"][-1]:
+            drop_to(places["head"][-1])
         if tag in BLOCK:
             flush()
             if tag in CLOSES:
                 own, bounds = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in own:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in bounds:
-                        break
-            if tag in _P_ENDS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+                if (i := last(own)) > last(bounds):
+                    drop_to(i)
+            if tag in _P_ENDS and block_places and stack[block_places[-1]][0] == "p":
+                drop_to(block_places[-1])
         if tag in VOID:
             continue
-        attrs = m[3] if m[2] else m[6]
-        if tag == "body":  # what stands open in a head that was not closed
-            for i in range(1, len(stack)):
-                if stack[i][0] == "head":
-                    del stack[i:]
-                    break
         if attrs.endswith("/") and tag not in BLOCK:
             continue
         bits, near = _context(tag, attrs.strip())
         over = stack[-1][1]
         if near:
             over = over & ~_NEAREST | near
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_places.append(len(stack))
         stack.append((tag, over | bits, stack[-1][2] or tag in SKIPPED))
         if tag in RAW:  # nothing inside is markup
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close = _ENDS[tag].search(page, at, last_end)
             inner = page[at : close.start() if close else end]
             if tag == "textarea":
                 add(inner)
@@ -359,7 +388,7 @@ _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_cha
 def main_text(pages: DataFrame, model: dict | None = None, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """For every row: `row`, text (the content blocks, one a line) and n_chars (its code points).
 
-    Null and empty pages, and pages without content, give an empty text. Whole pages are read, whatever
+    Null and empty pages, and pages without content, give an empty text. Whole pages are read in linear time, whatever
     their length; markup that is cut off or wrongly nested is read as far as it goes.
     """
     held = pages.sparkSession.sparkContext.broadcast(model or default_model())

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -121,5 +122,22 @@ def test_extraction_cases():
     <aside class=sidebar><p>Related story one that is quite long as well.</p></aside><section class="comments"><h2>Comments</h2><p>I disagree with this article completely.</p></section>
     <footer>&copy; 2020 Company. All rights reserved.</footer>"""
     assert x.text(page) == "The title\nFirst & bold text of the story, long enough to be read.\nSecond <p> paragraph with a link inside of it. éé\nThird paragraph ends the article here."
+    for tag in ("math", "object", "video", "canvas", "svg"):  # an article's text, whatever holds it
+        assert x.text(f"<article><h1>The title</h1><p>A formula of the article <{tag}><mi>xyz</mi></{tag}> stands here, in the text.</p></article>") == "The title\nA formula of the article xyz stands here, in the text."
+    prose = "The first paragraph of an article is long enough to be read as such. " * 3
+    assert x.text(f"<html><head><title>T</title><meta charset=utf-8><link rel=x><article><h1>The title</h1><p>{prose}</article>") == "The title\n" + prose.strip()
+    assert [t for _, t in html_extract.blocks(f"<head><title>T</title>{prose}")] == [prose.strip()]
+    assert x.text(f"<article><p>{prose}<!-- cut off <p>no") == prose.strip()
+    assert html_extract.decoded("&#65;&#0065;&#" + "9" * 5000 + ";&amp;") == "AA\ufffd&"
     for odd in ("", "<", "<p", "</p></div>", "<!--", "<script>", "&#xZZ; <b", '<a title="' * 50, "<div>" * 3000, "plain text"):
         assert isinstance(x.text(odd), str)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\"", "</a", "<!-- ", "<i>", "<i></b>", "<li><ul><i>", "<p><i></i>", "<script", "</script", "<a x='\">", "<td></td><b>", "&#9", "<![CDATA[", "<textarea>", "<p>x", "<head>", "&"])
+def test_broken_pages_in_linear_time(piece):
+    """A megabyte of broken markup takes seconds at most."""
+    n = (1 << 20) // len(piece)
+    for page in (piece * n, "<div>" + piece * n + "</div>", "<script>" + piece * n, "<li><ul>" + "<i>" * 100_000 + "<li></li>" * 50_000 + piece):
+        began = time.time()
+        html_extract.blocks(page)
+        assert time.time() - began < 10
