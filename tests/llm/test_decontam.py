@@ -33,7 +33,9 @@ def brute(text, items, size):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=40).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=12, unique=True), st.binary(max_size=300).map(lambda b: bytes(97 + x % 3 for x in b)), st.integers(1, 64))
 def test_search_finds_all(patterns, text, stride):
-    p, at = decontam.WuManber(patterns).find(np.frombuffer(text + b"\0" * 8, np.uint8), len(text), stride)
+    size = np.array([len(x) for x in patterns], np.int32)
+    data = np.frombuffer(b"".join(patterns) + b"\0" * 8, np.uint8)
+    p, at = decontam.WuManber(data, (np.cumsum(size) - size).astype(np.int32), size).find(np.frombuffer(text + b"\0" * 8, np.uint8), len(text), stride)
     want = sorted((i, k) for i, x in enumerate(patterns) for k in range(len(text)) if text.startswith(x, k))
     assert sorted(zip(p.tolist(), at.tolist())) == want
 
@@ -51,7 +53,9 @@ def test_matcher():
     for seed in range(4):
         items, docs = cases(seed)
         m = decontam.Matcher(items, 4)
-        n, spans, found = m(pa.array([d or "" for d in docs], pa.large_string()))
+        text = decontam.Prepared(pa.array([d or "" for d in docs], pa.large_string()))
+        text.add(m)
+        n, spans, found = text.result()
         got = [(int(a), int(sum(s[1::2]) - sum(s[::2])), f) for a, s, f in zip(n, spans, found)]
         assert got == [brute(d, items, 4) for d in docs]
 
