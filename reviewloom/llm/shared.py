@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else the folder of setCheckpointDir.
 
-    Only where the session has none (tests in local mode) is a temporary one made and set.
+    Only where neither is set and the master is local (tests) is a temporary folder made. Elsewhere that is an error:
+    each executor would write to a disk of its own.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
     own = getattr(spark, "_reviewloom_shared", None)
     if own is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="reviewloom-")
         spark._reviewloom_shared = own
     return own
@@ -56,13 +63,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by `written` that no later plan reads."""
-    path = getattr(df, "_reviewloom_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def drop_written(*tables: DataFrame | None) -> None:
+    """Delete tables made by `written` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_reviewloom_path", None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: a key of more rows is heavy; heavy keys, at most (their numbers of pieces are broadcast)
+HEAVY_ROWS, HEAVY_KEYS = 512, 20_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, so that no task meets all rows of a heavy key.
+
+    right has one row for each key, with the number n of left's rows of that key (n goes with it into the result); total is
+    the number of left's rows. A key of more than max(HEAVY_ROWS, total / HEAVY_KEYS) rows is cut into pieces of about
+    that size by a hash of the row: right's row is repeated for each piece. Such keys number HEAVY_KEYS at most, whatever
+    the corpus holds: that bound makes the broadcast of their numbers of pieces safe.
+    """
+    per = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    pieces = F.ceil(F.col(n) / per).cast("int")
+    heavy = F.broadcast(right.where(F.col(n) > per).select(*keys, pieces.alias("_pieces")))
+    dealt = left.join(heavy, keys, "left")
+    salt = F.xxhash64(*[F.col(c) for c, kind in left.dtypes if "map<" not in kind])
+    dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(salt, F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "_piece"], how).drop("_piece")
 
 
 def fold(doc_id: str, parts: int):
@@ -106,11 +136,11 @@ def release() -> None:
         pass
 
 
-def map_texts(rows: DataFrame, text_col: str, make, out, keep: list[str] | None = None) -> DataFrame:
+def map_texts(rows: DataFrame, text_col: str, make, out, keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
     """One output row for each row: `row` (a struct of its columns, or of those in keep) and the columns `out`.
 
     make() is called once in each task and returns a function from an Arrow array of whole texts
-    (null: empty; about a megabyte at a time) to the arrays of `out` (a StructType). Input columns travel
+    (null: empty; about `limit` bytes at a time) to the arrays of `out` (a StructType). Input columns travel
     inside the struct, so their names can't clash with the output's.
     """
     import pyarrow as pa
@@ -126,7 +156,7 @@ def map_texts(rows: DataFrame, text_col: str, make, out, keep: list[str] | None
         work = make()
         for batch in batches:
             texts = tv.text_column(batch, "text")
-            for lo, hi in tv.slices(texts):
+            for lo, hi in tv.slices(texts, limit):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *work(texts.slice(lo, hi - lo))], names)
 
     src = rows.select(F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -7,6 +7,7 @@ follow, that the member ends there, and that block and payload digests are right
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -23,6 +24,10 @@ from .shared import new_path, ship, written
 MIN_SHARED, ARCHIVE_BYTES, CHUNK = 1000, 1 << 30, 1 << 18
 #: compression and the date that is written where a page has none: archives of equal input are equal
 LEVEL, DATE = 6, "1970-01-01T00:00:00Z"
+#: plain bytes inflated at a time, and those of a header at most
+INFLATE, MAX_HEADER = 1 << 20, 1 << 20
+#: names that Hadoop has for stores which pyarrow knows by another
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs"}
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -79,19 +84,19 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
             if ended:
                 return
         z = zlib.decompressobj(31)
-        plain, need, headers, start = bytearray(), None, None, 0
+        plain, need, headers, start, seen = bytearray(), None, None, 0, 0
         while not z.eof:
             if not left:
                 left = more()
                 if ended:
                     raise WarcError("the archive ends inside a record")
             try:
-                plain += z.decompress(left)
+                plain += z.decompress(left, INFLATE)
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            left = z.unused_data if z.eof else b""
-            if headers is None and (at := plain.find(b"\r\n\r\n")) >= 0:
-                head = plain[:at].decode("utf-8").split("\r\n")
+            left = z.unused_data if z.eof else z.unconsumed_tail
+            if headers is None and (at := plain.find(b"\r\n\r\n", seen)) >= 0:
+                head = plain[:at].decode("utf-8", "replace").split("\r\n")
                 if not head[0].startswith("WARC/"):
                     raise WarcError("no WARC version line")
                 headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
@@ -100,33 +105,65 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
                     need = start + int(headers["content-length"]) + 4
                 except (KeyError, ValueError) as e:
                     raise WarcError("no Content-Length") from e
-            if need is not None and len(plain) > need:
-                raise WarcError("more bytes than Content-Length says")
+            seen = max(0, len(plain) - 3)
+            if len(plain) > (MAX_HEADER if need is None else need):
+                raise WarcError("a header without end" if need is None else "more bytes than Content-Length says")
         if need is None or len(plain) != need or plain[-4:] != b"\r\n\r\n":
             raise WarcError("the member doesn't end with the record")
         block = bytes(plain[start:-4])
-        if (d := headers.get("warc-block-digest")) and d != f"sha1:{hashlib.sha1(block).hexdigest()}":
+        if not _agrees(headers.get("warc-block-digest"), block):
             raise WarcError("wrong block digest")
         yield headers, block
 
 
+def _hex(digest: str | None) -> str | None:
+    """A SHA-1 digest header as lower-case hex, whether it is in hex or in base 32; None for none or another algorithm."""
+    algorithm, _, value = (digest or "").partition(":")
+    if algorithm.lower() != "sha1":
+        return None
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value.upper()).hex()
+        except ValueError as e:
+            raise WarcError("a digest that is none") from e
+    return value.lower()
+
+
+def _agrees(digest: str | None, data: bytes) -> bool:
+    want = _hex(digest)
+    return want is None or want == hashlib.sha1(data).hexdigest()
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes | None:
-    """The payload of a response, its digest checked; None for a revisit."""
+    """The payload of a response, its digest checked; None for other records. A block that isn't HTTP is its payload."""
     if headers.get("warc-type") != "response":
         return None
-    payload = block[block.find(b"\r\n\r\n") + 4 :]
-    if headers.get("warc-payload-digest") != f"sha1:{hashlib.sha1(payload).hexdigest()}":
+    payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
+    if not _agrees(headers.get("warc-payload-digest"), payload):
         raise WarcError("wrong payload digest")
     return payload
 
 
+def row_of(headers: dict[str, str], body: bytes | None, payloads: bool) -> tuple:
+    """The row of a record. What other writers leave out is null, or follows from the payload."""
+    number = lambda k: int(headers[k]) if headers.get(k, "null") != "null" else None
+    size = number("x-payload-length")
+    if body is not None and size is not None and len(body) != size:
+        raise WarcError("wrong payload length")
+    digest = _hex(headers.get("warc-payload-digest"))
+    if body is not None:
+        size, digest = len(body), digest or hashlib.sha1(body).hexdigest()
+    return number("x-page-id"), headers.get("warc-target-uri"), headers.get("warc-type"), digest, size, number("x-refers-to-page"), body if payloads else None
+
+
 def _filesystem(path: str):
     """(file system, path in it) of a URI, for Python workers: any store that pyarrow knows, not only local ones."""
     from pyarrow import fs
 
     if path.startswith(("/", "file:")):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_shared: int = MIN_SHARED) -> DataFrame:
@@ -182,6 +219,9 @@ _RECORD = T.StructType([T.StructField(c, t) for c, t in (("page_id", T.LongType(
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of archives (path): page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
 
+    Archives of other writers are read, too, if each record is a member of its own: their record types are kept,
+    page_id and refers_to are null, digests may be in base 32.
+
     An archive is read from its start to its end by one task; records stream through it. A broken archive fails
     the job. Digest and length of a revisit are those that its header gives of the full payload. payload is
     null for revisits, and for all if payloads is false (it is checked all the same).
@@ -196,11 +236,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with fs.open_input_stream(at, compression=None) as f:
                     for h, block in read_records(iter(lambda f=f: f.read(CHUNK), b"")):
-                        body = payload_of(h, block)
-                        if body is not None and len(body) != int(h["x-payload-length"]):
-                            raise WarcError("wrong payload length")
-                        page, to = h["x-page-id"], h.get("x-refers-to-page")
-                        rows.append((None if page == "null" else int(page), h["warc-target-uri"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"]), int(to) if to else None, body if payloads else None))
+                        rows.append(row_of(h, payload_of(h, block), payloads))
                         size += len(block) if payloads else 64
                         if len(rows) >= 4096 or size >= 1 << 22:
                             yield _batch(rows)
