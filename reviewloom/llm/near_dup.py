@@ -4,7 +4,8 @@
    keys of ROWS MinHash values each, and an odd sketch: every MinHash value flips one bit of a bitmap, so
    that the XOR of two bitmaps marks the values in which the samples differ, and its population count
    estimates the similarity.
-2. Texts of equal sets form a class; its smallest id stands for it from here on.
+2. Texts of equal sets form a class; a vertex (its smallest id, its fingerprint) stands for it from here on. Rows that
+   share an id but not the set are vertices of their own.
 3. Classes that share a band key are linked to the smallest class of that key (a star, not all pairs).
    Star links whose sketches differ too much are dropped; the others are confirmed on the full sets.
 4. Connected components join the confirmed links. A key whose classes are all in one component needs no
@@ -22,21 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
-from .shared import ship, written
+from .shared import drop_written, salted_join, ship, written
 
 U = np.uint64
+HAS_WORD = r"[^\x20\x09-\x0D]"
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 #: least threshold that bands and MAX_FLIPS are proven for
 LEAST_PERCENT = 80
 #: XOR bits at which the sketch estimate of the similarity is about 0.5
 MAX_FLIPS = 100
 #: classes, and shingles of theirs, that one task compares with as many others
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: ids up to this many (16 MB) are broadcast to select texts; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -101,8 +103,8 @@ def _lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.reshape(-1).view(np.int64)))
 
 
-def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, fp, bands, sketch) of every row; empty sets have null lists."""
+def sign(docs: DataFrame, width: int) -> DataFrame:
+    """(id, th, n_shingles, fp, bands, sketch) of docs (id, th, text); empty sets have null lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +113,7 @@ def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "t
                 flat, bounds = shingle_sets(texts.slice(lo, hi - lo), width)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
-                ids = batch.column(0).slice(lo, hi - lo)
-                cols = [ids, pa.array(sizes)]
+                cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes)]
                 if len(full):
                     fp, bands, sketch = signatures(flat, np.concatenate([bounds[:-1][full], bounds[-1:]]))
                     take = np.full(len(sizes), -1)
@@ -121,28 +122,37 @@ def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "t
                     cols += [_lists(x).take(index) for x in (fp, bands, sketch)]
                 else:
                     cols += [pa.nulls(len(sizes), pa.list_(pa.int64()))] * 3
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "fp", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "n_shingles", "fp", "bands", "sketch"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, fp array<long>, bands array<long>, sketch array<long>")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n_shingles long, fp array<long>, bands array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of docs (id, text)."""
+    """(id, tag, shingles) of docs (id, text): tag is the first half of the set's fingerprint."""
+    salt = tv.randoms(11, 2)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = tv.text_column(batch, "text")
             for lo, hi in tv.slices(texts):
                 flat, bounds = shingle_sets(texts.slice(lo, hi - lo), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))], ["id", "shingles"])
+                full, tag = np.diff(bounds) > 0, np.zeros(hi - lo, U)
+                if full.any():
+                    with np.errstate(over="ignore"):
+                        tag[full] = np.add.reduceat(tv.mix(flat ^ salt), bounds[:-1][full])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tag.view(np.int64)), lists], ["id", "tag", "shingles"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, tag long, shingles array<long>")
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids (id, a written table)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _sets(texts: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """need (v, ...; a written table, one row for each vertex) with the vertices' shingles."""
+    ids = need.select(F.col("v.id").alias("id")).distinct()
+    some = texts.join(F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    sets = sets_of(some, width).select(F.struct("id", "tag").alias("v"), "shingles")
+    # a repeated row has its set twice; sets of an id's other texts meet no vertex
+    return need.join(sets, "v").dropDuplicates(["v"])
 
 
 def flips(a: str, b: str):
@@ -150,26 +160,30 @@ def flips(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    need = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = written(sets_of(_of(docs, need), width), "sets")
-    got = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    got = got.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b; a written table) whose full sets reach the threshold: 100 * intersection >= percent * union."""
+    ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(pairs.select("b", F.lit(0), F.lit(1)))
+    need = written(ends.groupBy("v").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), "needed")
+    sets, total = written(_sets(texts, need, width), "sets"), pairs.count()
+    got = salted_join(pairs, sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"), "n_b").where("n_b > 0"), ["b"], "n_b", total)
+    got = salted_join(got.select("a", "b", "sb"), sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"), "n_a").where("n_a > 0"), ["a"], "n_a", total)
     both = F.size(F.array_intersect("sa", "sb"))
-    return got.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), both.alias("i")).where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
+    got = got.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), both.alias("i")).where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
+    out = written(got, "links")
+    drop_written(need, sets)
+    return out
 
 
 def _in_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Deals rows (group, id, n_shingles, ...) to tasks (group, x, y), one for every pair of blocks of a group.
+    """Deals rows (group, v, n_shingles, ...; a written table) to tasks (group, x, y), one for every pair of blocks of a group.
 
     A block holds BLOCK rows or BLOCK_SHINGLES shingles at most, about: no task gathers a whole group.
     """
     sized = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     sized = sized.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int"))
-    dealt = rows.join(sized, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = salted_join(rows, sized, [group], "_n", rows.count()).withColumn("own", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *columns)
+    return dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("v.id").alias("id"), F.col("v.tag").alias("tag"), F.col("component.id").alias("c_id"), F.col("component.tag").alias("c_tag"), *columns)
 
 
 def _sides(t: pa.Table):
@@ -177,12 +191,22 @@ def _sides(t: pa.Table):
     left = np.flatnonzero(own == x[0])
     right = left if x[0] == y[0] else np.flatnonzero(own != x[0])
     sk = t.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(own), -1)
-    return left, right, t.column("id").to_numpy(), t.column("component").to_numpy().copy(), sk
+    pair = lambda a, b: np.stack([t.column(a).to_numpy(), t.column(b).to_numpy()], axis=1)
+    _, comp = np.unique(pair("c_id", "c_tag"), axis=0, return_inverse=True)
+    return left, right, pair("id", "tag"), comp.reshape(-1).copy(), sk
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.Table:
-    pairs = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs.min(axis=1) if len(pairs) else pairs[:, 0], "b": pairs.max(axis=1) if len(pairs) else pairs[:, 0]})
+_EDGE = "a_id long, a_tag long, b_id long, b_tag long"
+
+
+def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a_id": ids[a, 0], "a_tag": ids[a, 1], "b_id": ids[b, 0], "b_tag": ids[b, 1]})
+
+
+def _as_links(edges: DataFrame) -> DataFrame:
+    a, b = F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag")), F.struct(F.col("b_id").alias("id"), F.col("b_tag").alias("tag"))
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def _linked(t: pa.Table, test) -> pa.Table:
@@ -196,21 +220,21 @@ def _linked(t: pa.Table, test) -> pa.Table:
         near = right[(comp[right] != comp[i]) & (np.bitwise_count(sk[right] ^ sk[i]).sum(axis=1) <= MAX_FLIPS)]
         for j in test(i, near) if len(near) else ():
             if comp[j] != comp[i]:
-                found.append((ids[i], ids[j]))
+                found.append((i, j))
                 comp[comp == comp[j]] = comp[i]
-    return _edges(found)
+    return _edges(ids, found)
 
 
 def sketch_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) that connect, within each key, the rows whose sketches pass. members: key, id, n_shingles, component, sketch."""
-    dealt = _in_blocks(members.withColumn("n_shingles", F.lit(0)), "key", ["id", "component", "sketch"])
-    return dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _linked(t, lambda i, js: js), "a long, b long").distinct()
+    """Links (a, b) that connect, within each key, the rows whose sketches pass. members: key, v, component, sketch."""
+    dealt = _in_blocks(members.withColumn("n_shingles", F.lit(0)), "key", ["sketch"])
+    return _as_links(dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _linked(t, lambda i, js: js), _EDGE))
 
 
 def full_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect, within each cluster, the rows whose full sets reach the threshold.
 
-    members: cluster, id, n_shingles, component, sketch, shingles.
+    members: cluster, v, n_shingles, component, sketch, shingles.
     """
 
     def compare(t: pa.Table) -> pa.Table:
@@ -236,59 +260,88 @@ def full_links(members: DataFrame, percent: int) -> DataFrame:
 
         return _linked(t, test)
 
-    return _in_blocks(members, "cluster", ["id", "component", "sketch", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return _as_links(_in_blocks(members, "cluster", ["sketch", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(compare, _EDGE))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, component_id) of every row.
+def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, n_shingles, component) of every row: th is a hash of its text, component the least vertex (id, tag) reachable.
 
-    Rows are linked when their sets of `width`-word shingles (words lower-cased in A-Z, split at white
-    space) have 100 * intersection >= percent * union; component_id is the smallest id reachable.
-    Null and empty texts have empty sets and are linked with nothing. Ids must be integers; a repeated id
-    counts as one vertex, all its rows get its component; a null id is its own component (null).
-    Other columns are not read, whatever their names. A percent under LEAST_PERCENT is an error: links would be missed.
+    Rows with an empty set or a null id have a null component.
     """
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent {percent}: bands and sketches find links of {LEAST_PERCENT} percent or more only")
     ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = written(sign(texts, width, "id", "text"), "signatures")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sig = written(sign(texts, width), "signatures")
     full = sig.where("n_shingles > 0 and id is not null")
-    # classes of equal sets
-    classes = full.groupBy("fp", "n_shingles").agg(F.min("id").alias("rep"))
-    member = full.select("id", "fp", "n_shingles").join(classes, ["fp", "n_shingles"]).select("id", "rep")
-    member = written(member, "classes")
-    reps = member.where("id = rep").select("id").distinct()
-    rep_sig = full.join(reps, "id", "left_semi").select("id", "bands", "sketch")
-    keyed = rep_sig.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id")
-    low = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(low, "key").distinct(), "keys")
-    sketches = rep_sig.select("id", "sketch")
-
-    star = shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a")
-    star = written(star.where(flips("ka", "kb") <= MAX_FLIPS).select("a", "b"), "pairs")
-    rep_texts = texts.where("id is not null")
-    links = written(confirmed(star, rep_texts, width, percent), "links")
-    comp = written(connected_components(links), "components")
+    # classes of equal sets: their rows agree in everything but the id
+    classes = full.groupBy("fp", "n_shingles").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("fp", "n_shingles", "rows", F.struct("id", F.col("fp")[0].alias("tag")).alias("v"), "bands", "sketch"), "classes")
+    keyed = classes.select("v", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "v")
+    low = written(keyed.groupBy("key").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lows")
+    shared = written(salted_join(keyed, low, ["key"], "n", BANDS * classes.count()).distinct(), "keys")
+    sketches = classes.select("v", "sketch")
+
+    star = written(shared.where("v <> low").select(F.col("low").alias("a"), F.col("v").alias("b")).distinct(), "stars")
+    ends = star.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sketches.select(F.col("v").alias("a"), F.col("sketch").alias("ka")), "a")
+    near = salted_join(star, ends, ["a"], "n", star.count()).join(sketches.select(F.col("v").alias("b"), F.col("sketch").alias("kb")), "b")
+    pairs = written(near.where(flips("ka", "kb") <= MAX_FLIPS).select("a", "b"), "pairs")
+    texts = texts.where("id is not null")
+    links = confirmed(pairs, texts, width, percent)
+    comp = connected_components(links)
+    drop_written(low, star, pairs)
 
     # keys whose classes are not yet in one component; pairs with the smallest class have been tried
-    at = shared.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set"))
-    open_keys = open_keys.where("lo <> hi").groupBy("n", "set").agg(F.min("key").alias("key")).select("key")  # equal keys once
-    members = at.join(open_keys, "key", "left_semi").join(sketches, "id").select("key", "id", "component", "sketch")
+    of = comp.select(F.col("id").alias("v"), "component")
+    at = written(shared.where("n > 2").join(of, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "placed")
+    keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("set"))
+    keys = keys.where("lo <> hi").groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n")  # equal keys once
+    members = written(salted_join(at, keys, ["key"], "n", at.count()).join(sketches, "v").select("key", "v", "component", "sketch"), "members")
     # clusters: what passing sketches and components connect; only there can further links be
-    alike = written(sketch_links(members), "alike")
-    cluster = written(connected_components(alike.unionAll(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))), "clusters")
-    inside = cluster.withColumnRenamed("component", "cluster").join(comp, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("component"))
-    several = inside.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
-    inside = written(inside.join(several, "cluster", "left_semi"), "inside")
-    sets = sets_of(_of(rep_texts, inside.select("id")), width).dropDuplicates(["id"])
-    inside = inside.join(sketches, "id").join(sets, "id").withColumn("n_shingles", F.size("shingles"))
-    more = full_links(inside, percent)
-    comp = written(connected_components(links.unionAll(more)), "components")
-
-    final = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    final = final.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = sig.select("id", "n_shingles").join(final, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    alike = sketch_links(members)
+    cluster = connected_components(alike.unionAll(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    inside = written(cluster.select(F.col("id").alias("v"), F.col("component").alias("cluster")).join(of, "v", "left").select("v", "cluster", F.coalesce("component", "v").alias("component")), "inside")
+    several = inside.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("cluster", "n")
+    need = written(salted_join(inside, several, ["cluster"], "n", inside.count()).drop("n"), "several")
+    sets = written(_sets(texts, need, width).join(sketches, "v").withColumn("n_shingles", F.size("shingles")), "sets")
+    more = written(full_links(sets, percent), "more")
+    drop_written(shared, at, members, cluster, inside, need, sets, comp)
+    comp = connected_components(links.unionAll(more))
+    drop_written(links, more)
+
+    found = classes.join(comp.withColumnRenamed("id", "v"), "v", "left").select("fp", "n_shingles", "rows", F.coalesce("component", "v").alias("component"))
+    out = salted_join(full.select("id", "th", "fp", "n_shingles"), found, ["fp", "n_shingles"], "rows", sig.count()).select("id", "th", "n_shingles", "component")
+    rest = sig.where("n_shingles = 0 or id is null").select("id", "th", "n_shingles", F.lit(None).cast(out.schema["component"].dataType))
+    return out.unionAll(rest)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id) of every row.
+
+    Rows are linked when their sets of `width`-word shingles (words lower-cased in A-Z, split at white
+    space) have 100 * intersection >= percent * union; component_id is the smallest id reachable.
+    Null and empty texts have empty sets and are linked with nothing. Ids must be integers. Rows that share an id are linked
+    by their texts alone, like others; a null id is its own component (null).
+    Other columns are not read, whatever their names. A percent under LEAST_PERCENT is an error: links would be missed.
+    """
+    got = groups(docs, width, percent, id_col, text_col)
+    return got.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component.id", "id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near-duplicates, that of the smallest id (ties: by a hash of the text).
+
+    Rows with an empty or null text, and rows without an id, stay. Rows that share an id but not the text are told apart: each
+    stays or goes with its own group. Of rows equal in id and text one stays, whichever: they differ in other columns only.
+    """
+    got = written(groups(docs, width, percent, id_col, text_col).where("component is not null").select("id", "th", "component"), "groups")
+    kept = written(got.groupBy("component").agg(F.min(F.struct("id", "th")).alias("who")).select(F.col("who.id").alias("_id"), F.col("who.th").alias("_th")).distinct(), "kept")
+    repeated = not got.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    drop_written(got)
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(text).alias("_th"), F.coalesce(F.rlike(text, F.lit(HAS_WORD)), F.lit(False)).alias("_full"))
+    found = rows.where("_full and _id is not null").join(kept, ["_id", "_th"], "left_semi")
+    if repeated:
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).where("_n = 1")
+    return found.select("row.*").unionAll(rows.where("not _full or _id is null").select("row.*"))
