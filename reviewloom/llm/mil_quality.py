@@ -112,5 +112,5 @@ def quality_score(docs: DataFrame, model: dict, text_col: str = "text", keep: li
 def trained(docs: DataFrame, labels: DataFrame, keep=None, bound: int = SAMPLE) -> dict:
     """A model from the labelled rows of docs; keep: a condition on the id. Labels: `quality`."""
     model = fit(labelled_sample(docs, labels, "quality", bound, keep))
-    release()
+    release(docs.sparkSession)
     return model

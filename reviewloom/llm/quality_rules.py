@@ -101,5 +101,5 @@ def quality(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
 def trained(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     """A field from the labelled rows of docs, `bound` at most. Labels: `quality`."""
     model = fit(labelled_sample(docs, labels, "quality", bound))
-    release()
+    release(docs.sparkSession)
     return model

@@ -89,36 +89,50 @@ def _counted(keys: np.ndarray) -> np.ndarray:
     return keys[~third]
 
 
-def _fit(parts: list, y: np.ndarray, steps: int, z_least: float, l2: float, bias0: float) -> dict:
-    """Weights for one setting. parts: (first text, features of words, sentence of each word, text of each sentence)."""
-    table = np.zeros(1 << BITS, np.float32)
-    # screening: features that stand in more texts of label 1 than chance allows
+def _screened(texts: list[str], y: np.ndarray, least: float) -> dict:
+    """What a fit needs of texts: features that stand in more texts of label 1 than chance allows, and where they stand.
+
+    Only screened features are kept, so the memory follows them and not the words. Sentences without any say nothing: they
+    have the background score, and no row.
+    """
     seen = np.zeros((2, 1 << BITS), np.int32)
-    for lo, f, sent, doc in parts:
+    for lo, part in _chunks(texts):
+        buf, a, b, sent, doc, _ = sentences(part)
+        f = features(buf, a, b)
         key = np.unique((doc[sent][:, None].astype(np.int64) << BITS | f).ravel()) if len(f) else np.zeros(0, np.int64)
         np.add.at(seen, (y[lo + (key >> BITS)].astype(int), key & ((1 << BITS) - 1)), 1)
     n1, n0 = y.sum(), (1 - y).sum()
-    share = (seen.sum(axis=0) + 1) / (len(y) + 2)
-    good = (seen[1] >= 3) & ((seen[1] / n1 - seen[0] / n0) > z_least * np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))
+    share = ((seen[0] + seen[1] + 1) / (len(y) + 2)).astype(np.float32)
+    z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    good = (seen[1] >= 3) & (z > least)
     good[0] = False
     index = np.cumsum(good) - 1
     rows, cols, docs, base = [], [], [], 0
-    for lo, f, sent, doc in parts:
+    for lo, part in _chunks(texts):
+        buf, a, b, sent, doc, _ = sentences(part)
+        f = features(buf, a, b)
         word, col = np.nonzero(good[f])
         key = _counted(sent[word].astype(np.int64) << BITS | f[word, col])
-        rows.append(base + (key >> BITS))
+        used, at = np.unique(key >> BITS, return_inverse=True)
+        rows.append(base + at)
         cols.append(index[key & ((1 << BITS) - 1)])
-        docs.append(lo + doc)
-        base += len(doc)
+        docs.append(lo + doc[used])
+        base += len(used)
     rows, cols, docs = map(np.concatenate, (rows, cols, docs))
-    # sentences without any kept feature have the background score: they say nothing
-    used, rows = np.unique(rows, return_inverse=True)
-    docs, k = docs[used], int(good.sum())
+    return {"rows": rows, "cols": cols, "docs": docs, "features": np.flatnonzero(good), "z": z[good], "y": y}
+
+
+def _fit(data: dict, steps: int, z_least: float, l2: float, bias0: float) -> dict:
+    """Weights for one setting, from the features of `_screened` whose z-score is above z_least."""
+    y, chosen = data["y"], data["z"] > z_least
+    index, kept = np.cumsum(chosen) - 1, chosen[data["cols"]]
+    rows, cols, docs, k = data["rows"][kept], index[data["cols"][kept]], data["docs"], int(chosen.sum())
+    n1, n0 = y.sum(), (1 - y).sum()
     w, bias = np.full(k, 2.0), bias0  # at 0 no sentence is above the background
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     rate = np.where(y > 0, 0.5 * len(y) / n1, 0.5 * len(y) / n0)  # both classes weigh the same
     for t in range(1, steps + 1):
-        z = bias + np.bincount(rows, w[cols], minlength=len(used)) if len(rows) else np.full(len(used), bias)
+        z = bias + np.bincount(rows, w[cols], minlength=len(docs)) if len(rows) else np.full(len(docs), bias)
         p, p0 = _sigmoid(z), _sigmoid(bias)
         logq = np.bincount(docs, _evidence(p, p0), minlength=len(y))
         score = np.clip(-np.expm1(logq), 1e-9, 1)
@@ -131,18 +145,11 @@ def _fit(parts: list, y: np.ndarray, steps: int, z_least: float, l2: float, bias
         step = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w += step * m / (np.sqrt(v) + 1e-8)
         bias += step * mb / (np.sqrt(vb) + 1e-8)
-    table[np.flatnonzero(good)] = w
+    table = np.zeros(1 << BITS, np.float32)
+    table[data["features"][chosen]] = w
     return {"weights": table, "bias": float(bias), "prior": None}
 
 
-def _prepared(texts: list[str]) -> list:
-    out = []
-    for lo, part in _chunks(texts):
-        buf, a, b, sent, doc, _ = sentences(part)
-        out.append((lo, features(buf, a, b), sent, doc))
-    return out
-
-
 def fit(sample: list[tuple[str, int]], steps: int = 300, folds: int = 4) -> dict:
     """Weights from (text, label) rows. Without rows of both classes all texts get the share of label 1.
 
@@ -152,22 +159,21 @@ def fit(sample: list[tuple[str, int]], steps: int = 300, folds: int = 4) -> dict
     y = np.array([x[1] for x in sample], float)
     if not len(y) or y.min() == y.max():
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": -30.0, "prior": float(y.mean()) if len(y) else 0.0}
-    place = np.zeros(len(y), np.int64)
+    place, least = np.zeros(len(y), np.int64), min(z for z, _, _ in SETTINGS)
     for label in (0, 1):
         place[y == label] = np.arange(int((y == label).sum()))
     aside = place % folds == 0
     best = SETTINGS[0]
     if min((y[aside] == k).sum() for k in (0, 1)) >= 10:
-        parts = _prepared([x[0] for x, out in zip(sample, aside) if not out])
-        held = pa.array([x[0] for x, out in zip(sample, aside) if out], pa.large_string())
-        truth, value = y[aside] > 0, -1.0
+        data = _screened([x[0] for x, out in zip(sample, aside) if not out], y[~aside], least)
+        held, truth, value = [x[0] for x, out in zip(sample, aside) if out], y[aside] > 0, -1.0
         for setting in SETTINGS:
-            m = _fit(parts, y[~aside], steps, *setting)
-            got = np.concatenate([score(m, held.slice(lo, hi - lo))[0] for lo, hi in tv.slices(held)]) >= 0.5
+            m = _fit(data, steps, *setting)
+            got = np.concatenate([score(m, part)[0] for _, part in _chunks(held)]) >= 0.5
             now = got[truth].mean() + FALSE_ALARM * (~got[~truth]).mean()
             if now > value:
                 best, value = setting, now
-    return {**_fit(_prepared([x[0] for x in sample]), y, steps, *best), "setting": best}
+    return {**_fit(_screened([x[0] for x in sample], y, least), steps, *best), "setting": best}
 
 
 def score(model: dict, texts: pa.Array, cut: float = 0.5):
@@ -220,5 +226,5 @@ def toxicity(docs: DataFrame, model: dict, text_col: str = "text", keep: list[st
 def trained(docs: DataFrame, labels: DataFrame, keep=None, bound: int = SAMPLE) -> dict:
     """A model from the labelled rows of docs; keep: a condition on the id, for held-out rows. Labels: `toxic`."""
     model = fit(labelled_sample(docs, labels, "toxic", bound, keep))
-    release()
+    release(docs.sparkSession)
     return model
