@@ -40,15 +40,27 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", (fold("row.doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-#: allow and block rules (verdict, host, path), and the list of canonical URLs that the Bloom filter holds
+#: allow and block rules (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-URL_LIST = ["spam-farm.example.org/", "free-bets.example.net/"]
+#: size of the made part of the list of canonical URLs
+URL_LIST = 120_000
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """The list that the Bloom filter holds: hosts, folders and pages made by a rule, and such of pages, drawn by a hash of their names."""
+    i = F.col("id").cast("string")
+    made = F.when(F.col("id") % 3 == 0, F.concat(F.lit("spam-"), i, F.lit(".example.org/"))).when(F.col("id") % 3 == 1, F.concat(F.lit("free-bets.example.net/"), i, F.lit("/"))).otherwise(F.concat(F.lit("pills.example.org/item/"), i))
+    url = F.col("url").cast("string")
+    own = pages.select(url_filter.canonical(url_filter.host_of(url), url_filter.path_of(url)).alias("entry")).where("entry <> '/'").distinct()
+    host, folder = F.concat(F.substring_index("entry", "/", 1), F.lit("/")), F.regexp_extract("entry", r"(?s)^(.*/)[^/]*$", 1)
+    drawn = lambda e, parts: own.select(e.alias("entry")).where(F.conv(F.substring(F.md5("entry"), 1, 6), 16, 10).cast("long") % parts == 1)
+    return pages.sparkSession.range(URL_LIST).select(made.alias("entry")).unionAll(drawn(F.col("entry"), 50)).unionAll(drawn(folder, 40)).unionAll(drawn(host, 30)).where("entry <> ''")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame([(x,) for x in URL_LIST], "entry string")
-    got = url_filter.judged(table(spark, sf_dir, "pages"), entries, URL_RULES, keep=["page_id"])
-    return got.select("row.page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    got = url_filter.judged(pages, url_list(pages), URL_RULES, keep=["page_id"])
+    return got.select("row.page_id", "host", "path", "rule", "verdict", "listed_by")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +72,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.planned(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return got.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    each = lambda field: F.array_join(F.transform("draws", lambda x: x[field].cast("string")), ",")
+    return got.select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"),
+        F.size("draws").cast("long").alias("copies"), each("shard").alias("shards"), each("order_key").alias("order_keys"),
+    )
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +131,22 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://(
   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*(/[^?#]*)?', 1, 's') AS path FROM pages),
 rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 r AS (SELECT u.*, v, h || p AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, h || p) AS n
-  FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bare IN ('spam-farm.example.org', 'free-bets.example.net') OR ends_with(bare, '.spam-farm.example.org') OR ends_with(bare, '.free-bets.example.net') THEN 'block' ELSE 'allow' END) AS verdict
-FROM (SELECT *, regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*)?\.?$', '') AS bare FROM r) WHERE n = 1""",
+  FROM u LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+cu AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*)?\.?$', ''), '^www\.', '') || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/+', '/', 'g') END END AS url
+  FROM r WHERE n = 1),
+own AS (SELECT DISTINCT url FROM cu WHERE url <> '/'),
+list AS (SELECT CASE i % 3 WHEN 0 THEN 'spam-' || i || '.example.org/' WHEN 1 THEN 'free-bets.example.net/' || i || '/' ELSE 'pills.example.org/item/' || i END AS entry FROM range(120000) q(i)
+  UNION SELECT url FROM own WHERE ('0x' || md5(url)[1:6])::BIGINT % 50 = 1
+  UNION SELECT f FROM (SELECT regexp_extract(url, '^(.*/)[^/]*$', 1, 's') AS f FROM own) WHERE ('0x' || md5(f)[1:6])::BIGINT % 40 = 1
+  UNION SELECT h FROM (SELECT string_split(url, '/')[1] || '/' AS h FROM own) WHERE ('0x' || md5(h)[1:6])::BIGINT % 30 = 1),
+seen AS (SELECT DISTINCT url, string_split(string_split(url, '/')[1], '.') AS labels FROM cu WHERE url IS NOT NULL),
+looked AS (SELECT url, url AS entry FROM seen UNION SELECT url, regexp_replace(url, '/$', '') FROM seen
+  UNION SELECT url, unnest(list_transform(list_filter(range(1, length(url) + 1), lambda i: url[i] = '/'), lambda i: url[1:i])) FROM seen
+  UNION SELECT url, unnest(list_transform(list_filter(range(1, len(labels) + 1), lambda i: i = 1 OR i < len(labels)), lambda i: array_to_string(labels[i:], '.') || '/')) FROM seen),
+hit AS (SELECT url, arg_max(entry, {'n': length(entry), 'e': entry}) AS listed_by FROM looked JOIN list USING (entry) WHERE entry NOT IN ('', '/') GROUP BY url)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed_by IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, listed_by FROM cu LEFT JOIN hit USING (url)""",
     "op7_mixing": r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
   ('0x' || md5('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:15])::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS top,
@@ -131,9 +158,26 @@ t AS (SELECT source, source_size, CASE WHEN k IS NULL OR pos < k THEN top ELSE r
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
 g AS (SELECT source, h, doc_id::VARCHAR AS id, size, sum(size) AS words FROM d GROUP BY ALL),
 c AS (SELECT g.source, g.h, g.id, g.size, sum(words) OVER (PARTITION BY g.source ORDER BY g.h, g.id, g.size ROWS UNBOUNDED PRECEDING) - words / 2.0::DOUBLE <= target - passes * source_size AND target - passes * source_size > 0 AS part
-  FROM g JOIN e ON g.source IS NOT DISTINCT FROM e.source)
-SELECT d.doc_id, d.size, e.source_size, e.target, (d.size * (passes + part::INT))::BIGINT AS taken
-FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h AND d.doc_id::VARCHAR IS NOT DISTINCT FROM c.id AND d.size = c.size""",
+  FROM g JOIN e ON g.source IS NOT DISTINCT FROM e.source),
+y AS (SELECT coalesce(min(x), 18) AS depth FROM range(5, 18) q(x) WHERE 2000000.0::DOUBLE * 2 ** x >= (SELECT 1.5::DOUBLE * coalesce(sum(size), 0) FROM d)),
+bl AS (SELECT source, h >> (55 - depth)::INT AS b, sum(size) AS words FROM d, y GROUP BY ALL),
+fb AS (SELECT bl.source, min(b) FILTER (upto >= target - passes * source_size AND target - passes * source_size > 0) AS fb
+  FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY b) AS upto FROM bl) bl JOIN e ON e.source IS NOT DISTINCT FROM bl.source GROUP BY bl.source),
+cp AS (SELECT bl.source, coalesce('s' || bl.source, 'n') AS key, b, unnest(range(0, (passes + (b <= coalesce(fb, -1))::INT)::BIGINT)) AS copy
+  FROM bl JOIN e ON e.source IS NOT DISTINCT FROM bl.source JOIN fb ON fb.source IS NOT DISTINCT FROM bl.source),
+pm AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ('0x' || md5('7:block:' || key || ':' || b || ':' || copy)[1:15])::BIGINT, b, copy) AS i FROM cp),
+tree(key, i, node, level) AS (SELECT key, i, 0::BIGINT, 0 FROM pm UNION ALL
+  SELECT key, i, 2 * node + (row_number() OVER (PARTITION BY node ORDER BY ('0x' || md5('7:tree:' || level || ':' || node || ':' || key || ':' || i)[1:15])::BIGINT, key, i) > count(*) OVER (PARTITION BY node) // 2)::INT, level + 1
+  FROM tree WHERE level < (SELECT depth FROM y)),
+lf AS (SELECT key, node AS shard, count(*) AS quota FROM tree WHERE level = (SELECT depth FROM y) GROUP BY ALL),
+le AS (SELECT *, sum(quota) OVER (PARTITION BY key ORDER BY shard) AS upto FROM lf),
+dr AS (SELECT pm.source, pm.b, pm.copy, le.shard FROM pm JOIN le ON le.key = pm.key AND pm.i <= le.upto AND pm.i > le.upto - le.quota),
+w AS (SELECT d.*, e.source_size, e.target, e.passes, part, d.h >> (55 - depth)::INT AS b, row_number() OVER () AS n
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h AND d.doc_id::VARCHAR IS NOT DISTINCT FROM c.id AND d.size = c.size, y),
+f AS (SELECT n, count(*) AS copies, string_agg(shard::VARCHAR, ',' ORDER BY copy) AS shards, string_agg((('0x' || md5('7:row:' || shard || ':' || copy || ':' || h)[1:15])::BIGINT)::VARCHAR, ',' ORDER BY copy) AS order_keys
+  FROM w JOIN dr ON dr.source IS NOT DISTINCT FROM w.source AND dr.b = w.b AND (dr.copy < passes OR part) GROUP BY n)
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken, coalesce(copies, 0)::BIGINT AS copies, coalesce(shards, '') AS shards, coalesce(order_keys, '') AS order_keys
+FROM w LEFT JOIN f USING (n)""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: ws[i:i+3])) AS sh FROM w WHERE len(ws) > 0),

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_written, salted_join, written
+from .shared import drop_written, release, salted_join, written
 
 SHARDS, ROUNDS, BUCKETS = 24, 4, 1024
 #: rows that one window of a distributed rank sorts, on average
@@ -132,6 +132,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
         drop_written(old, wish, apart)
         r, before = r + 1, out
 
+    release(rows.sparkSession)
     # linked rows keep their shard up to its size; all others fill the gaps
     kept = written(_ranked(label, ["shard"], "bundle", total // max(1, shards), big).where(F.col("rank") < cap).select("rid", "shard", F.col("rank").alias("slot")), "kept")
     load = {x["shard"]: x["n"] for x in kept.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shard

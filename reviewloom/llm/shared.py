@@ -127,9 +127,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return [(r.text, r._y) for r in got.orderBy(F.xxhash64("_id"), "_id").toLocalIterator()]
 
 
-def release() -> None:
-    """Give freed memory back to the system: a fit on the driver leaves none behind (glibc only, else nothing happens)."""
+def release(spark: SparkSession | None = None) -> None:
+    """Give freed memory back to the system: a fit on the driver leaves none behind (glibc only, else nothing happens).
+
+    With a session the driver's JVM collects, too: broadcasts and plans that are no longer used go, on executors as well.
+    """
     gc.collect()
+    if spark is not None:
+        spark._jvm.System.gc()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
