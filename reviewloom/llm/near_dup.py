@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import connected_components
-from .shared import drop_written, salted_join, ship, written
+from .shared import drop_written, release, salted_join, ship, written
 
 U = np.uint64
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -37,8 +37,8 @@ BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 LEAST_PERCENT = 80
 #: XOR bits at which the sketch estimate of the similarity is about 0.5
 MAX_FLIPS = 100
-#: classes, and shingles of theirs, that one task compares with as many others
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+#: classes of a key whose sketches one task compares with as many others; for full sets: classes, and shingles of theirs
+BLOCK, SET_BLOCK, BLOCK_SHINGLES = 512, 2048, 2_000_000
 #: ids up to this many (16 MB) are broadcast to select texts; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -146,13 +146,13 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, tag long, shingles array<long>")
 
 
-def _sets(texts: DataFrame, need: DataFrame, width: int) -> DataFrame:
-    """need (v, ...; a written table, one row for each vertex) with the vertices' shingles."""
-    ids = need.select(F.col("v.id").alias("id")).distinct()
-    some = texts.join(F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    sets = sets_of(some, width).select(F.struct("id", "tag").alias("v"), "shingles")
-    # a repeated row has its set twice; sets of an id's other texts meet no vertex
-    return need.join(sets, "v").dropDuplicates(["v"])
+def _sets(texts: DataFrame, need: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """need (v, ...; a written table, one row for each vertex) with the vertices' shingles; repeated: whether equal rows are there."""
+    few = F.broadcast if need.count() <= BROADCAST_IDS else (lambda x: x)
+    some = texts.join(few(need.select(F.col("v.id").alias("id")).distinct()), "id", "left_semi")
+    # sets of an id's other texts meet no vertex
+    got = sets_of(some, width).select(F.struct("id", "tag").alias("v"), "shingles").join(few(need), "v")
+    return got.dropDuplicates(["v"]) if repeated else got
 
 
 def flips(a: str, b: str):
@@ -160,11 +160,11 @@ def flips(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
     """Those of pairs (a, b; a written table) whose full sets reach the threshold: 100 * intersection >= percent * union."""
     ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(pairs.select("b", F.lit(0), F.lit(1)))
     need = written(ends.groupBy("v").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")), "needed")
-    sets, total = written(_sets(texts, need, width), "sets"), pairs.count()
+    sets, total = written(_sets(texts, need, width, repeated), "sets"), pairs.count()
     got = salted_join(pairs, sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"), "n_b").where("n_b > 0"), ["b"], "n_b", total)
     got = salted_join(got.select("a", "b", "sb"), sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"), "n_a").where("n_a > 0"), ["a"], "n_a", total)
     both = F.size(F.array_intersect("sa", "sb"))
@@ -174,13 +174,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return out
 
 
-def _in_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, size: int, columns: list[str]) -> DataFrame:
     """Deals rows (group, v, n_shingles, ...; a written table) to tasks (group, x, y), one for every pair of blocks of a group.
 
-    A block holds BLOCK rows or BLOCK_SHINGLES shingles at most, about: no task gathers a whole group.
+    A block holds `size` rows or BLOCK_SHINGLES shingles at most, about: no task gathers a whole group.
     """
     sized = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
-    sized = sized.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int"))
+    sized = sized.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / size), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int"))
     dealt = salted_join(rows, sized, [group], "_n", rows.count()).withColumn("own", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("v.id").alias("id"), F.col("v.tag").alias("tag"), F.col("component.id").alias("c_id"), F.col("component.tag").alias("c_tag"), *columns)
@@ -227,7 +227,7 @@ def _linked(t: pa.Table, test) -> pa.Table:
 
 def sketch_links(members: DataFrame) -> DataFrame:
     """Links (a, b) that connect, within each key, the rows whose sketches pass. members: key, v, component, sketch."""
-    dealt = _in_blocks(members.withColumn("n_shingles", F.lit(0)), "key", ["sketch"])
+    dealt = _in_blocks(members.withColumn("n_shingles", F.lit(0)), "key", BLOCK, ["sketch"])
     return _as_links(dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _linked(t, lambda i, js: js), _EDGE))
 
 
@@ -260,7 +260,12 @@ def full_links(members: DataFrame, percent: int) -> DataFrame:
 
         return _linked(t, test)
 
-    return _as_links(_in_blocks(members, "cluster", ["sketch", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(compare, _EDGE))
+    return _as_links(_in_blocks(members, "cluster", SET_BLOCK, ["sketch", "shingles"]).groupBy("cluster", "x", "y").applyInArrow(compare, _EDGE))
+
+
+def _differ(vertex: str):
+    """Whether a group holds several vertices, from plain numbers."""
+    return (F.min(f"{vertex}.id") != F.max(f"{vertex}.id")) | (F.min(f"{vertex}.tag") != F.max(f"{vertex}.tag"))
 
 
 def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -275,12 +280,16 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sig = written(sign(texts, width), "signatures")
     full = sig.where("n_shingles > 0 and id is not null")
+    repeated = not full.groupBy("id", F.col("fp")[0].alias("tag")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     # classes of equal sets: their rows agree in everything but the id
     classes = full.groupBy("fp", "n_shingles").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = written(classes.select("fp", "n_shingles", "rows", F.struct("id", F.col("fp")[0].alias("tag")).alias("v"), "bands", "sketch"), "classes")
-    keyed = classes.select("v", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "v")
-    low = written(keyed.groupBy("key").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lows")
-    shared = written(salted_join(keyed, low, ["key"], "n", BANDS * classes.count()).distinct(), "keys")
+    keyed = classes.select("v.id", "v.tag", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id", "tag")
+    # plain numbers, so that sums run in hash tables; of two vertices of one id either may be the centre of the star
+    low = keyed.groupBy("key").agg(F.struct(F.min("id").alias("id"), F.min_by("tag", "id").alias("tag")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    low = written(low, "lows")
+    shared = salted_join(keyed, low, ["key"], "n", BANDS * classes.count()).select("key", F.struct("id", "tag").alias("v"), "low", "n")
+    shared = written(shared.distinct(), "keys")
     sketches = classes.select("v", "sketch")
 
     star = written(shared.where("v <> low").select(F.col("low").alias("a"), F.col("v").alias("b")).distinct(), "stars")
@@ -288,27 +297,29 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     near = salted_join(star, ends, ["a"], "n", star.count()).join(sketches.select(F.col("v").alias("b"), F.col("sketch").alias("kb")), "b")
     pairs = written(near.where(flips("ka", "kb") <= MAX_FLIPS).select("a", "b"), "pairs")
     texts = texts.where("id is not null")
-    links = confirmed(pairs, texts, width, percent)
+    links = confirmed(pairs, texts, width, percent, repeated)
     comp = connected_components(links)
     drop_written(low, star, pairs)
+    release(docs.sparkSession)
 
     # keys whose classes are not yet in one component; pairs with the smallest class have been tried
     of = comp.select(F.col("id").alias("v"), "component")
     at = written(shared.where("n > 2").join(of, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "placed")
-    keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("set"))
-    keys = keys.where("lo <> hi").groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n")  # equal keys once
+    keys = at.groupBy("key").agg(_differ("component").alias("open"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("set"))
+    keys = keys.where("open").groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n")  # equal keys once
     members = written(salted_join(at, keys, ["key"], "n", at.count()).join(sketches, "v").select("key", "v", "component", "sketch"), "members")
     # clusters: what passing sketches and components connect; only there can further links be
     alike = sketch_links(members)
     cluster = connected_components(alike.unionAll(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
     inside = written(cluster.select(F.col("id").alias("v"), F.col("component").alias("cluster")).join(of, "v", "left").select("v", "cluster", F.coalesce("component", "v").alias("component")), "inside")
-    several = inside.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("cluster", "n")
+    several = inside.groupBy("cluster").agg(_differ("component").alias("open"), F.count(F.lit(1)).alias("n")).where("open").select("cluster", "n")
     need = written(salted_join(inside, several, ["cluster"], "n", inside.count()).drop("n"), "several")
-    sets = written(_sets(texts, need, width).join(sketches, "v").withColumn("n_shingles", F.size("shingles")), "sets")
+    sets = written(_sets(texts, need, width, repeated).join(sketches, "v").withColumn("n_shingles", F.size("shingles")), "sets")
     more = written(full_links(sets, percent), "more")
     drop_written(shared, at, members, cluster, inside, need, sets, comp)
     comp = connected_components(links.unionAll(more))
     drop_written(links, more)
+    release(docs.sparkSession)
 
     found = classes.join(comp.withColumnRenamed("id", "v"), "v", "left").select("fp", "n_shingles", "rows", F.coalesce("component", "v").alias("component"))
     out = salted_join(full.select("id", "th", "fp", "n_shingles"), found, ["fp", "n_shingles"], "rows", sig.count()).select("id", "th", "n_shingles", "component")

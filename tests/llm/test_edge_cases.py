@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from reviewloom.llm import queries
+from reviewloom.llm import near_dup, queries
 
 TOXIC = "you are an idiot and a moron, said the clown. "
 PLAIN = "the quick brown fox jumps over the lazy dog while a river runs past the old mill near some hills and trees "
@@ -13,6 +13,8 @@ ODD = [
 ]
 
 
+#: names that operators use inside
+CLASHING = ["_kept", "_rid", "rid", "_metadata", "_id", "_th", "_full", "_n", "_piece", "_pieces", "th", "v", "component", "size", "draw", "draws", "target", "h", "b", "size_", "_b", "_y"]
 BAD = [7, *range(20, 30)]
 ODD += [(i, f"{TOXIC} number{i} of many", "s") for i in BAD[1:]] + [(i, f"a calm and friendly text number{i} about gardens", "s") for i in range(40, 50)]
 
@@ -21,8 +23,8 @@ ODD += [(i, f"{TOXIC} number{i} of many", "s") for i in BAD[1:]] + [(i, f"a calm
 def folder(request, spark, tmp_path_factory):
     top = tmp_path_factory.mktemp(request.param)
     rows = ODD if request.param == "odd" else []
-    extra = lambda n: (*n, "r", 5, "k", "i", 0.5, "sh", "sl")
-    names = "doc_id long, text string, source string, row string, id int, key string, items string, score double, shard string, slot string"
+    extra = lambda n: (*n, "r", 5, "k", "i", 0.5, "sh", "sl", *[3] * len(CLASHING))
+    names = "doc_id long, text string, source string, row string, id int, key string, items string, score double, shard string, slot string, " + ", ".join(f"{c} int" for c in CLASHING)
     spark.createDataFrame([extra(r) for r in rows], names).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (1, 1, 0), *((i, 0, 1) for i in BAD), *((i, 1, 0) for i in range(40, 50)), (None, 1, 1), (8, None, None), (99, 0, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog while a river"), (2, None), (None, "x"), (3, ""), (1, "clown")] if rows else [], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
@@ -65,3 +67,22 @@ def test_stages(spark, folder):
     assert near.count(1) == 1 and 2 not in near and 8 not in near and {3, 4, 5, 6, 9, 10, -1} <= set(near) and near.count(None) == 2  # 8 repeats the windows of 1
     assert clean.count(None) == 1 and not {1, 8} & set(clean) and {3, 4, 5, 6, 9, 10, -1} <= set(clean)
     assert len(last) == len(mixed)
+
+
+def test_one_id_on_unrelated_texts(spark):
+    """Rows that share an id are told apart by their texts: only near-duplicates go; columns of inner names pass unchanged."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(5, a, 1), (5, b, 2), (3, a + " end", 3), (9, b, 4), (9, b, 4), (7, c, 5), (7, c + " more", 6), (5, a, 7)]
+    docs = spark.createDataFrame([(i, t, "s", k, k) for i, t, k in rows], "doc_id long, text string, source string, _kept int, _id int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id, r.text[0], r._kept, r["_id"]) for r in got.collect())
+    assert [k[:2] for k in kept] == [(3, "a"), (5, "b"), (7, "c")] and kept[0][2:] == (3, 3) and kept[1][2:] == (2, 2)
+    found = sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect())
+    assert found == [(3, 3), (5, 3), (5, 3), (5, 5), (7, 7), (7, 7), (9, 5), (9, 5)]
+
+
+def test_sharding_keeps_columns_of_inner_names(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i // 2}", i, i * 2, "m") for i in range(50)], "doc_id long, text string, _rid long, rid long, _metadata string").write.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.shard(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    assert sorted((r.doc_id, r["_rid"], r.rid, r["_metadata"]) for r in got) == [(i, i, i * 2, "m") for i in range(50)]

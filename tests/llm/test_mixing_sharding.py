@@ -1,14 +1,16 @@
 """Mixing, sharding, URL filters and archives: laws, and brute force."""
 
+import base64
 import collections
 import gzip
+import hashlib
 import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.llm import mixing, sharding, url_filter, warc
+from reviewloom.llm import mixing, shared, sharding, url_filter, warc
 
 
 def docs(spark, n, seed=1):
@@ -20,11 +22,15 @@ def docs(spark, n, seed=1):
     return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("depth, units, rows", [(3, 2_000_000, 1_000_000), (0, 2_000_000, 1_000_000), (4, 40, 0), (6, 40, 1_000_000)])
+def test_mix(spark, monkeypatch, depth, units, rows):
+    """Targets, disjoint blocks, shard totals and reruns; small bounds force the ways that large inputs take."""
+    monkeypatch.setattr(mixing, "NODE_UNITS", units)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", rows)
     d = docs(spark, 1500)
-    got = mixing.planned(d, depth=3).select("row.*", "size", "source_size", "target", "draws").collect()
+    got = mixing.planned(d, depth=depth).select("row.*", "size", "source_size", "target", "draws").collect()
     size, target, taken, largest = collections.Counter(), {}, collections.Counter(), collections.Counter()
-    shards = collections.Counter()
+    shards, place = collections.Counter(), {}
     for r in got:
         assert len(r.draws) <= 2 and len({x["copy"] for x in r.draws}) == len(r.draws)
         size[r.source] += r["size"]
@@ -32,19 +38,29 @@ def test_mix(spark):
         taken[r.source] += r["size"] * len(r.draws)
         largest[r.source] = max(largest[r.source], r["size"])
         shards.update(x["shard"] for x in r.draws)
+        for x in r.draws:  # a pass over a block is in one shard
+            h = int(hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest()[:15], 16)
+            block = (r.source, h >> (60 - depth - mixing.BLOCK_BITS), x["copy"])
+            assert place.setdefault(block, x["shard"]) == x["shard"]
     assert len(got) == 1500 and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in size)
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-3 and all(target[s] <= 2 * size[s] + 1e-9 for s in size)
-    assert set(shards) == set(range(8)) and max(shards.values()) < 1.6 * min(shards.values())
-    again = mixing.planned(d.repartition(7), depth=3).select("row.doc_id", "draws").collect()
+    blocks = collections.Counter(place.values())
+    # the part of a pass may leave a block of the plan without a row
+    assert set(blocks) == set(range(1 << depth)) and max(blocks.values()) - min(blocks.values()) <= 4
+    again = mixing.planned(d.repartition(7), depth=depth).select("row.doc_id", "draws").collect()
     assert {r.doc_id: r.draws for r in again} == {r.doc_id: r.draws for r in got}
-    mixed = mixing.mixed(d, depth=3)
+    mixed = mixing.mixed(d, depth=depth)
     assert mixed.columns == d.columns
-    assert collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({r.doc_id: len(r.draws) for r in got if r.draws})
+    dealt = mixed.withColumn("at", F.spark_partition_id()).collect()
+    assert collections.Counter((r.doc_id, r["at"]) for r in dealt) == collections.Counter((r.doc_id, x["shard"]) for r in got for x in r.draws)
 
 
-def test_tree_splits_exactly(spark):
+@pytest.mark.parametrize("units", [2_000_000, 100])
+def test_tree_splits_exactly(spark, monkeypatch, units):
+    monkeypatch.setattr(mixing, "NODE_UNITS", units)
     q = {f"s{i}": n for i, n in enumerate((1000, 1, 0, 37, 512))}
-    leaves = mixing._split(spark.createDataFrame(list(q.items()), "key string, quota long"), 3, 5).collect()
+    table = spark.createDataFrame([(k, i) for k, n in q.items() for i in range(1, n + 1)], "key string, i long")
+    leaves = mixing._split(table, 3, 5).collect()
     by_key, by_shard = collections.Counter(), collections.Counter()
     for r in leaves:
         by_key[r.key] += r.quota
@@ -53,6 +69,10 @@ def test_tree_splits_exactly(spark):
     assert 60 < next(r.quota for r in leaves if r.shard == 0 and r.key == "s0") < 190
 
 
+def test_depth_follows_the_words():
+    assert [mixing.depth_for(w) for w in (0, 64e6, 65e6, 129e6, 1e30)] == [5, 5, 6, 7, 18]
+
+
 @pytest.mark.parametrize("rank_rows", [20_000, 10])
 def test_shards(spark, monkeypatch, rank_rows):
     monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
@@ -98,6 +118,31 @@ def test_urls(spark):
     assert [got[u][3] for u in rows[7:12]] == ["block", "block", "block", "block", "allow"] and got["x://host?/a"][:2] == ("host", "")
 
 
+@pytest.mark.parametrize("blocks, hits, heavy", [(500_000, 100_000, 512), (0, 0, 1)])
+def test_urls_against_brute_force(spark, monkeypatch, blocks, hits, heavy):
+    """Broadcast and shuffle ways; deep folders, long hosts, hot URLs; a false positive of the filter changes nothing."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(url_filter, "BROADCAST_HITS", hits)
+    monkeypatch.setattr(shared, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
+    r = random.Random(5)
+    part = lambda k: "/".join(r.choice("ab") for _ in range(r.randint(0, k)))
+    hosts = ["a.org", "x.a.org", "b.org", "deep." * 60 + "b.org", "org", "localhost", "www.a.org:80"]
+    urls = ["http://" + r.choice(hosts) + r.choice(["", "/", "/" + part(4), "/" + part(4) + "/"]) for _ in range(300)] + ["http://b.org/" + "d/" * 200 + "x"] + ["http://a.org/a"] * 200
+    entries = ["a.org/" + "a/b/", "b.org/" + "d/" * 200, "org/", "localhost/", "x.a.org/", "a.org/a", "deep.b.org/"]
+    rules = [("block", "a.org", "/b"), ("allow", "org", "/b/a"), ("allow", "localhost", ""), ("block", "b.org", "/d/d/d/q"), ("block", "", "/"), ("allow", "a.org", "/b")]
+    got = url_filter.judged(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame([(e,) for e in entries], "entry string"), rules).select("row.url", "host", "path", "rule", "listed_by", "verdict").collect()
+    assert sorted(x.url for x in got) == sorted(urls)
+    for x in got:
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if h and (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        host = x.host.split(":")[0].removeprefix("www.")
+        own = host + (x.path or "/")
+        hit = [e for e in entries if e == own or e == own.removesuffix("/") or (e.endswith("/") and own.startswith(e)) or (e.count("/") == 1 and e.endswith("/") and "." in e and host.endswith("." + e[:-1]))]
+        rule = max(fits, default=(0, None, None))
+        name = max(hit, key=lambda e: (len(e), e), default=None)
+        assert (x.rule, x.listed_by, x.verdict) == (rule[1], name, rule[2] or ("block" if name else "allow")), x
+
+
 def test_bloom_passes_all_listed_and_few_others(spark):
     entries = spark.range(3000).select(F.concat(F.lit("h.org/"), "id").alias("entry"))
     rows = spark.range(20000).select(F.concat(F.lit("h.org/"), "id").alias("entry"), "id")
@@ -131,3 +176,16 @@ def test_reader_frames_and_verifies():
             list(warc.read_records([gzip.compress(plain.replace(old, new, 1))]))
     with pytest.raises(warc.WarcError, match="payload digest"):
         warc.payload_of(*next(warc.read_records([warc.page_record(1, "u", b"abc", "0", None)])))
+
+
+def test_records_of_other_writers():
+    """warcinfo and request records, base-32 digests, missing headers; a header without end is an error."""
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = b"HTTP/1.1 200 OK\r\n\r\n<p>hello"
+    data = warc.record([("WARC-Type", "warcinfo")], b"software: x\r\n") + warc.record([("WARC-Type", "request"), ("WARC-Target-URI", "http://a/")], b"GET / HTTP/1.1\r\n\r\n")
+    data += warc.record([("WARC-Type", "response"), ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", sha(b"<p>hello")), ("WARC-Block-Digest", sha(body))], body)
+    rows = [warc.row_of(h, warc.payload_of(h, b), True) for h, b in warc.read_records([data])]
+    assert [r[2] for r in rows] == ["warcinfo", "request", "response"] and rows[0][1] is None
+    assert rows[2] == (None, "http://a/", "response", hashlib.sha1(b"<p>hello").hexdigest(), 8, None, b"<p>hello")
+    with pytest.raises(warc.WarcError, match="without end"):
+        list(warc.read_records([gzip.compress(b"WARC/1.1\r\nA: " + b"x" * (1 << 22))]))

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from reviewloom.llm import near_dup
+from reviewloom.llm import near_dup, shared
 from reviewloom.llm.components import connected_components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,6 +60,10 @@ def texts(n, seed):
 @pytest.mark.parametrize("width, block", [(4, 512), (5, 16)])
 def test_same_as_brute_force(spark, monkeypatch, width, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "SET_BLOCK", block)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 2_000_000 if block > 100 else 0)  # small bounds force the ways that large inputs take
+    monkeypatch.setattr(shared, "HEAVY_ROWS", block)
+    monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
     rows = texts(220, width)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, width).collect()}
