@@ -23,12 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8).
 
-    Of rows with one id one stays. Rows without an id can't be named and stay.
+    Rows are told apart by id and text: a repeated id loses only rows whose text is a near-duplicate. Rows without an id
+    can't be named and stay, as do rows without words.
     """
-    found = near_dup.near_duplicates(docs, width=5, percent=80)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
+    return near_dup.deduplicated(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
