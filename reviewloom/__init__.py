@@ -1 +1 @@
-"""Code-review analytics as lazy Spark plans."""
+"""Collaboration analytics as lazy Spark plans."""

@@ -16,10 +16,6 @@ BOT_NAMES = [
 #: our own definition of the marker in bots' names
 BOT_MARKER = "[bot]"
 
-# Node and edge types of the collaboration graphs.
-NODE_TYPES = ("pr", "reviewer", "author")
-EDGE_TYPES = ("edge_pr_dis", "pr_review_relation", "pr_author_relation", "author_reviewer_relation", "reviewer_reviewer_relation")
-
 
 def path_prefixes(path: Column) -> Column:
     """Cumulative prefixes of a path, each with a leading slash; the full path is the last."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import epoch_ms_text
+from ..sources.schemas import PATH_ROW, ROUND_ROW
 
 
 def follow_edges(replies: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def blobs(replies: DataFrame) -> DataFrame:
 
 
 def comments(replies: DataFrame) -> DataFrame:
-    """Review comments with their user's login."""
+    """Comments on changed lines with their user's login."""
     return replies.select("id", "path", "commit_id", "body", "created_at", "updated_at", F.col("original_line"), "author_association", F.col("user.login").alias("user_login"))
 
 
@@ -53,23 +54,23 @@ def timeline(replies: DataFrame) -> DataFrame:
     return got.select("pullrequest_node", "repo_full_name", F.col("e.node.id").alias("timelineitem_node"), F.col("e.node.createdAt").alias("create_at"), F.col("e.node.typename").alias("typename"), F.col("position").cast("long").alias("position"), F.to_json("e.node").alias("origin"))
 
 
-def review_changes(items: DataFrame, review: str, change: str) -> DataFrame:
-    """Each review with the changes that follow it, up to the next review of its pull request; none: '-1' and -1.
+def changes_by_round(items: DataFrame, opens: str, change: str) -> DataFrame:
+    """Each round (an item of type `opens`) with the changes that follow it, up to the next round of its pull request; none: '-1' and -1.
 
-    Which changes follow a review is our own definition. items: pullrequest_node, timelineitem_node, typename, position.
+    Which changes follow a round is our own definition. Columns: ROUND_ROW. items: pullrequest_node, timelineitem_node, typename, position.
     """
     w = Window.partitionBy("pullrequest_node").orderBy("position")
-    seen = items.where(F.col("typename").isin(review, change)).withColumn("at", F.last(F.when(F.col("typename") == review, F.col("position")), ignorenulls=True).over(w))
-    reviews = seen.where(F.col("typename") == review).select("pullrequest_node", F.col("timelineitem_node").alias("review_node"), F.col("position").alias("at"))
+    seen = items.where(F.col("typename").isin(opens, change)).withColumn("at", F.last(F.when(F.col("typename") == opens, F.col("position")), ignorenulls=True).over(w))
+    rounds = seen.where(F.col("typename") == opens).select("pullrequest_node", F.col("timelineitem_node").alias("opened"), F.col("position").alias("at"))
     changes = seen.where(F.col("typename") == change).select("pullrequest_node", "at", F.col("timelineitem_node").alias("change_node"), F.col("position").alias("change_position"))
-    got = reviews.join(changes, ["pullrequest_node", "at"], "left")
-    return got.select("pullrequest_node", "review_node", F.coalesce("change_node", F.lit("-1")).alias("change_node"), F.col("at").alias("review_position"), F.coalesce("change_position", F.lit(-1)).cast("long").alias("change_position"))
+    got = rounds.join(changes, ["pullrequest_node", "at"], "left")
+    return got.select("pullrequest_node", "opened", F.coalesce("change_node", F.lit("-1")), "at", F.coalesce("change_position", F.lit(-1)).cast("long")).toDF(*ROUND_ROW)
 
 
-def review_paths(replies: DataFrame, project: str) -> DataFrame:
-    """Every reviewer with every file of a review; empty lists give no rows; commit_sha is null."""
-    got = replies.select("changeNumber", "timestamp", F.explode("reviewers.name").alias("review_user_login"), "filePaths").select("*", F.explode("filePaths.location").alias("file_filename"))
-    return got.select(F.lit(f"{project}/{project}").alias("repo_full_name"), F.col("changeNumber").alias("pull_number"), epoch_ms_text(F.col("timestamp")).alias("pr_created_at"), "review_user_login", F.lit(None).cast("string").alias("commit_sha"), "file_filename")
+def reviewer_paths(replies: DataFrame, project: str) -> DataFrame:
+    """Every reviewer with every file of a change; empty lists give no rows; commit_sha is null."""
+    got = replies.select("changeNumber", "timestamp", F.explode("reviewers.name").alias("reviewer"), "filePaths").select("*", F.explode("filePaths.location").alias("file"))
+    return got.select(F.lit(f"{project}/{project}"), "changeNumber", epoch_ms_text(F.col("timestamp")), "reviewer", F.lit(None).cast("string"), "file").toDF(*PATH_ROW)
 
 
 def with_commit_files(rows: DataFrame, files: DataFrame) -> DataFrame:

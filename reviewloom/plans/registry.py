@@ -79,7 +79,7 @@ _FIRST = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
 
 
 @query(f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_FIRST)}) AS n FROM lineitem) WHERE n = 1")
-def keep_first_review(spark, sf):
+def keep_first(spark, sf):
     return features.keep_first(t(spark, sf, "lineitem"), "l_suppkey", _FIRST).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -262,20 +262,20 @@ def timeline_positions(spark, sf):
 
 @query(f"""WITH {_TIMELINE}, s AS (SELECT *, max(CASE WHEN typename = 'purchase' THEN position END) OVER (PARTITION BY pullrequest_node ORDER BY position) AS since FROM tl WHERE typename IN ('purchase', 'click')),
 c AS (SELECT * FROM s WHERE typename = 'click' AND since IS NOT NULL)
-SELECT r.pullrequest_node, r.timelineitem_node AS review_node, coalesce(c.timelineitem_node, '-1') AS change_node, r.position AS review_position, coalesce(c.position, -1) AS change_position
+SELECT r.pullrequest_node, r.timelineitem_node AS opened, coalesce(c.timelineitem_node, '-1') AS change_node, r.position AS at, coalesce(c.position, -1) AS change_position
 FROM (SELECT * FROM s WHERE typename = 'purchase') r LEFT JOIN c ON c.pullrequest_node = r.pullrequest_node AND c.since = r.position""")
-def review_changes(spark, sf):
-    return shaping.review_changes(_timeline(spark, sf), "purchase", "click")
+def changes_by_round(spark, sf):
+    return shaping.changes_by_round(_timeline(spark, sf), "purchase", "click").toDF("pullrequest_node", "opened", "change_node", "at", "change_position")
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS made FROM orders), {_FILES}, l AS (SELECT DISTINCT l_orderkey, 's' || l_suppkey AS s FROM lineitem), f AS (SELECT DISTINCT pr, filename FROM files)
-SELECT 'p/p' AS repo_full_name, o_orderkey AS pull_number, made AS pr_created_at, s AS review_user_login, filename AS file_filename FROM o JOIN l ON o_orderkey = l_orderkey JOIN f ON o_orderkey = pr""")
-def review_path_rows(spark, sf):
+SELECT 'p/p' AS repo_full_name, o_orderkey AS pull_number, made AS pr_created_at, s AS reviewer, filename AS file_filename FROM o JOIN l ON o_orderkey = l_orderkey JOIN f ON o_orderkey = pr""")
+def reviewer_path_rows(spark, sf):
     paths = _files(spark, sf).groupBy("pr").agg(F.collect_set(F.struct(F.col("filename").alias("location"))).alias("filePaths"))
     who = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pr")).agg(F.collect_set(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("name"))).alias("reviewers"))
     at = F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp")
     replies = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), at).join(paths, "pr").join(who, "pr").withColumnRenamed("pr", "changeNumber")
-    return shaping.review_paths(replies, "p").drop("commit_sha")
+    return shaping.reviewer_paths(replies, "p").drop("commit_sha").toDF("repo_full_name", "pull_number", "pr_created_at", "reviewer", "file_filename")
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*) AS n, min(o_orderkey) AS first_pr FROM orders GROUP BY ALL")
@@ -369,7 +369,7 @@ def best_neighbour(spark, sf):
 
 @query(f"WITH {_CALLS} SELECT 'author_reviewer_relation' AS type, src AS u, dst AS v, round(sum(cost), 2) AS weight FROM calls GROUP BY ALL")
 def edge_accumulate(spark, sf):
-    edges = _calls(spark, sf).select("ord", F.lit(text.EDGE_TYPES[3]).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
+    edges = _calls(spark, sf).select("ord", F.lit(schemas.EDGE_TYPES[3]).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
     return graphs.accumulate(edges).select("type", "u", "v", F.round("weight", 2).alias("weight"))
 
 

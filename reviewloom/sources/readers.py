@@ -17,8 +17,8 @@ def pull_requests(table: DataFrame, project: str, limit: int | None = 20) -> Dat
     return out if limit is None else out.orderBy("pr_id").limit(limit)
 
 
-def reviews(table: DataFrame, project: str, limit: int | None = 20) -> DataFrame:
-    """The review scan reads pull requests as well."""
+def reviewer_rows(table: DataFrame, project: str, limit: int | None = 20) -> DataFrame:
+    """The second scan, of reviewers, reads pull requests as well."""
     return pull_requests(table, project, limit)
 
 

@@ -1,4 +1,4 @@
-"""Schemas of the entities, and their identity keys."""
+"""Schemas of the entities, and their identity keys. Names of columns, relations and keys here are fixed values: data have them."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ TRAIN_ROW = (
 CHANGE_FILE = "pull_number long, filename string"
 PR_TEXT = "number long, title string, body string"
 
-REVIEW_DATASET = "changeNumber long, timestamp long, reviewers array<struct<name:string>>, filePaths array<struct<location:string>>"
+CHANGE_DATASET = "changeNumber long, timestamp long, reviewers array<struct<name:string>>, filePaths array<struct<location:string>>"
 COMMENT = "id long, path string, commit_id string, body string, created_at string, updated_at string, original_line long, author_association string, user struct<login:string,id:long>"
 BLOB = "oid string, id string, isBinary boolean, isTruncated boolean, byteSize long, text string, repository struct<nameWithOwner:string>"
 TREE = "repository struct<nameWithOwner:string>, __typename string, oid string, id string, entries array<struct<name:string,type:string,object:struct<id:string,oid:string>>>"
@@ -32,6 +32,13 @@ FOLLOW = f"data struct<user:struct<login:string,following:{_LOGINS},followers:{_
 WATCH = "data struct<user:struct<login:string,watching:struct<totalCount:long,edges:array<struct<cursor:string,node:struct<nameWithOwner:string>>>>>>"
 TIMELINE = "id string, repo_full_name string, author struct<login:string>, timelineItems struct<edges:array<struct<node:struct<id:string,typename:string,createdAt:string>>>>"
 
+#: names of node and edge types of the collaboration graphs
+NODE_TYPES = ("pr", "reviewer", "author")
+EDGE_TYPES = ("edge_pr_dis", "pr_review_relation", "pr_author_relation", "author_reviewer_relation", "reviewer_reviewer_relation")
+#: columns of reviewers' paths, and of rounds with the changes that follow them
+PATH_ROW = ("repo_full_name", "pull_number", "pr_created_at", "review_user_login", "commit_sha", "file_filename")
+ROUND_ROW = ("pullrequest_node", "review_node", "change_node", "review_position", "change_position")
+
 IDENTITY = {
     "blob": ["repository", "oid"],
     "tree_entry": ["repository", "parent_oid", "child_oid"],

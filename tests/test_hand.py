@@ -141,7 +141,7 @@ def test_timeline(spark):
     got = shaping.timeline(spark.createDataFrame([(j,)], "j string").select(readers.nested(F.col("j"), schemas.TIMELINE).alias("r")).select("r.*"))
     assert [r.position for r in got.collect()] == [0, 2]
     items = spark.createDataFrame([("p", "r3", "r", 3), ("p", "c4", "c", 4), ("p", "c6", "c", 6), ("p", "r7", "r", 7)], "pullrequest_node string, timelineitem_node string, typename string, position long")
-    got = sorted((r.review_position, r.change_position) for r in shaping.review_changes(items, "r", "c").collect())
+    got = sorted((r[3], r[4]) for r in shaping.changes_by_round(items, "r", "c").collect())
     assert got == [(3, 4), (3, 6), (7, -1)]
 
 

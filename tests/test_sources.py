@@ -18,7 +18,7 @@ def test_delimited(spark, tmp_path):
 
 def test_json_and_text(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"changeNumber": 1, "timestamp": 5, "reviewers": [{"name": "a"}], "filePaths": []}]))
-    assert readers.json_array(spark, str(tmp_path / "r.json"), schemas.REVIEW_DATASET).first().reviewers[0].name == "a"
+    assert readers.json_array(spark, str(tmp_path / "r.json"), schemas.CHANGE_DATASET).first().reviewers[0].name == "a"
     (tmp_path / "s.txt").write_text("the\n of \nthe\n\n")
     assert sorted(r.word for r in readers.stop_words(spark, str(tmp_path / "s.txt")).collect()) == ["of", "the"]
 
