@@ -23,13 +23,26 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: terms whose document frequencies are broadcast, at most; more are joined by salted shuffle
+BROADCAST_TERMS = 500_000
+
+
 def _weighed(tf: DataFrame, weight) -> DataFrame:
-    n = tf.agg(F.count_distinct("doc").alias("n"))  # one row: a broadcast of proven size
-    return tf.join(document_frequency(tf), "term").crossJoin(F.broadcast(n)).select("doc", "term", weight.alias("w"))
+    """tf is written once for its three uses. A term of nearly all documents is no key of a shuffle: frequencies are broadcast or salted."""
+    from ..sources.scratch import salted_join, written
+
+    tf = written(tf, "tf")
+    df = written(document_frequency(tf), "df")
+    n = F.lit(tf.select("doc").distinct().count())
+    if df.count() <= BROADCAST_TERMS:
+        got = tf.join(F.broadcast(df), "term")
+    else:
+        got = salted_join(tf, df, ["term"], "df", tf.count())
+    return got.withColumn("n", n).select("doc", "term", weight.alias("w"))
 
 
 def tfidf_plain(tf: DataFrame) -> DataFrame:
-    """(doc, term, w): tf * (ln(N / df) + 1), the stated formula (the reference's code itself yields 0)."""
+    """(doc, term, w): tf * (ln(N / df) + 1), the stated formula."""
     return _weighed(tf, F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1))
 
 
@@ -53,6 +66,22 @@ def labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return vectors.join(labels.where("label in (0, 1)"), "doc")
 
 
+def with_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Rows with the vectors (doc, term, w) of their key, one row for each term; rows without a vector stay, term and w null."""
+    return rows.join(vectors.withColumnRenamed("doc", key), key, "left")
+
+
+def joined_back(rows: DataFrame, found: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """Rows with what was found for their key, such as reduced vectors: inner, the right key dropped."""
+    return rows.join(found, rows[key] == found[doc]).drop(found[doc])
+
+
+def title_and_body(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, text) of pull requests: ids (doc) joined with texts (number, title, body); both in one text, null parts empty."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return ids.join(texts, F.col("doc") == F.col("number")).select("doc", F.concat_ws(" ", part("title"), part("body")).alias("text"))
+
+
 #: terms of the covariance, at most: d terms take d * d numbers on the driver, and four times that while it is solved
 MAX_TERMS = 16384
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.readers import dense_numbers
+from ..sources.scratch import salted_join
+
 
 def add_nodes(rows: DataFrame) -> DataFrame:
     """(id, type, key): nodes of rows (ord, type, key), numbered from 0 in first-seen order."""
@@ -61,14 +63,14 @@ def degrees(incidence: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 def propagation(incidence: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v, value) of the propagation matrix: sum over common edges of weight / size, over the root of both degrees.
 
-    Rows grow with the squares of edge sizes: pre-aggregate or filter edges of very many members. Half of the
-    symmetric matrix is summed, then mirrored.
+    Rows grow with the squares of edge sizes: pre-aggregate or filter edges of very many members. The pairs of a large edge are
+    made by many tasks. Half of the symmetric matrix is summed, then mirrored.
     """
     degree, size = degrees(incidence, edges)
     share = edges.join(size, "edge_id").select("edge_id", (F.col("weight") / F.col("size")).alias("share"))
     a = incidence.join(share, "edge_id").select("edge_id", F.col("node_id").alias("u"), "share")
-    b = incidence.select("edge_id", F.col("node_id").alias("v"))
-    half = a.join(b, "edge_id").where("u <= v").groupBy("u", "v").agg(F.sum("share").alias("s"))
+    b = incidence.join(size, "edge_id").select("edge_id", F.col("node_id").alias("v"), "size")
+    half = salted_join(a, b, ["edge_id"], "size", incidence.count()).where("u <= v").groupBy("u", "v").agg(F.sum("share").alias("s"))
     half = half.join(degree.select(F.col("node_id").alias("u"), F.col("degree").alias("du")), "u").join(degree.select(F.col("node_id").alias("v"), F.col("degree").alias("dv")), "v")
     half = half.select("u", "v", (F.col("s") / F.sqrt(F.col("du") * F.col("dv"))).alias("value"))
     return half.unionAll(half.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"), "value"))
@@ -112,3 +114,85 @@ def communities(edges: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
         turn = F.pmod(F.xxhash64(F.col("node"), F.lit(seed)), F.lit(2)) == r % 2
         label = written(label.join(best.withColumnRenamed("u", "node"), "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community")), "labels")
     return label
+
+
+def louvain(edges: DataFrame, start: DataFrame | None = None, rounds: int = 8, seed: int = 1) -> DataFrame:
+    """(node, community): modularity raised by moves of nodes, then of whole communities; edges (u, v, weight) undirected, u <> v.
+
+    start: a partition to begin with (node, community), else each node is alone. In a round the nodes of one half, chosen by a
+    hash, move to the neighbouring community of the largest gain, if there is one; a round that doesn't raise the score is
+    undone. When no half finds a move, communities become nodes. The score never falls, so it is at least that of start.
+    """
+    from ..sources.scratch import written
+
+    nodes = edges.select(F.col("u").alias("node")).unionAll(edges.select("v")).distinct()
+    part = nodes.withColumn("community", F.col("node")) if start is None else nodes.join(start, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    part = written(part, "part")
+    m = edges.agg(F.sum("weight")).first()[0] or 0.0
+    if not m:
+        return part
+    score = lambda p: modularity(edges, p).first().q
+    best = score(part)
+    level = written(edges.select("u", "v", "weight"), "level")  # the graph whose nodes move; loops hold inner weight
+    # node of the graph -> node of the level; at first the nodes themselves
+    place = nodes.select("node", F.col("node").alias("at"))
+    label = part.withColumnRenamed("node", "at")
+    while True:
+        moved = False
+        both = level.unionAll(level.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+        degree = written(both.groupBy(F.col("u").alias("at")).agg(F.sum("weight").alias("k")), "degrees")
+        idle = 0
+        for r in range(2 * rounds):
+            own = label.join(degree, "at")
+            total = own.groupBy("community").agg(F.sum("k").alias("tot"))
+            near = both.where("u <> v").join(label.select(F.col("at").alias("v"), "community"), "v").groupBy(F.col("u").alias("at"), "community").agg(F.sum("weight").alias("w"))
+            near = near.join(own.select("at", F.col("community").alias("own"), "k"), "at").join(total, "community")
+            # gain of standing in a community, the node itself not counted in its total
+            value = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * m)
+            near = near.withColumn("value", F.round(value, 9))
+            pick = near.groupBy("at").agg(F.max_by("community", F.struct("value", "community")).alias("to"), F.max("value").alias("value"), F.max(F.when(F.col("community") == F.col("own"), F.col("value"))).alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"))
+            alone = pick.join(total.withColumnRenamed("community", "own"), "own")
+            stay = F.coalesce("stay", F.round(-F.col("k") * (F.col("tot") - F.col("k")) / (2 * m), 9))
+            turn = F.pmod(F.xxhash64(F.col("at"), F.lit(seed)), F.lit(2)) == r % 2
+            go = alone.where(turn & (F.col("value") > stay + 1e-9)).select("at", "to")
+            new = written(label.join(go, "at", "left").select("at", F.coalesce("to", "community").alias("community")), "label")
+            now = score(place.join(new, "at").select("node", "community"))
+            if now > best + 1e-12:
+                best, label, moved, idle = now, new, True, 0
+            else:
+                idle += 1
+                if idle == 2:
+                    break
+        place = written(place.join(label, "at").select("node", F.col("community").alias("at")), "place")
+        if not moved and level.select("u").unionAll(level.select("v")).distinct().count() <= label.select("community").distinct().count():
+            return place.select("node", F.col("at").alias("community"))
+        ends = level.join(label.select(F.col("at").alias("u"), F.col("community").alias("cu")), "u").join(label.select(F.col("at").alias("v"), F.col("community").alias("cv")), "v")
+        level = written(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("weight").alias("weight")), "level")
+        label = place.select("at").distinct().withColumn("community", F.col("at"))
+
+
+def nodes_by_key(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (type, key) with the id of their node, null where there is none."""
+    return keys.join(nodes.select("type", "key", "id"), ["type", "key"], "left")
+
+
+def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (id) with type and key of their node, null where there is none."""
+    return ids.join(nodes, "id", "left")
+
+
+def edges_by_ends(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (type, u, v), in any order of their ends, with the weight of their undirected edge, null where there is none."""
+    ends = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    return pairs.select("type", *ends).join(edges.select("type", *ends, "weight"), ["type", "u", "v"], "left")
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, neighbour, weight) of the edges (src, dst, weight) that leave nodes (node)."""
+    return nodes.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), "weight"), "node")
+
+
+def edge_weights(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (src, dst) with held (whether the graph has that edge) and its weight."""
+    got = pairs.join(edges.select("src", "dst", "weight", F.lit(True).alias("held")), ["src", "dst"], "left")
+    return got.select("src", "dst", F.coalesce("held", F.lit(False)).alias("held"), "weight")

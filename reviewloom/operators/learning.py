@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: weights of experience, response and activity
@@ -99,8 +99,38 @@ def best_on_grid(grid: DataFrame, value) -> DataFrame:
 
 
 def undominated(points: DataFrame, a: str, b: str) -> DataFrame:
-    """Points (both to be small) that no other point dominates: a running minimum over sorted values, no pairwise join."""
-    best = points.groupBy(a).agg(F.min(b).alias(b))
-    w = Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_m", F.min(b).over(w)).where(F.col("_m").isNull() | (F.col(b) < F.col("_m"))).drop("_m")
+    """Points (both to be small) that no other point dominates: a running minimum over sorted values, no pairwise join.
+
+    Values are sorted by ranges; the minimum of each range is carried on to the next ones, so no task sees all.
+    """
+    from ..sources.scratch import written
+
+    best = points.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.min(b).alias(b))
+    best = best.repartitionByRange(a).sortWithinPartitions(a).withColumn("_p", F.spark_partition_id())
+    best = written(best, "ranges")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    least = best.groupBy("_p").agg(F.min(b).alias("_l")).select("_p", F.min("_l").over(before).alias("_before"))
+    inner = Window.partitionBy("_p").orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
+    front = best.join(F.broadcast(least), "_p").withColumn("_m", F.least(F.min(b).over(inner), "_before"))  # a row for each range
+    front = front.where(F.col("_m").isNull() | (F.col(b) < F.col("_m"))).select(a, b)
     return points.join(front, [a, b], "left_semi")
+
+
+def constrained_points(steps: int) -> DataFrame:
+    """(x1, x2, f1, f2) of the points of a grid on [0, 5] x [0, 3] that keep both constraints of the two-objective demo.
+
+    f1 = 4 x1^2 + 4 x2^2, f2 = (x1 - 5)^2 + (x2 - 5)^2; (x1 - 5)^2 + x2^2 <= 25, (x1 - 8)^2 + (x2 - 3)^2 >= 7.7.
+    """
+    spark = SparkSession.active()
+    i, n = F.col("id"), steps + 1
+    grid = spark.range(n * n).select((5.0 * F.floor(i / n) / steps).alias("x1"), (3.0 * (i % n) / steps).alias("x2"))
+    x, y = F.col("x1"), F.col("x2")
+    grid = grid.where(((x - 5) * (x - 5) + y * y <= 25) & ((x - 8) * (x - 8) + (y - 3) * (y - 3) >= 7.7))
+    return grid.select("x1", "x2", (4 * x * x + 4 * y * y).alias("f1"), ((x - 5) * (x - 5) + (y - 5) * (y - 5)).alias("f2"))
+
+
+def pearson_test(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (corr, n, p): the correlation and its two-sided p-value."""
+    got = pearson(rows, x, y).first()
+    p = None if got["corr"] is None else pearson_p(got["corr"], got["n"])
+    return rows.sparkSession.createDataFrame([(got["corr"], got["n"], p)], "corr double, n long, p double")

@@ -8,17 +8,44 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: a key of more rows is heavy; heavy keys, at most (their numbers of pieces are broadcast)
+HEAVY_ROWS, HEAVY_KEYS = 512, 20_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a temporary folder where the session has none (tests)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new path in spark.checkpoint.dir, else in the folder of setCheckpointDir, else (local mode only) in a temporary folder."""
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    top = sc.getConf().get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = getattr(spark, "_reviewloom_scratch", None) or "file://" + tempfile.mkdtemp(prefix="reviewloom-")
         spark._reviewloom_scratch = top
     return f"{top.rstrip('/')}/reviewloom-{name}-{uuid.uuid4().hex}"
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, so that no task meets all of left's rows of a heavy key.
+
+    right has the number n of left's rows of a key in each of its rows (n goes with it into the result); total is the number of
+    left's rows. A key of more than max(HEAVY_ROWS, total / HEAVY_KEYS) rows is cut into pieces of about that size by a hash
+    of the row; right's rows are repeated for each piece. Such keys number HEAVY_KEYS at most: that bound makes the broadcast
+    of their numbers of pieces safe.
+    """
+    per = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    pieces = F.ceil(F.col(n) / per).cast("int")
+    heavy = F.broadcast(right.where(F.col(n) > per).select(*keys, pieces.alias("_pieces")).distinct())
+    dealt = left.join(heavy, keys, "left")
+    salt = F.xxhash64(*[F.col(c) for c, kind in left.dtypes if "map<" not in kind])
+    dealt = dealt.withColumn("_piece", F.coalesce(F.pmod(salt, F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)))
+    return dealt.join(copies, [*keys, "_piece"], how).drop("_piece")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table there and read it back: cuts the lineage of an iteration."""
     path = shared_path(df.sparkSession, name)
