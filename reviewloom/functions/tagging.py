@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 PLACE = "ns"
+#: a bracket group with its tag, or a token
+_UNIT = re.compile(r"\[([^\[\]]*)\](\S*)|(\S+)")
 
 
 def tag_tokens(words: list[str]) -> list[tuple[str, str]]:
@@ -14,28 +18,16 @@ def tag_tokens(words: list[str]) -> list[tuple[str, str]]:
     An unbalanced bracket raises ValueError.
     """
     out: list[tuple[str, str]] = []
-    open_word: str | None = None
-    for token in (w.strip("\t ") for w in words):
-        if not token:
-            continue
-        word, _, tag = token.partition("/")
-        if open_word is None:
-            if "[" in word:
-                open_word = word[word.index("[") + 1 :]
-                continue
-        elif "]" not in token:
-            open_word += word
-            continue
-        else:
-            word, tag = open_word + word, token[token.index("]") + 1 :]
-            open_word = None
-        if tag == PLACE and word:
-            tags = ["S"] if len(word) == 1 else ["B", *["M"] * (len(word) - 2), "E"]
+    for inner, group_tag, token in _UNIT.findall(" ".join(words)):
+        if "[" in token or "]" in token:
+            raise ValueError("unbalanced bracket")
+        word, tag = ("".join(w.split("/")[0] for w in inner.split()), group_tag) if not token else (token.split("/")[0], token.partition("/")[2])
+        n = len(word)
+        if tag != PLACE:
+            tags = "O" * n
         else:
-            tags = ["O"] * len(word)
+            tags = "S" if n == 1 else "B" + "M" * (n - 2) + "E" if n else ""
         out += zip(word, tags)
-    if open_word is not None:
-        raise ValueError("unbalanced bracket")
     return out
 
 

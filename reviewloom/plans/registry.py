@@ -481,7 +481,11 @@ _PERIODS = "per AS (SELECT o_orderpriority AS sheet, year(o_orderdate) * 12 + mo
 
 
 def _report(spark, sf) -> DataFrame:
-    """Monthly figures of each priority, laid out as the cells of a report sheet, and read back from there."""
+    return shaping.report_values(_report_cells(spark, sf))
+
+
+def _report_cells(spark, sf) -> DataFrame:
+    """Monthly figures of each priority, laid out as the cells of a report sheet."""
     from pyspark.sql import Window
 
     per = t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("sheet"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m")).agg(F.round(F.avg("o_totalprice"), 2).alias("modularity"), F.count(F.lit(1)).cast("double").alias("entropy"), F.round(F.min("o_totalprice"), 2).alias("top1"), F.round(F.max("o_totalprice"), 2).alias("top3"), F.round(F.sum("o_totalprice"), 2).alias("top5"))
@@ -493,7 +497,7 @@ def _report(spark, sf) -> DataFrame:
         row(2, F.lit("community"), no, no, no, no, no, no), row(3, no, F.lit("whole"), no, no, s("modularity"), s("entropy"), no),
         row(4, F.lit("accuracy"), no, no, no, no, no, no), row(6, no, no, s("top1"), no, s("top3"), no, s("top5")),
     ))
-    return shaping.report_values(per.select("sheet", cells.alias("x")).select("sheet", "x.*"))
+    return per.select("sheet", cells.alias("x")).select("sheet", "x.*")
 
 
 @query(f"WITH {_PERIODS} SELECT * FROM rep")
@@ -546,3 +550,212 @@ def grid_maximum(spark, sf):
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))")
 def pareto_front(spark, sf):
     return learning.undominated(t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey", "s_acctbal")
+
+
+# ---- landed files: written in the shared folder, read back and compared with the table
+
+
+def _landed(spark, name: str) -> str:
+    return scratch.shared_path(spark, name)
+
+
+@query("SELECT o_orderkey AS pr_id, o_orderstatus AS pr_state, o_custkey AS pr_author, o_orderdate AS pr_created_at FROM orders WHERE o_orderpriority = '5-LOW'")
+def reviewer_scan(spark, sf):
+    return readers.reviewer_rows(_pull_requests(spark, sf), "5-LOW", limit=None).select("pr_id", "pr_state", "pr_author", "pr_created_at")
+
+
+@query(f"WITH {_FILES} SELECT pr AS commit_sha, filename FROM files")
+def commit_file_sync(spark, sf):
+    return readers.all_commit_files(_files(spark, sf).withColumnRenamed("pr", "commit_sha"))[0]
+
+
+@query("SELECT 's' || l_suppkey AS reviewer_reviewer, l_orderkey AS pr_number, l_linenumber::BIGINT AS commit_files, l_quantity::DOUBLE AS author_submit_gap FROM lineitem")
+def training_rows_file(spark, sf):
+    path, have = _landed(spark, "rows"), {"reviewer_reviewer": F.concat(F.lit("s"), "l_suppkey"), "pr_number": F.col("l_orderkey"), "commit_files": F.col("l_linenumber"), "author_submit_gap": F.col("l_quantity")}
+    names = [c.split()[0] for c in schemas.TRAIN_ROW.split(", ")]
+    t(spark, sf, "lineitem").select(*[have.get(n, F.lit(None)).cast("string").alias(n) for n in names]).write.csv(path, sep="\t")
+    return readers.training_rows(spark, path).select(*have)
+
+
+@query("SELECT p_partkey AS pull_number, p_name AS filename FROM part")
+def change_files_file(spark, sf):
+    path = _landed(spark, "changes")
+    writers.csv_file(t(spark, sf, "part").select(F.col("p_partkey").alias("pull_number"), F.col("p_name").alias("filename")), path)
+    return readers.delimited(spark, path, schemas.CHANGE_FILE, ",")
+
+
+@query("SELECT n_nationkey AS \"changeNumber\", n_regionkey * 1000 AS \"timestamp\", n_name AS reviewer FROM nation")
+def json_array_file(spark, sf):
+    path = _landed(spark, "array")
+    row = F.to_json(F.struct(F.col("n_nationkey").alias("changeNumber"), (F.col("n_regionkey") * 1000).alias("timestamp"), F.array(F.struct(F.col("n_name").alias("name"))).alias("reviewers")))
+    # 25 nations: one array in one file is what this reader is for
+    t(spark, sf, "nation").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    return readers.json_array(spark, path, schemas.CHANGE_DATASET).select("changeNumber", "timestamp", F.col("reviewers")[0]["name"].alias("reviewer"))
+
+
+@query("SELECT p_name AS value FROM part WHERE p_name <> ''")
+def text_lines_file(spark, sf):
+    path = _landed(spark, "lines")
+    t(spark, sf, "part").where("p_name <> ''").select("p_name").write.text(path)
+    return readers.text_lines(spark, path)
+
+
+@query("SELECT DISTINCT trim(p_type) AS word FROM part WHERE trim(p_type) <> ''")
+def stop_words_file(spark, sf):
+    path = _landed(spark, "stop")
+    t(spark, sf, "part").select(F.concat(F.lit(" "), "p_type", F.lit("  "))).unionAll(spark.sql("SELECT ''")).write.text(path)
+    return readers.stop_words(spark, path)
+
+
+_SEGMENTED = "seg AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS line_no, n_name AS name FROM nation)"
+
+
+def _segmented(spark, sf) -> DataFrame:
+    """Nations as lines of a segmented corpus, empty lines between them, written and read back."""
+    path = _landed(spark, "corpus")
+    line = F.concat(F.lit("id"), "n_nationkey", F.lit(" "), F.regexp_replace("n_name", " ", "_"), F.lit("/ns to/p [San_/n Jose/n]ns\n"))
+    t(spark, sf, "nation").orderBy("n_nationkey").select(line).coalesce(1).write.text(path)  # 25 lines
+    return readers.corpus(spark, path)
+
+
+@query(f"WITH {_SEGMENTED} SELECT line_no, replace(name, ' ', '_') || '/ns to/p [San_/n Jose/n]ns' AS words FROM seg")
+def corpus_file(spark, sf):
+    return _segmented(spark, sf).select("line_no", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {_SEGMENTED} SELECT line_no, 'B' || repeat('M', length(name) - 2) || 'E' || 'OO' || 'BMMMMMME' AS tags FROM seg")
+def tag_places(spark, sf):
+    tags = tagging.tags_udf()
+    return _segmented(spark, sf).select("line_no", F.array_join(F.transform(tags("words"), lambda x: x["tag"]), "").alias("tags"))
+
+
+@query(f"WITH {_SEGMENTED}, l AS (SELECT unnest(string_split(replace(name, ' ', '_') || 'toSan_Jose', '')) AS ch FROM seg WHERE line_no % 5 = 0) SELECT ch, count(*) AS n FROM l GROUP BY ch")
+def tagged_test_file(spark, sf):
+    path, tags = _landed(spark, "tagged"), tagging.tags_udf()
+    rows = _segmented(spark, sf).select("line_no", tags("words").alias("tags"))
+    writers.write_tagged(rows.where("line_no % 5 = 0"), path)
+    lines = readers.text_lines(spark, path).where("value <> ''")
+    return lines.groupBy(F.split("value", "\t")[0].alias("ch")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, o_orderkey FROM orders")
+def month_files(spark, sf):
+    path = _landed(spark, "months")
+    writers.write_months(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", path)
+    return readers.delimited(spark, path, "o_orderkey long, o_orderdate string, year int, month int").select("year", "month", "o_orderkey")
+
+
+@query(f"WITH {_PERIODS} SELECT * FROM rep")
+def report_file(spark, sf):
+    path = _landed(spark, "report")
+    _report_cells(spark, sf).write.partitionBy("sheet").csv(path, header=True)
+    cells = spark.read.csv(path, header=True, schema="row_idx long, " + ", ".join(f"c{i} string" for i in range(7)) + ", sheet string")
+    return shaping.report_values(cells)
+
+
+@query("SELECT * FROM (VALUES ('topk', '10'), ('Users', 'a,b')) v(key, value)")
+def settings_section(spark, sf):
+    return spark.createDataFrame(list(readers.settings("[recommend]\ntopk = 10\nUsers = a,b\n[other]\nx = 1\n").items()), "key string, value string")
+
+
+STEMS = [("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("rational", "ration"), ("adjustable", "adjust"), ("effective", "effect"), ("rate", "rate"), ("controll", "control")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS) + ") v(word, stem)")
+def porter_stems(spark, sf):
+    words = spark.createDataFrame([(w,) for w, _ in STEMS], "word string")
+    return words.select("word", porter.stems_udf()(F.array("word"))[0].alias("stem"))
+
+
+# ---- rows with vectors, lookups, moves of communities, fronts
+
+
+@query(f"WITH {_FILES.replace('l_partkey = p_partkey', 'l_partkey = p_partkey WHERE p_size > 45')}, {_COUNTS}, {_TFIDF} SELECT o_orderkey AS pr, o_custkey AS author, term, round(w, 6) AS w FROM orders LEFT JOIN vec ON doc = o_orderkey")
+def rows_with_vectors(spark, sf):
+    few = t(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", F.regexp_replace("p_brand", "#", ""), F.lower("p_type"), F.regexp_replace("p_name", " ", "_")).alias("filename"))
+    files = t(spark, sf, "lineitem").join(few, "l_partkey").select(F.col("l_orderkey").alias("pr"), "filename")
+    vectors = features.tfidf(features.term_frequency(features.path_terms(files, "pr")))
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("author"))
+    return features.with_vectors(rows, vectors, "pr").select("pr", "author", "term", r6("w"))
+
+
+@query("SELECT o_orderkey, o_custkey, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
+def rows_joined_back(spark, sf):
+    found = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    return features.joined_back(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), found, "o_orderkey")
+
+
+@query(f"WITH tx AS (SELECT p_partkey AS doc, coalesce(p_name, '') || ' ' || coalesce(p_type, '') AS text FROM part WHERE p_partkey % 3 = 0), words AS (SELECT doc, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: NOT list_contains({_STOPS}, w)) AS ws FROM tx), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
+def title_body_tfidf(spark, sf):
+    p = t(spark, sf, "part")
+    texts = features.title_and_body(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("doc")), p.select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
+    words = texts.select("doc", text.without_stop_words(text.tokens(F.col("text")), STOP).alias("ws"))
+    return features.tfidf(_text_tf(words)).select("doc", "term", r6("w"))
+
+
+_NODES = "nodes AS (SELECT n_nationkey AS id, 'nation' AS type, n_name AS key FROM nation UNION ALL SELECT 100 + r_regionkey, 'region', r_name FROM region)"
+
+
+def _nodes(spark, sf) -> DataFrame:
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.lit("nation").alias("type"), F.col("n_name").alias("key"))
+    return n.unionAll(t(spark, sf, "region").select((F.col("r_regionkey") + 100).alias("id"), F.lit("region"), "r_name"))
+
+
+@query(f"WITH {_NODES}, w AS (SELECT * FROM (VALUES ('nation', 'FRANCE'), ('region', 'ASIA'), ('region', 'FRANCE')) v(type, key)) SELECT w.type, w.key, id FROM w LEFT JOIN nodes USING (type, key)")
+def lookup_nodes_by_key(spark, sf):
+    return graphs.nodes_by_key(_nodes(spark, sf), spark.createDataFrame([("nation", "FRANCE"), ("region", "ASIA"), ("region", "FRANCE")], "type string, key string"))
+
+
+@query(f"WITH {_NODES}, w AS (SELECT * FROM (VALUES (3), (101), (999)) v(id)) SELECT w.id::BIGINT AS id, type, key FROM w LEFT JOIN nodes USING (id)")
+def lookup_nodes_by_id(spark, sf):
+    return graphs.nodes_by_id(_nodes(spark, sf), spark.createDataFrame([(3,), (101,), (999,)], "id long"))
+
+
+@query(f"WITH {_SUMMED}, w AS (SELECT * FROM (VALUES (3, 1), (1, 24), (5, 5)) v(a, b)) SELECT 'trade' AS type, least(a, b)::BIGINT AS u, greatest(a, b)::BIGINT AS v, w AS weight FROM w LEFT JOIN e ON u = least(a, b) AND v = greatest(a, b)".replace("w AS weight FROM w LEFT", "e.w AS weight FROM w LEFT"))
+def lookup_edges_by_ends(spark, sf):
+    edges = _nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight")).withColumn("type", F.lit("trade"))
+    return graphs.edges_by_ends(edges, spark.createDataFrame([("trade", 3, 1), ("trade", 1, 24), ("trade", 5, 5)], "type string, u long, v long"))
+
+
+@query(f"WITH {_CALLS}, e AS (SELECT src, dst, arg_max(cost, ord) AS weight FROM calls GROUP BY ALL) SELECT src AS node, dst AS neighbour, weight FROM e WHERE src IN ('c1', 'c7', 'c13')")
+def neighbours(spark, sf):
+    return graphs.neighbours(graphs.calls_summary(_calls(spark, sf))[1], spark.createDataFrame([("c1",), ("c7",), ("c13",), ("none",)], "node string"))
+
+
+@query(f"WITH {_CALLS}, e AS (SELECT src, dst, arg_max(cost, ord) AS weight FROM calls GROUP BY ALL), p AS (SELECT 'c' || c_custkey AS src, 's' || (c_custkey % 10 + 1) AS dst FROM customer) SELECT p.src, p.dst, weight IS NOT NULL AS held, weight FROM p LEFT JOIN e ON e.src = p.src AND e.dst = p.dst")
+def edge_weights(spark, sf):
+    pairs = t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("s"), F.col("c_custkey") % 10 + 1).alias("dst"))
+    return graphs.edge_weights(graphs.calls_summary(_calls(spark, sf))[1], pairs)
+
+
+@query(f"WITH {_SUMMED} SELECT (SELECT count(*) FROM nation) AS n_nodes, (SELECT count(*) FROM e) AS n_edges")
+def graph_counts(spark, sf):
+    return spark.createDataFrame([writers.graph_counts(t(spark, sf, "nation"), _nation_edges(spark, sf).select("u", "v").distinct())], "n_nodes long, n_edges long")
+
+
+@query("SELECT true AS at_least_propagation, true AS at_least_regions")
+def louvain_score(spark, sf):
+    edges = scratch.written(_nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight")), "nations")
+    spread = scratch.written(graphs.communities(edges), "spread")
+    regions = t(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
+    score = lambda p: graphs.modularity(edges, p).first().q
+    got = [score(graphs.louvain(edges, p)) >= score(p) - 1e-9 for p in (spread, regions)]
+    return spark.createDataFrame([tuple(got)], "at_least_propagation boolean, at_least_regions boolean")
+
+
+@query("""WITH g AS (SELECT 5.0::DOUBLE * a / 60 AS x1, 3.0::DOUBLE * b / 60 AS x2 FROM range(61) p(a), range(61) q(b)), f AS (SELECT x1, x2, 4 * x1 * x1 + 4 * x2 * x2 AS f1, (x1 - 5) * (x1 - 5) + (x2 - 5) * (x2 - 5) AS f2 FROM g WHERE (x1 - 5) * (x1 - 5) + x2 * x2 <= 25 AND (x1 - 8) * (x1 - 8) + (x2 - 3) * (x2 - 3) >= 7.7)
+SELECT round(x1, 6) AS x1, round(x2, 6) AS x2, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f1 < a.f1 OR b.f2 < a.f2))""")
+def constrained_front(spark, sf):
+    return learning.undominated(learning.constrained_points(60), "f1", "f2").select(r6("x1"), r6("x2"), r6("f1"), r6("f2"))
+
+
+@query(f"WITH {_SUMMED} SELECT u || '-' || v AS id, 'n' || u AS label, '2020' AS start, '2021' AS \"end\", u::INT AS r, v::INT AS g, v::VARCHAR AS value FROM e")
+def gexf_edge_details(spark, sf):
+    path, n = _landed(spark, "gexf"), t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit("1999").alias("start"))
+    e = _nation_edges(spark, sf).select("u", "v").distinct()
+    colour = F.struct(F.col("u").alias("r"), F.col("v").alias("g"), F.lit(0).alias("b")).alias("colour")
+    value = F.array(F.struct(F.lit("k").alias("for"), F.col("v").cast("string").alias("value"))).alias("attvalues")
+    e = e.select(F.concat_ws("-", "u", "v").alias("id"), F.col("u").alias("source"), F.col("v").alias("target"), F.concat(F.lit("n"), "u").alias("label"), F.lit("2020").alias("start"), F.lit("2021").alias("end"), colour, value)
+    writers.write_gexf(n, e, path, mode="dynamic", edge_attributes=[("k", "Kind", "string")])
+    got = readers.gexf(spark, path)["edges"]
+    return got.join(readers.gexf_values(got, "k"), "id").select("id", "label", "start", "end", "colour.r", "colour.g", "value")

@@ -101,7 +101,7 @@ def gexf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "attributes": read("attribute", "_id string, _title string, _type string, default string").select(F.col("_id").alias("id"), F.col("_title").alias("title"), F.col("_type").alias("type"), "default"),
         "nodes": read("node", f"_id string, _label string, _start string, _end string, {values}").select(F.col("_id").alias("id"), F.col("_label").alias("label"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("attvalues.attvalue").alias("attvalues")),
-        "edges": read("edge", f"_id string, _source string, _target string, _weight string, _label string, {values}").select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_weight").cast("double").alias("weight"), F.col("_label").alias("label"), F.col("attvalues.attvalue").alias("attvalues")),
+        "edges": read("edge", f"_id string, _source string, _target string, _weight string, _label string, _start string, _end string, color struct<_r:int,_g:int,_b:int>, {values}").select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_target").alias("target"), F.col("_weight").cast("double").alias("weight"), F.col("_label").alias("label"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.struct(F.col("color._r").alias("r"), F.col("color._g").alias("g"), F.col("color._b").alias("b")).alias("colour"), F.col("attvalues.attvalue").alias("attvalues")),
     }
 
 

@@ -5,13 +5,32 @@ from __future__ import annotations
 import logging
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def merged(spark: SparkSession, folder: str, path: str, head: str = "") -> None:
+    """One file from the parts of a written folder, in their order, after `head`; the folder goes. Bytes are streamed, not gathered."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    parts = sorted(p.getPath().toString() for p in fs.listStatus(top) if p.getPath().getName().startswith("part-"))
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode("utf-8")))
+        for p in parts:
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    finally:
+        out.close()
+    fs.delete(top, True)
+
+
 def csv_file(df: DataFrame, path: str) -> None:
-    """One UTF-8 CSV file with header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+    """One UTF-8 CSV file with header: parts are written by all tasks, then joined."""
+    df.write.mode("overwrite").csv(path + ".parts", header=False, encoding="UTF-8")
+    merged(df.sparkSession, path + ".parts", path, ",".join(df.columns) + "\n")
 
 
 def by_month(df: DataFrame, date_col: str) -> DataFrame:
@@ -31,35 +50,42 @@ def tagged_lines(tagged: DataFrame) -> DataFrame:
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
-    """Train or test file of a tagged corpus."""
-    tagged_lines(tagged).coalesce(1).write.mode("overwrite").text(path)
+    """Train or test text of a tagged corpus: a folder of parts in order."""
+    tagged_lines(tagged).write.mode("overwrite").text(path)
 
 
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[tuple[str, str, str]] = (), mode: str = "static", default_edge_type: str = "undirected") -> None:
-    """GEXF 1.1 text at `path` (a folder of parts in order: header, nodes, edges).
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[tuple[str, str, str]] = (), mode: str = "static", default_edge_type: str = "undirected", edge_attributes: list[tuple[str, str, str]] = ()) -> None:
+    """GEXF 1.1 text at `path` (a folder of parts in order: header, nodes, edges; `merged` makes one file of it).
 
-    nodes: id, label, attvalues array<struct<for, value>>; edges: id, source, target, weight.
-    attributes: (id, title, type) of node attributes. An edge with an unknown end, or an attribute that is
-    not declared, raises ValueError.
+    nodes: id, label, attvalues array<struct<for, value>>; edges: id, source, target, weight. Both may have start, end and
+    colour (struct<r, g, b>), edges label and attvalues; null ones are left out. attributes: (id, title, type) of
+    node attributes, edge_attributes of edges. An edge with an unknown end, or an attribute that is not declared, raises ValueError.
     """
     mode = mode if mode in ("static", "dynamic") else "static"
     default_edge_type = default_edge_type if default_edge_type in ("directed", "undirected") else "undirected"
     ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
     if ends.join(nodes, "id", "left_anti").limit(1).count():
         raise ValueError("an edge has an unknown end")
-    known = [a[0] for a in attributes]
-    if nodes.select(F.explode("attvalues").alias("a")).where(~F.col("a.for").isin(known)).limit(1).count():
-        raise ValueError("an attribute is not declared")
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.1draft" version="1.1">\n' + f'<graph mode="{mode}" defaultedgetype="{default_edge_type}">\n<attributes class="node" mode="static">\n'
-    head += "".join(f"<attribute id={quoteattr(i)} title={quoteattr(t)} type={quoteattr(k)}/>\n" for i, t, k in attributes) + "</attributes>\n<nodes>"
+    for table, known in ((nodes, attributes), (edges, edge_attributes)):
+        if "attvalues" in table.columns and table.select(F.explode("attvalues").alias("a")).where(~F.col("a.for").isin([x[0] for x in known])).limit(1).count():
+            raise ValueError("an attribute is not declared")
+    declared = lambda kind, known: f'<attributes class="{kind}" mode="{mode}">\n' + "".join(f"<attribute id={quoteattr(i)} title={quoteattr(t)} type={quoteattr(k)}/>\n" for i, t, k in known) + "</attributes>\n"
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.1draft" xmlns:viz="http://www.gexf.net/1.1draft/viz" version="1.1">\n' + f'<graph mode="{mode}" defaultedgetype="{default_edge_type}">\n'
+    head += declared("node", attributes) + (declared("edge", edge_attributes) if edge_attributes else "") + "<nodes>"
     attr = lambda name, c: F.concat(F.lit(f" {name}=\""), _escaped(c.cast("string")), F.lit('"'))
-    values = F.array_join(F.transform("attvalues", lambda a: F.concat(F.lit("<attvalue"), attr("for", a["for"]), attr("value", a["value"]), F.lit("/>"))), "")
-    node = F.concat(F.lit("<node"), attr("id", F.col("id")), attr("label", F.col("label")), F.lit("><attvalues>"), values, F.lit("</attvalues></node>"))
-    edge = F.concat(F.lit("<edge"), attr("id", F.col("id")), attr("source", F.col("source")), attr("target", F.col("target")), attr("weight", F.col("weight")), F.lit("/>"))
+    none = F.lit("")
+
+    def element(tag: str, table: DataFrame, names: list[str]) -> Column:
+        have = lambda c: c in table.columns
+        own = [F.when(F.col(c).isNotNull(), attr(c, F.col(c))).otherwise(none) for c in (*names, "start", "end") if have(c)]
+        colour = F.when(F.col("colour").isNotNull(), F.concat(F.lit("<viz:color"), *[attr(c, F.col(f"colour.{c}")) for c in "rgb"], F.lit("/>"))).otherwise(none) if have("colour") else none
+        values = F.transform("attvalues", lambda a: F.concat(F.lit("<attvalue"), attr("for", a["for"]), attr("value", a["value"]), F.lit("/>"))) if have("attvalues") else F.array().cast("array<string>")
+        return F.concat(F.lit(f"<{tag}"), *own, F.lit(">"), colour, F.lit("<attvalues>"), F.coalesce(F.array_join(values, ""), none), F.lit(f"</attvalues></{tag}>"))
+
     one = lambda k, text: nodes.sparkSession.createDataFrame([(k, "", text)], "part int, id string, value string")
-    parts = one(0, head).unionAll(nodes.select(F.lit(1), F.col("id").cast("string"), node)).unionAll(one(2, "</nodes>\n<edges>"))
-    parts = parts.unionAll(edges.select(F.lit(3), F.col("id").cast("string"), edge)).unionAll(one(4, "</edges>\n</graph>\n</gexf>"))
-    parts.orderBy("part", "id").select("value").coalesce(1).write.mode("overwrite").text(path)
+    parts = one(0, head).unionAll(nodes.select(F.lit(1), F.col("id").cast("string"), element("node", nodes, ["id", "label"]))).unionAll(one(2, "</nodes>\n<edges>"))
+    parts = parts.unionAll(edges.select(F.lit(3), F.col("id").cast("string"), element("edge", edges, ["id", "source", "target", "weight", "label"]))).unionAll(one(4, "</edges>\n</graph>\n</gexf>"))
+    parts.orderBy("part", "id").select("value").write.mode("overwrite").text(path)
 
 
 def _escaped(c: Column) -> Column:
