@@ -22,11 +22,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: the larger end of each edge meets the smallest vertex near the smaller end
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        far = salted_join(e, low.withColumnRenamed("u", "v"), ["v"], "n", total).select("u", F.col("m").alias("v"))
-        large = written(far.where("u <> v").distinct(), "edges")
+        far = salted_join(e, low.withColumnRenamed("u", "v"), ["v"], "n", total, rows=2 * total).select("u", F.col("m").alias("v"))
+        large = written(far.where("u <> v"), "edges")
         # small star: a vertex and its smaller neighbours meet the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        near = salted_join(large, low, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = salted_join(large, low, ["u"], "n", total, rows=total).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(near.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         drop_written(e, large)
         e = new

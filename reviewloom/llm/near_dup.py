@@ -38,7 +38,7 @@ LEAST_PERCENT = 80
 #: XOR bits at which the sketch estimate of the similarity is about 0.5
 MAX_FLIPS = 100
 #: classes of a key whose sketches one task compares with as many others; for full sets: classes, and shingles of theirs
-BLOCK, SET_BLOCK, BLOCK_SHINGLES = 512, 2048, 2_000_000
+BLOCK, SET_BLOCK, BLOCK_SHINGLES = 512, 1024, 2_000_000
 #: ids up to this many (16 MB) are broadcast to select texts; more are joined by shuffle
 BROADCAST_IDS = 2_000_000
 
@@ -181,7 +181,8 @@ def _in_blocks(rows: DataFrame, group: str, size: int, columns: list[str]) -> Da
     """
     sized = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
     sized = sized.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / size), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int"))
-    dealt = salted_join(rows, sized, [group], "_n", rows.count()).withColumn("own", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int"))
+    n = rows.count()
+    dealt = salted_join(rows, sized, [group], "_n", n, rows=n).withColumn("own", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("v.id").alias("id"), F.col("v.tag").alias("tag"), F.col("component.id").alias("c_id"), F.col("component.tag").alias("c_tag"), *columns)
 
@@ -287,14 +288,15 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     keyed = classes.select("v.id", "v.tag", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "id", "tag")
     # plain numbers, so that sums run in hash tables; of two vertices of one id either may be the centre of the star
     low = keyed.groupBy("key").agg(F.struct(F.min("id").alias("id"), F.min_by("tag", "id").alias("tag")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    low = written(low, "lows")
-    shared = salted_join(keyed, low, ["key"], "n", BANDS * classes.count()).select("key", F.struct("id", "tag").alias("v"), "low", "n")
+    low, n_classes = written(low, "lows"), classes.count()
+    shared = salted_join(keyed, low, ["key"], "n", BANDS * n_classes, rows=low.count()).select("key", F.struct("id", "tag").alias("v"), "low", "n")
     shared = written(shared.distinct(), "keys")
     sketches = classes.select("v", "sketch")
 
     star = written(shared.where("v <> low").select(F.col("low").alias("a"), F.col("v").alias("b")).distinct(), "stars")
     ends = star.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sketches.select(F.col("v").alias("a"), F.col("sketch").alias("ka")), "a")
-    near = salted_join(star, ends, ["a"], "n", star.count()).join(sketches.select(F.col("v").alias("b"), F.col("sketch").alias("kb")), "b")
+    n_star = star.count()
+    near = salted_join(star, ends, ["a"], "n", n_star, rows=2 * n_star).join(sketches.select(F.col("v").alias("b"), F.col("sketch").alias("kb")), "b")
     pairs = written(near.where(flips("ka", "kb") <= MAX_FLIPS).select("a", "b"), "pairs")
     texts = texts.where("id is not null")
     links = confirmed(pairs, texts, width, percent, repeated)
@@ -307,13 +309,15 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     at = written(shared.where("n > 2").join(of, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "placed")
     keys = at.groupBy("key").agg(_differ("component").alias("open"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("set"))
     keys = keys.where("open").groupBy("n", "set").agg(F.min("key").alias("key")).select("key", "n")  # equal keys once
-    members = written(salted_join(at, keys, ["key"], "n", at.count()).join(sketches, "v").select("key", "v", "component", "sketch"), "members")
+    n_at = at.count()
+    members = written(salted_join(at, keys, ["key"], "n", n_at, rows=n_at).join(sketches, "v").select("key", "v", "component", "sketch"), "members")
     # clusters: what passing sketches and components connect; only there can further links be
     alike = sketch_links(members)
     cluster = connected_components(alike.unionAll(comp.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
     inside = written(cluster.select(F.col("id").alias("v"), F.col("component").alias("cluster")).join(of, "v", "left").select("v", "cluster", F.coalesce("component", "v").alias("component")), "inside")
     several = inside.groupBy("cluster").agg(_differ("component").alias("open"), F.count(F.lit(1)).alias("n")).where("open").select("cluster", "n")
-    need = written(salted_join(inside, several, ["cluster"], "n", inside.count()).drop("n"), "several")
+    n_inside = inside.count()
+    need = written(salted_join(inside, several, ["cluster"], "n", n_inside, rows=n_inside).drop("n"), "several")
     sets = written(_sets(texts, need, width, repeated).join(sketches, "v").withColumn("n_shingles", F.size("shingles")), "sets")
     more = written(full_links(sets, percent), "more")
     drop_written(shared, at, members, cluster, inside, need, sets, comp)
@@ -322,7 +326,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     release(docs.sparkSession)
 
     found = classes.join(comp.withColumnRenamed("id", "v"), "v", "left").select("fp", "n_shingles", "rows", F.coalesce("component", "v").alias("component"))
-    out = salted_join(full.select("id", "th", "fp", "n_shingles"), found, ["fp", "n_shingles"], "rows", sig.count()).select("id", "th", "n_shingles", "component")
+    out = salted_join(full.select("id", "th", "fp", "n_shingles"), found, ["fp", "n_shingles"], "rows", sig.count(), rows=n_classes).select("id", "th", "n_shingles", "component")
     rest = sig.where("n_shingles = 0 or id is null").select("id", "th", "n_shingles", F.lit(None).cast(out.schema["component"].dataType))
     return out.unionAll(rest)
 

@@ -54,7 +54,7 @@ def _moved(wish: DataFrame, room: list[int], r: int, total: int) -> DataFrame:
     inner = Window.partitionBy("to", "b").orderBy("bundle").rowsBetween(Window.unboundedPreceding, 0)
     move = move.withColumn("inner", F.sum("n").over(inner)).join(by_bucket, ["to", "b"]).where(F.col("before") + F.col("inner") <= left)
     ends = ends.drop("n").join(move.select("to", "bundle", F.lit(True).alias("took")), ["to", "bundle"], "left")
-    new = salted_join(wish, ends, ["to", "bundle"], "rows", total)
+    new = salted_join(wish, ends, ["to", "bundle"], "rows", total, rows=total)
     return new.select("rid", "bundle", F.when(F.col("took"), F.col("to")).otherwise(F.col("shard")).alias("shard"))
 
 
@@ -90,7 +90,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
             held = held.withColumn("free", F.element_at(F.array(*[F.lit(max(0, cap - load.get(s, 0))).cast("long") for s in range(shards)]), F.col("shard") + 1))
         # a key's shards: one row of at most `shards` entries
         held = held.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("shard", "n", "free")).alias("held"))
-        near = salted_join(links, written(held, "held"), ["key"], "all", n_links).select("rid", "key", "all", F.explode("held").alias("h"))
+        near = salted_join(links, written(held, "held"), ["key"], "all", n_links, rows=n_links).select("rid", "key", "all", F.explode("held").alias("h"))
         near = near.select("rid", "key", "h.shard", "h.n", (F.col("all") <= F.col("h.n") + F.col("h.free")).alias("fits"))
         near = near.groupBy("rid", "shard").agg(F.bool_and("fits").alias("fits"), F.sum("n").alias("n"), F.max(F.xxhash64("key", "shard")).alias("tie"))
         near = near.groupBy("rid").agg(F.max_by("shard", F.struct("fits", "n", "tie")).alias("to"))
@@ -126,7 +126,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
         ends = [sum(room[: s + 1]) for s in range(shards)]
         draw = F.pmod(F.xxhash64("bundle", F.lit(100 + r)), F.lit(sum(room)))
         to = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda e: e <= draw))
-        wish = salted_join(label, apart, ["bundle"], "n", n_links).select("rid", "bundle", "shard", F.when(F.col("out"), to).otherwise(F.col("shard")).alias("to"))
+        wish = salted_join(label, apart, ["bundle"], "n", n_links, rows=n_links).select("rid", "bundle", "shard", F.when(F.col("out"), to).otherwise(F.col("shard")).alias("to"))
         wish = written(wish, "wishes")
         old, label = label, written(_moved(wish, room, r, n_links), "labels")
         drop_written(old, wish, apart)

@@ -75,16 +75,21 @@ def drop_written(*tables: DataFrame | None) -> None:
 
 #: a key of more rows is heavy; heavy keys, at most (their numbers of pieces are broadcast)
 HEAVY_ROWS, HEAVY_KEYS = 512, 20_000
+#: rows of a table of numbers that is broadcast whole (about 10 MB)
+SMALL_ROWS = 100_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", rows: int | None = None) -> DataFrame:
     """left joined with right, so that no task meets all rows of a heavy key.
 
     right has one row for each key, with the number n of left's rows of that key (n goes with it into the result); total is
     the number of left's rows. A key of more than max(HEAVY_ROWS, total / HEAVY_KEYS) rows is cut into pieces of about
     that size by a hash of the row: right's row is repeated for each piece. Such keys number HEAVY_KEYS at most, whatever
-    the corpus holds: that bound makes the broadcast of their numbers of pieces safe.
+    the corpus holds: that bound makes the broadcast of their numbers of pieces safe. If right is known to have `rows` rows at
+    most (of a few numbers each), and these are at most SMALL_ROWS, it is broadcast whole: nothing is shuffled.
     """
+    if rows is not None and rows <= SMALL_ROWS:
+        return left.join(F.broadcast(right), keys, how)
     per = max(HEAVY_ROWS, total // HEAVY_KEYS)
     pieces = F.ceil(F.col(n) / per).cast("int")
     heavy = F.broadcast(right.where(F.col(n) > per).select(*keys, pieces.alias("_pieces")))

@@ -64,6 +64,7 @@ def test_same_as_brute_force(spark, monkeypatch, width, block):
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 2_000_000 if block > 100 else 0)  # small bounds force the ways that large inputs take
     monkeypatch.setattr(shared, "HEAVY_ROWS", block)
     monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
+    monkeypatch.setattr(shared, "SMALL_ROWS", 100_000 if block > 100 else 0)
     rows = texts(220, width)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, width).collect()}
