@@ -22,6 +22,7 @@ BLOCK_BITS, HASHES, BITS_PER_ENTRY = 512, 8, 16
 BROADCAST_BLOCKS = 500_000
 #: entries that were hit, up to this many, are broadcast to the URLs; more are joined by shuffle
 BROADCAST_HITS = 100_000
+URLS_A_TASK = 100_000
 WORDS = BLOCK_BITS // 64
 
 
@@ -159,7 +160,9 @@ def judged(pages: DataFrame, entries: DataFrame, rules: list[tuple[str, str, str
     url = F.col(f"`{url_col}`").cast("string")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = written(rows.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
-    best = listed(urls, entries.where("entry is not null").select("entry"), rules)
+    # naming candidates takes time, not bytes: few URLs to a task, and every core has some
+    dealt = urls.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, urls.count() // URLS_A_TASK))
+    best = listed(dealt, entries.where("entry is not null").select("entry"), rules)
     total = urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     drop_written(urls)
     out = salted_join(rows.where("host <> ''"), best, ["host", "path"], "n", total, "left").select("row", "host", "path", "rule", "verdict", "listed_by")

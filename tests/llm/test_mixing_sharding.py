@@ -76,6 +76,7 @@ def test_depth_follows_the_words():
 @pytest.mark.parametrize("rank_rows", [20_000, 10])
 def test_shards(spark, monkeypatch, rank_rows):
     monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
+    monkeypatch.setattr(shared, "SMALL_ROWS", rank_rows - 10)
     r = random.Random(4)
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(200)] + [f"five {i // 5}" for i in range(200)] + [f"own {i} {r.random()}" for i in range(300)] + [None] * 40 + [""] * 30
     r.shuffle(texts)
@@ -125,6 +126,7 @@ def test_urls_against_brute_force(spark, monkeypatch, blocks, hits, heavy):
     monkeypatch.setattr(url_filter, "BROADCAST_HITS", hits)
     monkeypatch.setattr(shared, "HEAVY_ROWS", heavy)
     monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
+    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
     r = random.Random(5)
     part = lambda k: "/".join(r.choice("ab") for _ in range(r.randint(0, k)))
     hosts = ["a.org", "x.a.org", "b.org", "deep." * 60 + "b.org", "org", "localhost", "www.a.org:80"]
