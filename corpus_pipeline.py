@@ -56,7 +56,8 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The first stage scores with a trained model, which SQL can't express; tests compare the stages with brute force.
+#: The first stage scores with a trained model, which SQL can't express. tests/llm/test_stages.py compares what each stage keeps
+#: with brute force (drawn copies and shards: with the laws they must keep).
 ORACLE_SQL = None
 
 
