@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages of PASSAGE words. Each passage is encoded, gated attention weighs the encodings,
-and the weighted sum is scored. Encoder, attention and score are fitted together from labels of whole texts.
+A text is a bag of passages of PASSAGE words. Each passage is encoded from its surface and its words (hashed into
+BUCKETS), gated attention weighs the encodings, and the weighted sum is scored. Encoder, attention and score are fitted together from labels of whole texts.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ from . import textstats
 from . import textvec as tv
 from .shared import labelled_sample, map_texts, release
 
-#: labelled texts the model is fitted on, at most; words of a passage; sizes of encoding and attention
-SAMPLE, PASSAGE, ENCODING, GATE = 3000, 64, 16, 8
+#: labelled texts the model is fitted on, at most; words of a passage; buckets of its words; sizes of encoding and attention
+SAMPLE, PASSAGE, BUCKETS, ENCODING, GATE = 3000, 64, 256, 16, 8
 
 
 def passages(texts: pa.Array):
-    """(features, text) of each passage of whole texts."""
+    """(features, text) of each passage of whole texts: surface statistics, and the root of each bucket's share of the words."""
     w = textstats.Words(texts)
     bounds, doc = w.passages(PASSAGE)
-    return textstats.features(w, bounds, w.repeated()), doc
+    size, m = np.diff(bounds), len(doc)
+    at = np.repeat(np.arange(m), size) * BUCKETS + (w.hash % np.uint64(BUCKETS)).astype(np.int64)
+    content = np.sqrt(np.bincount(at, minlength=m * BUCKETS).reshape(m, BUCKETS) / size[:, None])
+    return np.concatenate([textstats.features(w, bounds, w.repeated()), content], axis=1), doc
 
 
 def _sigmoid(x):

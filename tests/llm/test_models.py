@@ -41,6 +41,17 @@ def test_quality_classifier(labelled):
     assert 0 <= p[0] <= 1 and len(a[0]) == 0 and abs(sum(a[1]) - 1) < 1e-9
 
 
+def test_quality_by_words_alone():
+    """Texts of one shape that differ in their words only, and stand in one passage of several."""
+    r = random.Random(4)
+    words = lambda of, n: " ".join(r.choices(of, k=n))
+    fine, odd = "sun moon tree river stone cloud".split(), "pop fun door ocean chair brick".split()
+    text = lambda y: " ".join(r.sample([words(fine, 64), words(fine, 64), words(fine if y else odd, 64)], 3))
+    m = mil_quality.fit([(text(i % 2), i % 2) for i in range(200)])
+    p, a = mil_quality.score(m, pa.array([text(i % 2) for i in range(100)], pa.large_string()))
+    assert ((p >= 0.5) == np.arange(100) % 2).mean() > 0.97 and all(len(x) == 3 for x in a)
+
+
 def test_toxicity(labelled):
     train, test = [r for r in labelled if not r[3]], [r for r in labelled if r[3]]
     m = toxicity.fit(sample(train, 2))
