@@ -5,11 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, l2: float = 1.0, rate: float = 0.1) -> dict:
     """Weights from (features (n, f), labels (n,)) sequences: emission (f, 2), step (2, 2), start (2,).
 
@@ -20,39 +15,37 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, l2: fl
         return {"emit": np.zeros((0, 2)), "step": np.zeros((2, 2)), "start": np.zeros(2)}
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
     sizes = np.array([len(sequences[i][1]) for i in order])
-    x = np.concatenate([sequences[i][0] for i in order]).astype(float)
-    y = np.concatenate([sequences[i][1] for i in order]).astype(int)
-    first = np.cumsum(sizes) - sizes
-    length = sizes[0]
-    alive = [int((sizes > t).sum()) for t in range(length)]  # sequences by falling length
-    f = x.shape[1]
-    params = {"emit": np.zeros((f, 2)), "step": np.zeros((2, 2)), "start": np.zeros(2)}
+    alive = np.array([int((sizes > t).sum()) for t in range(sizes[0])])  # sequences by falling length
+    # rows stand by place, then by sequence: those of one place are one range, and so are those before them
+    off = np.cumsum(alive) - alive
+    rank = np.concatenate([np.arange(k) for k in alive])
+    place = np.repeat(np.arange(sizes[0]), alive)
+    at = (np.cumsum(sizes) - sizes)[rank] + place
+    x = np.concatenate([sequences[i][0] for i in order]).astype(float)[at]
+    y = np.concatenate([sequences[i][1] for i in order]).astype(int)[at]
+    n, many = alive[0], slice(alive[0], len(y))
+    before, last = off[place[many] - 1] + rank[many], off[sizes - 1] + np.arange(n)
+    params = {"emit": np.zeros((x.shape[1], 2)), "step": np.zeros((2, 2)), "start": np.zeros(2)}
     own = np.zeros((len(y), 2))
     own[np.arange(len(y)), y] = 1
-    seen = {"emit": x.T @ own, "step": np.zeros((2, 2)), "start": own[first].sum(axis=0)}
-    for t in range(1, length):
-        k = first[: alive[t]] + t
-        np.add.at(seen["step"], (y[k - 1], y[k]), 1)
+    seen = {"emit": x.T @ own, "step": own[before].T @ own[many], "start": own[:n].sum(axis=0)}
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(p) for k, p in params.items()}
     for it in range(1, steps + 1):
-        e = x @ params["emit"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[first] = e[first] + params["start"]
-        for t in range(1, length):
-            k = first[: alive[t]] + t
-            alpha[k] = e[k] + _lse(alpha[k - 1][:, :, None] + params["step"], 1)
-        for t in range(length - 1, 0, -1):
-            k = first[: alive[t]] + t
-            beta[k - 1] = _lse(params["step"] + (e[k] + beta[k])[:, None, :], 2)
-        z = _lse(alpha[first + sizes - 1], 1)
-        mean = np.exp(alpha + beta - np.repeat(z, sizes)[:, None])
-        step = np.zeros((2, 2))
-        for t in range(1, length):
-            k = first[: alive[t]] + t
-            p = alpha[k - 1][:, :, None] + params["step"] + (e[k] + beta[k])[:, None, :] - z[: alive[t], None, None]
-            step += np.exp(p).sum(axis=0)
-        grad = {"emit": seen["emit"] - x.T @ mean, "step": seen["step"] - step, "start": seen["start"] - mean[first].sum(axis=0)}
+        e, s = x @ params["emit"], params["step"]
+        alpha, beta = e.copy(), np.zeros_like(e)
+        alpha[:n] += params["start"]
+        for t in range(1, len(alive)):
+            a = alpha[off[t - 1] : off[t - 1] + alive[t]]
+            alpha[off[t] : off[t] + alive[t]] += np.logaddexp(a[:, :1] + s[0], a[:, 1:] + s[1])
+        for t in range(len(alive) - 1, 0, -1):
+            b = slice(off[t], off[t] + alive[t])
+            b = e[b] + beta[b]
+            beta[off[t - 1] : off[t - 1] + alive[t]] = np.logaddexp(b[:, :1] + s[:, 0], b[:, 1:] + s[:, 1])
+        z = np.logaddexp(alpha[last, 0], alpha[last, 1])[rank][:, None]
+        mean = np.exp(alpha + beta - z)
+        step = np.exp(alpha[before][:, :, None] + s + (e + beta - z)[many][:, None, :]).sum(axis=0)
+        grad = {"emit": seen["emit"] - x.T @ mean, "step": seen["step"] - step, "start": seen["start"] - mean[:n].sum(axis=0)}
         for k in params:
             g = (grad[k] - l2 * params[k]) / len(y)
             m[k] = 0.9 * m[k] + 0.1 * g
