@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mil_quality, mixing, near_dup, quality_rules, sharding, toxicity, url_filter, warc
+from . import collocations, decontam, html_extract, langid, mil_quality, mixing, near_dup, quality_rules, sharding, toxicity, url_filter, warc, whitening
 from .shared import fold
 
 LOWER_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -94,6 +94,31 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", got.doc_id == got.component_id)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fitted(rows, "embedding", components=4)
+    got = whitening.whitened(rows, "embedding", model, keep=["vec_id"])
+    n, trace, error = (model["n"], model["trace"], model["identity_error"]) if model else (0, 0.0, 0.0)
+    values, residuals = (model["values"], model["residuals"]) if model else ((), ())
+    per = lambda x: F.array(*[F.lit(float(v)) for v in x]).cast("array<double>")[F.col("i")]
+    got = got.select("row.vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return got.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        (per(values) / F.lit(trace or 1.0)).alias("explained"), F.lit(error).alias("identity_error"), per(residuals).alias("residual"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.trained(docs, keep=lambda i: fold("doc_id", 5) != 0)
+    got = langid.identified(docs, model, keep=["doc_id"])
+    return got.select("row.doc_id", (fold("row.doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -105,6 +130,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 ALNUM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -189,4 +217,19 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 c AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id)::BIGINT AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op12_phrase_collocations": r"""
+WITH p AS (SELECT row_number() OVER () AS id, lang, unnest(regexp_extract_all(x, '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) q(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT c.*, i, array_to_string(ws[1:i], ' ') AS x, array_to_string(ws[i + 1:], ' ') AS y FROM c, range(1, 4) q(i) WHERE i < k),
+sc AS (SELECT cut.*, fx.f AS l, fy.f AS r, ((2000000::HUGEINT * a) // (fx.f::HUGEINT + fy.f))::BIGINT AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+b AS (SELECT lang, k, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS o FROM sc) WHERE o = 1),
+sub AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT c.lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')] || CASE WHEN k = 4 THEN [array_to_string(ws[3:4], ' '), array_to_string(ws[1:3], ' '), array_to_string(ws[2:4], ' ')] ELSE [] END) AS phrase FROM c WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }

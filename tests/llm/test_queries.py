@@ -15,11 +15,11 @@ def test_same_as_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
-def test_ten_operators_and_the_pipeline():
+def test_the_operators_and_the_pipeline():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names and set(e.oracle_sql()) <= names
+    assert {x.split("_")[0] for x in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names and set(e.oracle_sql()) <= names
 
 
 def test_entry_without_the_subpackage(tmp_path):
