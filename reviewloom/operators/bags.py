@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,12 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def normalise(bags: DataFrame) -> DataFrame:
-    """Counts divided by their set's total; an empty bag stays empty, a total of 0 raises."""
-    return bags.withColumn("cnt", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("set_id")))
+    """Counts divided by their set's total; an empty bag stays empty, a total of 0 raises.
+
+    Totals are summed with partial sums and joined back: no task needs a whole bag, and a skewed join is split as it runs.
+    """
+    total = bags.groupBy("set_id").agg(F.sum("cnt").alias("_t"))
+    return bags.join(total, "set_id").select("set_id", "key", (F.col("cnt") / F.col("_t")).alias("cnt"))
 
 
 def divide(a: DataFrame, b: DataFrame) -> DataFrame:

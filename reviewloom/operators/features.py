@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import porter
 from ..functions.text import path_prefixes
+from ..sources.scratch import drop_written, salted_join, written
+from .components import BROADCAST_TERMS, principal_components, sparse_vectors
 
 
 def path_terms(files: DataFrame, doc: str, path: str = "filename") -> DataFrame:
@@ -23,22 +26,36 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-#: terms whose document frequencies are broadcast, at most; more are joined by salted shuffle
-BROADCAST_TERMS = 500_000
+def stemmed(tf: DataFrame) -> DataFrame:
+    """(doc, term, tf) with terms as their stems: each distinct term is stemmed once, then joined back (broadcast, or salted where they are many)."""
+    tf = written(tf, "tf")
+    stems = written(porter.stems(document_frequency(tf), "term").select("term", "df", "stem"), "stems")
+    if stems.count() <= BROADCAST_TERMS:
+        got = tf.join(F.broadcast(stems), "term")
+    else:
+        got = salted_join(tf, stems, ["term"], "df", tf.count())
+    return got.groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def _weighed(tf: DataFrame, weight) -> DataFrame:
-    """tf is written once for its three uses. A term of nearly all documents is no key of a shuffle: frequencies are broadcast or salted."""
-    from ..sources.scratch import salted_join, written
+def _weighed(tf: DataFrame, weight, df: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """(doc, term, w), w by an expression of tf, df and n; df and n from tf unless given.
 
+    tf is written once for its three uses. A term of nearly all documents is no key of a shuffle: frequencies are broadcast or salted.
+    """
     tf = written(tf, "tf")
-    df = written(document_frequency(tf), "df")
-    n = F.lit(tf.select("doc").distinct().count())
+    df = written(document_frequency(tf) if df is None else df, "df")
+    n = tf.select("doc").distinct().count() if n is None else n
     if df.count() <= BROADCAST_TERMS:
         got = tf.join(F.broadcast(df), "term")
     else:
         got = salted_join(tf, df, ["term"], "df", tf.count())
-    return got.withColumn("n", n).select("doc", "term", weight.alias("w"))
+    return got.withColumn("n", F.lit(n)).select("doc", "term", weight.alias("w"))
+
+
+def _unit(raw: DataFrame) -> DataFrame:
+    """Vectors of unit length."""
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.withColumn("w", F.col("w") / length)
 
 
 def tfidf_plain(tf: DataFrame) -> DataFrame:
@@ -48,9 +65,7 @@ def tfidf_plain(tf: DataFrame) -> DataFrame:
 
 def tfidf(tf: DataFrame) -> DataFrame:
     """(doc, term, w): tf * log2(N / df), of unit length in each document; terms of all documents weigh 0 and go."""
-    raw = _weighed(tf, F.col("tf") * F.log2(F.col("n") / F.col("df"))).where("w > 0")
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return raw.withColumn("w", F.col("w") / length)
+    return _unit(_weighed(tf, F.col("tf") * F.log2(F.col("n") / F.col("df"))).where("w > 0"))
 
 
 def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -82,82 +97,44 @@ def title_and_body(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return ids.join(texts, F.col("doc") == F.col("number")).select("doc", F.concat_ws(" ", part("title"), part("body")).alias("text"))
 
 
-#: terms of the covariance, at most: d terms take d * d numbers on the driver, and four times that while it is solved
-MAX_TERMS = 16384
+def review_texts(reviews: DataFrame, texts: DataFrame, kinds: list[str], bucket_seconds: int = 6 * 3600) -> DataFrame:
+    """(review, kind, n_texts, text): for each closed review and each of `kinds` the texts of its project within its span, both ends included.
+
+    reviews: review, project, opened, closed (null: still open, no rows). texts: project, kind, at, text; null texts are left
+    out. They are joined with spaces in the order of their time (ties: by text); a kind without any has an empty text. A
+    review meets the texts of the buckets of time that it spans: a project's texts are never one group, and no pair is
+    made beyond those of a review and the texts of its buckets. A review much longer than a bucket is repeated once for each.
+    """
+    b = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds)
+    closed = reviews.where("opened is not null and closed is not null and opened <= closed").select("review", "project", "opened", "closed")
+    spans = closed.withColumn("_b", F.explode(F.sequence(b("opened"), b("closed"))))
+    held = texts.where(F.col("text").isNotNull() & F.col("kind").isin(kinds)).select("project", "kind", "at", "text", b("at").alias("_b"))
+    near = spans.join(held, ["project", "_b"]).where("at between opened and closed")
+    found = near.groupBy("review", "kind").agg(F.count(F.lit(1)).alias("n_texts"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
+    found = found.select("review", "kind", "n_texts", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
+    every = closed.select("review").distinct().select("review", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    return every.join(found, ["review", "kind"], "left").select("review", "kind", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def principal_parts(cov, share: float):
-    """Orthonormal columns: the fewest principal components, largest first, whose part of the variance exceeds share."""
-    import numpy as np
+def tfidf_of_parts(words: DataFrame) -> DataFrame:
+    """(doc, term, w) of documents in parts (doc, part, ws): each part counts as a document in log2(N / df), a vector is that of all parts together.
 
-    total = float(np.trace(cov))
-    if not total > 0:
-        return np.zeros((len(cov), 0))
-    values, axes = np.linalg.eigh(cov)
-    held = np.cumsum(np.maximum(values[::-1], 0.0)) / total
-    k = min(int(np.searchsorted(held, share, side="right")) + 1, len(values))
-    return np.ascontiguousarray(axes[:, ::-1][:, :k])
+    N counts parts without words, too. Vectors have unit length; terms of all parts weigh 0 and go.
+    """
+    words = written(words.select("doc", "part", "ws"), "parts")
+    n = words.count()
+    tf = words.select("doc", "part", F.explode("ws").alias("term")).groupBy("doc", "part", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _unit(_weighed(tf.groupBy("doc", "term").agg(F.sum("tf").alias("tf")), F.col("tf") * F.log2(F.col("n") / F.col("df")), df, n).where("w > 0"))
 
 
-def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, min_df: int = 1, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(doc, label, parts): the fewest principal components that keep more than `share` of the variance, fitted on the train rows.
+def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, min_df: int = 1) -> DataFrame:
+    """(doc, label, parts, kept): principal components that keep more than `share` of the variance, fitted on the train rows.
 
-    The vocabulary is every term that min_df train documents hold (a term of no train document has no variance).
-    More than max_terms terms are an error, never cut: raise min_df, or max_terms with the driver's memory.
-    Data are centred by the train mean; ids travel with their vectors.
+    The vocabulary is every term that min_df train documents hold (a term of no train document has no variance). Data are
+    centred by the train mean; ids travel with their vectors. See components.principal_components.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    from ..sources.scratch import written
-
-    spark = vectors.sparkSession
-    rows = written(labelled(vectors, labels).select("doc", "label", "term", "w"), "vectors")
-    train = rows.where("label = 0")
-    df = train.groupBy("term").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_df)
-    terms = [r["term"] for r in df.select("term").limit(max_terms + 1).collect()]
-    if len(terms) > max_terms:
-        raise ValueError(f"more than {max_terms} terms: raise min_df, or max_terms if the driver can hold their covariance")
-    d, n = len(terms), train.select("doc").distinct().count()
-    vocabulary = spark.createDataFrame(list(zip(sorted(terms), range(d))), T.StructType([T.StructField("term", rows.schema["term"].dataType), T.StructField("at", T.LongType())]))
-    cell = F.when(F.col("at").isNotNull(), F.struct("at", "w"))
-    cells = written(rows.join(F.broadcast(vocabulary), "term", "left").groupBy("doc", "label").agg(F.array_sort(F.collect_list(cell)).alias("m")), "cells")
-
-    # sums of products of each pair of terms, packed by the tasks
-    one = cells.where("label = 0").select("m", F.explode("m").alias("a"))
-    pairs = one.select("a", F.explode(F.filter("m", lambda x: x["at"] >= F.col("a.at"))).alias("b"))
-    sums = pairs.groupBy((F.col("a.at") * d + F.col("b.at")).alias("key")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("s"))
-
-    def packed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in b.columns], ["key", "s"])
-
-    cov, mean = np.zeros((d, d)), np.zeros(d)
-    for r in sums.mapInArrow(packed, "key binary, s binary").toLocalIterator():
-        cov.reshape(-1)[np.frombuffer(r["key"], np.int64)] = np.frombuffer(r["s"], np.float64)
-    for r in one.groupBy("a.at").agg(F.sum("a.w").alias("s")).collect():
-        mean[r["at"]] = r["s"] / n
-    for i in range(d):  # the sums fill the upper half
-        cov[i, i:] = (cov[i, i:] - n * mean[i] * mean[i:]) / max(n - 1, 1)
-        cov[i:, i] = cov[i, i:]
-    axes = principal_parts(cov, share)
-    del cov
-    held = spark.sparkContext.broadcast((axes, mean @ axes))
-    names = cells.select("doc", "label").schema
-
-    def project(batches):
-        axes, centre = held.value
-        step = max(1, (1 << 22) // max(1, axes.shape[1] * 32))
-        for b in batches:
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                out = np.tile(-centre, (part.num_rows, 1))
-                for i, m in enumerate(part.column(2).to_pylist()):
-                    if m:
-                        out[i] += np.array([x["w"] for x in m]) @ axes[[x["at"] for x in m]]
-                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * axes.shape[1]
-                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), parts], ["doc", "label", "parts"])
-
-    return cells.select("doc", "label", "m").mapInArrow(project, T.StructType([*names, T.StructField("parts", T.ArrayType(T.DoubleType()))]))
+    rows, d = sparse_vectors(vectors, labels, min_df)
+    out = principal_components(rows, d, share)
+    drop_written(rows)
+    return out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..sources.readers import dense_numbers
-from ..sources.scratch import salted_join
+from ..sources.scratch import drop_written, salted_join, written
 
 
 def add_nodes(rows: DataFrame) -> DataFrame:
@@ -63,14 +64,16 @@ def degrees(incidence: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 def propagation(incidence: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v, value) of the propagation matrix: sum over common edges of weight / size, over the root of both degrees.
 
-    Rows grow with the squares of edge sizes: pre-aggregate or filter edges of very many members. The pairs of a large edge are
-    made by many tasks. Half of the symmetric matrix is summed, then mirrored.
+    Rows grow with the squares of edge sizes: pre-aggregate or filter edges of very many members. Where there is an edge of more than
+    HEAVY_ROWS members, the pairs of such an edge are made by many tasks. Half of the symmetric matrix is summed, then mirrored.
     """
     degree, size = degrees(incidence, edges)
     share = edges.join(size, "edge_id").select("edge_id", (F.col("weight") / F.col("size")).alias("share"))
     a = incidence.join(share, "edge_id").select("edge_id", F.col("node_id").alias("u"), "share")
     b = incidence.join(size, "edge_id").select("edge_id", F.col("node_id").alias("v"), "size")
-    half = salted_join(a, b, ["edge_id"], "size", incidence.count()).where("u <= v").groupBy("u", "v").agg(F.sum("share").alias("s"))
+    largest, total = size.agg(F.max("size"), F.sum("size")).first()
+    pairs = salted_join(a, b, ["edge_id"], "size", total) if (largest or 0) > scratch.HEAVY_ROWS else a.join(b, "edge_id")
+    half = pairs.where("u <= v").groupBy("u", "v").agg(F.sum("share").alias("s"))
     half = half.join(degree.select(F.col("node_id").alias("u"), F.col("degree").alias("du")), "u").join(degree.select(F.col("node_id").alias("v"), F.col("degree").alias("dv")), "v")
     half = half.select("u", "v", (F.col("s") / F.sqrt(F.col("du") * F.col("dv"))).alias("value"))
     return half.unionAll(half.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"), "value"))
@@ -84,8 +87,8 @@ def random_walk(edges: DataFrame, n: int) -> DataFrame:
     pair = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max_by("weight", "ord").alias("weight"))
     cells = pair.select(F.col("u").alias("i"), F.col("v").alias("j"), "weight").unionAll(pair.where("u <> v").select(F.col("v").alias("i"), F.col("u").alias("j"), "weight"))
     cells = cells.where(F.col("i") != n - 1)
-    total = F.sum("weight").over(Window.partitionBy("j"))
-    return cells.withColumn("t", total).where("t <> 0").select("i", "j", (F.col("weight") / F.col("t")).alias("value"))
+    total = cells.groupBy("j").agg(F.sum("weight").alias("t"))  # joined back: a hub's column is no task's alone
+    return cells.join(total, "j").where("t <> 0").select("i", "j", (F.col("weight") / F.col("t")).alias("value"))
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -98,51 +101,53 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return got.agg(F.sum(F.coalesce("inner", F.lit(0.0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("q"))
 
 
-def communities(edges: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """(node, community) by label propagation over undirected edges (u, v, weight).
+def communities(edges: DataFrame, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """(node, community) by label propagation over undirected edges (u, v, weight); written.
 
     In each round every node of one half, chosen by a hash, takes the heaviest label near it (ties: the
-    smallest); halves alternate, so neighbours don't swap for ever. Deterministic for a seed.
+    smallest); halves alternate, so neighbours don't swap for ever. It ends when neither half changes, or after `rounds`.
+    Deterministic for a seed.
     """
-    from ..sources.scratch import written
-
     both = written(edges.select("u", "v", "weight").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight")), "edges")
-    label = both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
+    label = written(both.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")), "labels")
+    idle = 0
     for r in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
+        near = both.join(label.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
         best = near.groupBy("u").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("new"))
         turn = F.pmod(F.xxhash64(F.col("node"), F.lit(seed)), F.lit(2)) == r % 2
-        label = written(label.join(best.withColumnRenamed("u", "node"), "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community")), "labels")
-    return label
-
-
-def louvain(edges: DataFrame, start: DataFrame | None = None, rounds: int = 8, seed: int = 1) -> DataFrame:
-    """(node, community): modularity raised by moves of nodes, then of whole communities; edges (u, v, weight) undirected, u <> v.
-
-    start: a partition to begin with (node, community), else each node is alone. In a round the nodes of one half, chosen by a
-    hash, move to the neighbouring community of the largest gain, if there is one; a round that doesn't raise the score is
-    undone. When no half finds a move, communities become nodes. The score never falls, so it is at least that of start.
+        new = label.select("node", "community").join(best.withColumnRenamed("u", "node"), "node").withColumn("go", turn & (F.col("new") != F.col("community")))
+        new = written(new.select("node", F.when(F.col("go"), F.col("new")).otherwise(F.col("community")).alias("community"), "go"), "labels")
+        drop_written(label)
+        label = new
+        idle = 0 if label.where("go").limit(1).count() else idle + 1
+        if idle == 2:
+            break
+    drop_written(both)
+    out = label.select("node", "community")
+    out._reviewloom_path = label._reviewloom_path
+    return out
+
+
+def louvain(edges: DataFrame, start: DataFrame | None = None, rounds: int = 8) -> tuple[DataFrame, float]:
+    """(node, community), written, and its score: modularity raised by moves of nodes, then of whole communities; edges (u, v, weight) undirected, u <> v.
+
+    start: a partition to begin with (node, community), else each node is alone. In a round every node picks the neighbouring
+    community of its largest gain. A move is made if no better one touches the community it leaves or the one it enters: such moves
+    share no community, so each adds its whole gain, and the score rises with every round. After `rounds` rounds, or when no move
+    is left, communities become nodes; when those find no move, it ends. The score is at least that of start.
     """
-    from ..sources.scratch import written
-
-    nodes = edges.select(F.col("u").alias("node")).unionAll(edges.select("v")).distinct()
-    part = nodes.withColumn("community", F.col("node")) if start is None else nodes.join(start, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-    part = written(part, "part")
-    m = edges.agg(F.sum("weight")).first()[0] or 0.0
-    if not m:
-        return part
-    score = lambda p: modularity(edges, p).first().q
-    best = score(part)
     level = written(edges.select("u", "v", "weight"), "level")  # the graph whose nodes move; loops hold inner weight
-    # node of the graph -> node of the level; at first the nodes themselves
-    place = nodes.select("node", F.col("node").alias("at"))
-    label = part.withColumnRenamed("node", "at")
-    while True:
-        moved = False
+    nodes = level.select(F.col("u").alias("node")).unionAll(level.select("v")).distinct()
+    first = nodes.withColumn("community", F.col("node")) if start is None else nodes.join(start, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    label = written(first.select(F.col("node").alias("at"), "community"), "label")
+    place = written(nodes.select("node", F.col("node").alias("at")), "place")  # node of the graph -> node of the level
+    m = level.agg(F.sum("weight")).first()[0] or 0.0
+    moved = bool(m)
+    while moved:
         both = level.unionAll(level.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
         degree = written(both.groupBy(F.col("u").alias("at")).agg(F.sum("weight").alias("k")), "degrees")
-        idle = 0
-        for r in range(2 * rounds):
+        moved = False
+        for _ in range(rounds):
             own = label.join(degree, "at")
             total = own.groupBy("community").agg(F.sum("k").alias("tot"))
             near = both.where("u <> v").join(label.select(F.col("at").alias("v"), "community"), "v").groupBy(F.col("u").alias("at"), "community").agg(F.sum("weight").alias("w"))
@@ -153,22 +158,28 @@ def louvain(edges: DataFrame, start: DataFrame | None = None, rounds: int = 8, s
             pick = near.groupBy("at").agg(F.max_by("community", F.struct("value", "community")).alias("to"), F.max("value").alias("value"), F.max(F.when(F.col("community") == F.col("own"), F.col("value"))).alias("stay"), F.first("own").alias("own"), F.first("k").alias("k"))
             alone = pick.join(total.withColumnRenamed("community", "own"), "own")
             stay = F.coalesce("stay", F.round(-F.col("k") * (F.col("tot") - F.col("k")) / (2 * m), 9))
-            turn = F.pmod(F.xxhash64(F.col("at"), F.lit(seed)), F.lit(2)) == r % 2
-            go = alone.where(turn & (F.col("value") > stay + 1e-9)).select("at", "to")
-            new = written(label.join(go, "at", "left").select("at", F.coalesce("to", "community").alias("community")), "label")
-            now = score(place.join(new, "at").select("node", "community"))
-            if now > best + 1e-12:
-                best, label, moved, idle = now, new, True, 0
-            else:
-                idle += 1
-                if idle == 2:
-                    break
-        place = written(place.join(label, "at").select("node", F.col("community").alias("at")), "place")
-        if not moved and level.select("u").unionAll(level.select("v")).distinct().count() <= label.select("community").distinct().count():
-            return place.select("node", F.col("at").alias("community"))
+            moves = written(alone.select("at", "own", "to", (F.col("value") - stay).alias("gain")).where("gain > 1e-9"), "moves")
+            best = moves.select("at", "gain", F.explode(F.array("own", "to")).alias("c")).groupBy("c").agg(F.max_by("at", F.struct("gain", "at")).alias("at"))
+            go = moves.join(best.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("at"), "at").select("at", "to")
+            some = moves.limit(1).count() > 0
+            if some:
+                new = written(label.join(go, "at", "left").select("at", F.coalesce("to", "community").alias("community")), "label")
+                drop_written(label)
+                label, moved = new, True
+            drop_written(moves)
+            if not some:
+                break
+        onward = written(place.join(label, "at").select("node", F.col("community").alias("at")), "place")
         ends = level.join(label.select(F.col("at").alias("u"), F.col("community").alias("cu")), "u").join(label.select(F.col("at").alias("v"), F.col("community").alias("cv")), "v")
-        level = written(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("weight").alias("weight")), "level")
-        label = place.select("at").distinct().withColumn("community", F.col("at"))
+        above = written(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("weight").alias("weight")), "level")
+        fewer = label.agg(F.count(F.lit(1)) > F.count_distinct("community")).first()[0]  # a start that joins nodes
+        drop_written(level, place, degree, label)
+        level, place, moved = above, onward, moved or fewer
+        label = written(place.select("at").distinct().withColumn("community", F.col("at")), "label")
+    score = modularity(level, label.select(F.col("at").alias("node"), "community")).first().q if m else 0.0  # that of a level is that of the graph
+    out = written(place.select("node", F.col("at").alias("community")), "communities")
+    drop_written(level, place, label)
+    return out, score
 
 
 def nodes_by_key(nodes: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_written, salted_join, ship, written
+
 #: weights of experience, response and activity
 SCORE = (0.4, 0.2, 0.4)
 
@@ -34,40 +41,64 @@ def period_means(values: DataFrame, group: str, columns: list[str]) -> DataFrame
     return values.groupBy(group).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (corr, n)."""
-    return rows.agg(F.corr(x, y).alias("corr"), F.count(F.lit(1)).alias("n"))
+def pearson(rows: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
+    """(corr, n), of all rows or of each group; n counts the rows in which both are given."""
+    both = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
+    return rows.groupBy(*groups).agg(F.corr(x, y).alias("corr"), both.alias("n"))
+
+
+def pearson_test(rows: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
+    """pearson with p, the two-sided p-value of the correlation; see correlation_p."""
+    got = pearson(rows, x, y, *groups)
+    return got.withColumn("p", correlation_p(F.col("corr"), F.col("n")))
+
 
+#: steps of the continued fraction: far more than it needs on the side of its argument that is used
+FRACTION = 200
 
-def pearson_p(r: float, n: int) -> float:
-    """Two-sided p-value of a correlation: the t distribution with n - 2 degrees, by its continued fraction."""
-    import math
 
-    if n < 3:
-        return 1.0
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    x, a, b = 1 - r * r, df / 2, 0.5  # df / (df + t * t) = 1 - r * r
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function of z > 0: Stirling's series at z + 8, and the steps back."""
+    w = z + 8
+    series = 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) + 1 / (1188 * w**9)
+    back = F.log(z)
+    for i in range(1, 8):
+        back = back + F.log(z + i)
+    return (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + series - back
 
-    def fraction(x, a, b):
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / d if d else 1e30
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                c = 1 + num / c
-                d, c = 1 / (d or 1e-30), c or 1e-30
-                h *= d * c
-        return h
 
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+def _beta_fraction(x: Column, a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function, folded from its beginning (Lentz): no loop outside the plan."""
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def step(s, i):
+        m = F.floor(i / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        num = F.when(i % 2 == 0, even).otherwise(odd)
+        d, c = 1 / safe(1 + num * s["d"]), safe(1 + num / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    # the first step has no even part; one is a double from the data, so that the fold's types agree
+    one = x * 0 + 1
+    start = F.struct(one.alias("c"), (1 / safe(one - (a + b) * x / (a + 1))).alias("d"), (1 / safe(one - (a + b) * x / (a + 1))).alias("h"))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(FRACTION)), start, step)["h"]
+
+
+def correlation_p(corr: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs: the t distribution with n - 2 degrees, as an expression.
+
+    Under three pairs 1, at a correlation of 1 or -1 0, without a correlation null.
+    """
+    df = n.cast("double") - 2
+    x = 1 - corr * corr  # df / (df + t * t)
+    a, half = df / 2, F.lit(0.5)
+    front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + 0.5 * F.log(corr * corr))
+    # the fraction converges fast below the mean of the beta distribution; above it, the other tail is taken
+    low = x < (a + 1) / (a + 2.5)
+    tail = F.when(low, front * _beta_fraction(x, a, half) / a).otherwise(1 - front * _beta_fraction(1 - x, half, a) / half)
+    return F.when(corr.isNull() | n.isNull(), F.lit(None).cast("double")).when(n < 3, F.lit(1.0)).when(x <= 0, F.lit(0.0)).when(corr == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
 
 
 def line_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -85,12 +116,71 @@ def surface_fit(rows: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
     return s.select((F.col("my") - b1 * F.col("ma") - b2 * F.col("mb")).alias("b0"), b1.alias("b1"), b2.alias("b2"))
 
 
-def latent_factors(ratings: DataFrame, rank: int = 5, reg: float = 0.1, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """(user, item, rate, prediction): factors by alternating least squares, which is distributed, in place of gradient steps."""
-    from pyspark.ml.recommendation import ALS
+#: ratings of a block of the grid, about: a task holds one block and its factors
+BLOCK_RATINGS = 200_000
+
+
+def latent_factors(ratings: DataFrame, rank: int = 5, step: float = 0.1, reg: float = 0.1, rounds: int = 20, seed: int = 1, blocks: int | None = None) -> DataFrame:
+    """(user, item, rate, prediction) from factors learned by stratified gradient steps; ratings: user, item, rate.
 
-    model = ALS(rank=rank, regParam=reg, maxIter=rounds, seed=seed, userCol="user", itemCol="item", ratingCol="rate").fit(ratings)
-    return model.transform(ratings)
+    Users and items are dealt to `blocks` groups each by a hash, ratings so to a grid of blocks. The blocks of a stratum, one in
+    each row and column of the grid, have no user or item in common, so tasks step through them side by side; a round goes
+    through all strata. Within a block ratings follow each other by user and item: err = rate - p.q, p += step * (err * q - reg * p),
+    then q += step * (err * p - reg * q) with the new p. After each round step shrinks to 0.9 of itself. Factors begin at
+    seeded numbers in [0, 1 / sqrt(rank)). Equal inputs give equal results; with one block it is the sequential method.
+    Rows with a null are left out; of a repeated pair every row counts.
+    """
+    spark = ratings.sparkSession
+    ship(spark)
+    text = lambda c: F.col(c).cast("string")
+    rows = ratings.where("user is not null and item is not null and rate is not null")
+    rows = written(rows.select("user", "item", F.col("rate").cast("double").alias("rate"), text("user").alias("u"), text("item").alias("i")), "ratings")
+    n = rows.count()
+    g = blocks or max(1, math.ceil(math.sqrt(n / BLOCK_RATINGS)))
+    group = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(g)).cast("int")
+    begin = F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda f: F.pmod(F.xxhash64("kind", "id", f, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) / math.sqrt(rank))
+    ids = rows.select(F.lit("p").alias("kind"), F.col("u").alias("id")).unionAll(rows.select(F.lit("q"), "i")).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n"))
+    factors = written(ids.select("kind", "id", "n", group("id").alias("at"), begin.alias("v")), "factors")
+    given = written(rows.select(group("u").alias("row"), group("i").alias("column"), "u", "i", "rate"), "grid")
+    kind = "kind string, id string, n long, at int, v array<double>"
+
+    def stepped(alpha: float, times: int):
+        def work(table: pa.Table) -> pa.Table:
+            rated = table.filter(pc.equal(table.column("kind"), "r")).sort_by([("id", "ascending"), ("item", "ascending"), ("rate", "ascending")])
+            held = {k: table.filter(pc.equal(table.column("kind"), k)) for k in "pq"}
+            place = {k: {x: j for j, x in enumerate(t.column("id").to_pylist())} for k, t in held.items()}
+            p, q = (np.array(held[k].column("v").to_pylist(), float).reshape(-1, rank) for k in "pq")
+            at_p = [place["p"][x] for x in rated.column("id").to_pylist()]
+            at_q = [place["q"][x] for x in rated.column("item").to_pylist()]
+            rate, a = rated.column("rate").to_pylist(), alpha
+            for _ in range(times):
+                for x, y, r in zip(at_p, at_q, rate):
+                    u, v = p[x], q[y]
+                    err = r - float(u @ v)
+                    u += a * (err * v - reg * u)
+                    v += a * (err * u - reg * v)
+                a *= 0.9
+            return pa.concat_tables([held[k].select(["kind", "id", "n", "at"]).append_column("v", pa.array(m.tolist(), pa.list_(pa.float64()))) for k, m in (("p", p), ("q", q))])
+
+        return work
+
+    alpha, together = step, rounds if g == 1 else 1  # one block alone goes through all rounds in its task
+    for _ in range(rounds // together if together else 0):
+        for s in range(g):
+            block = given.where(F.pmod(F.col("column") - F.col("row"), F.lit(g)) == s)
+            block = block.select(F.col("row").alias("task"), F.lit("r").alias("kind"), F.col("u").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("at"), F.lit(None).cast("array<double>").alias("v"), F.col("i").alias("item"), "rate")
+            task = F.when(F.col("kind") == "p", F.col("at")).otherwise(F.pmod(F.col("at") - s, F.lit(g)))
+            both = block.unionAll(factors.select(task.alias("task"), "kind", "id", "n", "at", "v", F.lit(None).cast("string"), F.lit(None).cast("double")))
+            new = written(both.groupBy("task").applyInArrow(stepped(alpha, together), kind), "factors")
+            drop_written(factors)
+            factors = new
+        alpha *= 0.9
+    drop_written(given)
+    side = lambda k, name, v: factors.where(F.col("kind") == k).select(F.col("id").alias(name), F.col("n").alias(f"_n{k}"), F.col("v").alias(v))
+    got = salted_join(rows, side("p", "u", "_p"), ["u"], "_np", n)
+    got = salted_join(got, side("q", "i", "_q"), ["i"], "_nq", n)
+    dot = F.aggregate(F.zip_with("_p", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return got.select("user", "item", "rate", dot.alias("prediction"))
 
 
 def best_on_grid(grid: DataFrame, value) -> DataFrame:
@@ -103,8 +193,6 @@ def undominated(points: DataFrame, a: str, b: str) -> DataFrame:
 
     Values are sorted by ranges; the minimum of each range is carried on to the next ones, so no task sees all.
     """
-    from ..sources.scratch import written
-
     best = points.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.min(b).alias(b))
     best = best.repartitionByRange(a).sortWithinPartitions(a).withColumn("_p", F.spark_partition_id())
     best = written(best, "ranges")
@@ -116,21 +204,11 @@ def undominated(points: DataFrame, a: str, b: str) -> DataFrame:
     return points.join(front, [a, b], "left_semi")
 
 
-def constrained_points(steps: int) -> DataFrame:
-    """(x1, x2, f1, f2) of the points of a grid on [0, 5] x [0, 3] that keep both constraints of the two-objective demo.
+def constrained_points(points: DataFrame) -> DataFrame:
+    """points (x1, x2, ...) with f1 and f2, those that keep both constraints of the two-objective demo.
 
     f1 = 4 x1^2 + 4 x2^2, f2 = (x1 - 5)^2 + (x2 - 5)^2; (x1 - 5)^2 + x2^2 <= 25, (x1 - 8)^2 + (x2 - 3)^2 >= 7.7.
     """
-    spark = SparkSession.active()
-    i, n = F.col("id"), steps + 1
-    grid = spark.range(n * n).select((5.0 * F.floor(i / n) / steps).alias("x1"), (3.0 * (i % n) / steps).alias("x2"))
     x, y = F.col("x1"), F.col("x2")
-    grid = grid.where(((x - 5) * (x - 5) + y * y <= 25) & ((x - 8) * (x - 8) + (y - 3) * (y - 3) >= 7.7))
-    return grid.select("x1", "x2", (4 * x * x + 4 * y * y).alias("f1"), ((x - 5) * (x - 5) + (y - 5) * (y - 5)).alias("f2"))
-
-
-def pearson_test(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (corr, n, p): the correlation and its two-sided p-value."""
-    got = pearson(rows, x, y).first()
-    p = None if got["corr"] is None else pearson_p(got["corr"], got["n"])
-    return rows.sparkSession.createDataFrame([(got["corr"], got["n"], p)], "corr double, n long, p double")
+    kept = points.where(((x - 5) * (x - 5) + y * y <= 25) & ((x - 8) * (x - 8) + (y - 3) * (y - 3) >= 7.7))
+    return kept.withColumns({"f1": 4 * x * x + 4 * y * y, "f2": (x - 5) * (x - 5) + (y - 5) * (y - 5)})

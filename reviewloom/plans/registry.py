@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter, tagging, text
-from ..operators import bags, features, graphs, learning, shaping
-from ..sources import readers, schemas, scratch, writers
+from ..operators import bags, components, features, graphs, learning, shaping
+from ..sources import readers, schemas, scratch, sheets, writers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -45,7 +45,7 @@ def _pull_requests(spark, sf):
     """Orders in the shape of the pull-request table."""
     o = t(spark, sf, "orders")
     have = {"repo_full_name": "o_orderpriority", "number": "o_orderkey", "state": "o_orderstatus", "user_login": "o_custkey", "created_at": "o_orderdate"}
-    return o.select(*[(F.col(have[n]) if n in have else F.lit(None).cast("string")).alias(n) for n, _, _ in schemas.PULL_REQUEST])
+    return o.select(*[(F.col(have[n]) if n in have else F.lit(None).cast("string")).alias(n) for n in (schemas.PROJECT, *[n for n, _ in schemas.PULL_REQUEST])])
 
 
 @query(f"SELECT {_PR} FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -147,7 +147,20 @@ def labelled_path_features(spark, sf):
 @query()
 def pca_path_features(spark, sf):
     got = features.reduced(features.tfidf(_tf(spark, sf)), _labels(spark, sf))
-    return got.select("doc", "label", F.size("parts").cast("long").alias("n_parts"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    return got.select("doc", "label", F.size("parts").cast("long").alias("n_parts"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round("kept", 6).alias("kept"))
+
+
+_MICRO = "string_agg(round(w * 1000000)::BIGINT::VARCHAR, ',' ORDER BY pos)"
+
+
+@query(f"""WITH {_TERMS}, {_TFIDF}, labels_ AS ({_CONCAT}), v AS (SELECT doc, term, w, label FROM vec JOIN labels_ ON doc = o_orderkey),
+dict AS (SELECT term, (row_number() OVER (ORDER BY md5(term)[1:3], term) - 1)::INT AS pos FROM (SELECT DISTINCT term FROM v WHERE label = 0)),
+c AS (SELECT doc, count(*) AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS indices, {_MICRO} AS millionths FROM v JOIN dict USING (term) GROUP BY doc)
+SELECT doc, label, (SELECT count(*) FROM dict)::INT AS size, coalesce(n, 0) AS n, coalesce(indices, '') AS indices, coalesce(millionths, '') AS millionths FROM (SELECT DISTINCT doc, label FROM v) LEFT JOIN c USING (doc)""")
+def sparse_path_features(spark, sf):
+    got, _ = components.sparse_vectors(features.tfidf(_tf(spark, sf)), _labels(spark, sf))
+    millionths = F.transform("values", lambda w: F.round(w * 1000000).cast("long").cast("string"))
+    return got.select("doc", "label", "size", F.size("indices").cast("long").alias("n"), F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.array_join(millionths, ",").alias("millionths"))
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
@@ -173,10 +186,17 @@ def text_tfidf(spark, sf):
     return features.labelled(features.tfidf(_text_tf(_words(spark, sf))), labels).select("doc", "term", r6("w"), "label")
 
 
-@query()
+_WORD_TF = f"{_WORDS}, wf AS (SELECT doc, word, count(*) AS tf FROM (SELECT doc, unnest(ws) AS word FROM words) GROUP BY ALL), vocabulary AS (SELECT DISTINCT word FROM wf), {porter.stems_sql('vocabulary')}"
+
+
+@query(f"WITH {_WORD_TF} SELECT word, stem FROM stems")
+def porter_stems(spark, sf):
+    return porter.stems(_text_tf(_words(spark, sf)).select(F.col("term").alias("word")).distinct())
+
+
+@query(f"WITH {_WORD_TF}, tf AS (SELECT doc, stem AS term, sum(tf) AS tf FROM wf JOIN stems USING (word) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
 def text_tfidf_stemmed(spark, sf):
-    stems = porter.stems_udf()
-    return features.tfidf(_text_tf(_words(spark, sf).select("doc", stems("ws").alias("ws")))).select("doc", "term", r6("w"))
+    return features.tfidf(features.stemmed(_text_tf(_words(spark, sf)))).select("doc", "term", r6("w"))
 
 
 # ---- scalars and shaping
@@ -275,7 +295,7 @@ def reviewer_path_rows(spark, sf):
     who = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("pr")).agg(F.collect_set(F.struct(F.concat(F.lit("s"), "l_suppkey").alias("name"))).alias("reviewers"))
     at = F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("timestamp")
     replies = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), at).join(paths, "pr").join(who, "pr").withColumnRenamed("pr", "changeNumber")
-    return shaping.reviewer_paths(replies, "p").drop("commit_sha").toDF("repo_full_name", "pull_number", "pr_created_at", "reviewer", "file_filename")
+    return shaping.reviewer_paths(replies, "p").drop("commit").toDF("repo_full_name", "pull_number", "pr_created_at", "reviewer", "file_filename")
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*) AS n, min(o_orderkey) AS first_pr FROM orders GROUP BY ALL")
@@ -367,9 +387,9 @@ def best_neighbour(spark, sf):
     return graphs.best_neighbour(graphs.calls_summary(_calls(spark, sf))[1])
 
 
-@query(f"WITH {_CALLS} SELECT 'author_reviewer_relation' AS type, src AS u, dst AS v, round(sum(cost), 2) AS weight FROM calls GROUP BY ALL")
+@query(f"WITH {_CALLS} SELECT 'author-reviewer' AS type, src AS u, dst AS v, round(sum(cost), 2) AS weight FROM calls GROUP BY ALL")
 def edge_accumulate(spark, sf):
-    edges = _calls(spark, sf).select("ord", F.lit(schemas.EDGE_TYPES[3]).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
+    edges = _calls(spark, sf).select("ord", F.lit(schemas.CALL_EDGE).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
     return graphs.accumulate(edges).select("type", "u", "v", F.round("weight", 2).alias("weight"))
 
 
@@ -439,7 +459,7 @@ def communities(spark, sf):
 
 
 def _gexf(spark, sf) -> dict[str, DataFrame]:
-    path = scratch.shared_path(spark, "gexf")
+    path = scratch.new_path(spark, "gexf")
     nation = t(spark, sf, "nation")
     value = F.array(F.struct(F.lit("modularity_class").alias("for"), F.col("n_regionkey").cast("string").alias("value")))
     nodes = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), value.alias("attvalues"))
@@ -516,6 +536,17 @@ def pearson(spark, sf):
     return learning.pearson(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(r6("corr"), "n")
 
 
+# the t distribution's closed form (a finite sum of powers of the cosine) for even and for odd degrees of freedom
+@query("""WITH c AS (SELECT l_suppkey, corr(l_quantity, l_discount) AS r, count(*) AS n FROM lineitem GROUP BY ALL),
+h AS (SELECT l_suppkey, r, n, n - 2 AS v, asin(abs(r)) AS th, abs(r) AS s, sqrt(1 - r * r) AS co FROM c WHERE n > 3),
+e AS (SELECT l_suppkey, v, s * sum(exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * co ** (2 * k)) AS a FROM h, range(0, 5000) q(k) WHERE v % 2 = 0 AND k < v // 2 GROUP BY l_suppkey, v, s),
+o AS (SELECT l_suppkey, v, 2 / pi() * (any_value(th) + s * sum(exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * co ** (2 * k + 1))) AS a FROM h, range(0, 5000) q(k) WHERE v % 2 = 1 AND k <= (v - 3) // 2 GROUP BY l_suppkey, v, s)
+SELECT h.l_suppkey, round(r, 6) AS corr, n, round(greatest(0, 1 - coalesce(e.a, o.a)), 6) AS p FROM h LEFT JOIN e ON e.l_suppkey = h.l_suppkey LEFT JOIN o ON o.l_suppkey = h.l_suppkey""")
+def pearson_by_supplier(spark, sf):
+    got = learning.pearson_test(t(spark, sf, "lineitem"), "l_quantity", "l_discount", "l_suppkey").where("n > 3")
+    return got.select("l_suppkey", r6("corr"), "n", r6("p"))
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
 def ols_1(spark, sf):
     return learning.line_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r2"))
@@ -541,10 +572,11 @@ def latent_factors(spark, sf):
     return learning.latent_factors(ratings).select("user", "item", r6("rate"), F.col("prediction").cast("double").alias("prediction"))
 
 
-@query("WITH g AS (SELECT (i - 10000) / 10000.0::DOUBLE AS x FROM range(0, 30001) r(i)) SELECT x, round(x * sin(10 * pi() * x) + 2, 9) AS value FROM g ORDER BY 2 DESC, 1 LIMIT 1")
+@query("WITH g AS (SELECT ((l_orderkey * 7 + l_partkey + l_linenumber) % 30001 - 10000) / 10000.0::DOUBLE AS x FROM lineitem) SELECT x, round(x * sin(10 * pi() * x) + 2, 9) AS value FROM g ORDER BY 2 DESC, 1 LIMIT 1")
 def grid_maximum(spark, sf):
-    grid = spark.range(30001).select(((F.col("id") - 10000) / 10000.0).alias("x"))
-    return learning.best_on_grid(grid, F.round(F.col("x") * F.sin(10 * F.pi() * F.col("x")) + 2, 9))
+    """Points on [-1, 2], one from the keys of each line."""
+    points = t(spark, sf, "lineitem").select((((F.col("l_orderkey") * 7 + F.col("l_partkey") + F.col("l_linenumber")) % 30001 - 10000) / 10000.0).alias("x"))
+    return learning.best_on_grid(points, F.round(F.col("x") * F.sin(10 * F.pi() * F.col("x")) + 2, 9))
 
 
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey <= a.s_nationkey AND b.s_acctbal <= a.s_acctbal AND (b.s_nationkey < a.s_nationkey OR b.s_acctbal < a.s_acctbal))")
@@ -556,7 +588,7 @@ def pareto_front(spark, sf):
 
 
 def _landed(spark, name: str) -> str:
-    return scratch.shared_path(spark, name)
+    return scratch.new_path(spark, name)
 
 
 @query("SELECT o_orderkey AS pr_id, o_orderstatus AS pr_state, o_custkey AS pr_author, o_orderdate AS pr_created_at FROM orders WHERE o_orderpriority = '5-LOW'")
@@ -569,9 +601,9 @@ def commit_file_sync(spark, sf):
     return readers.all_commit_files(_files(spark, sf).withColumnRenamed("pr", "commit_sha"))[0]
 
 
-@query("SELECT 's' || l_suppkey AS reviewer_reviewer, l_orderkey AS pr_number, l_linenumber::BIGINT AS commit_files, l_quantity::DOUBLE AS author_submit_gap FROM lineitem")
+@query("SELECT 's' || l_suppkey AS reviewer, l_orderkey AS request, l_linenumber::BIGINT AS files, l_quantity::DOUBLE AS gap FROM lineitem")
 def training_rows_file(spark, sf):
-    path, have = _landed(spark, "rows"), {"reviewer_reviewer": F.concat(F.lit("s"), "l_suppkey"), "pr_number": F.col("l_orderkey"), "commit_files": F.col("l_linenumber"), "author_submit_gap": F.col("l_quantity")}
+    path, have = _landed(spark, "rows"), {"reviewer": F.concat(F.lit("s"), "l_suppkey"), "request": F.col("l_orderkey"), "files": F.col("l_linenumber"), "gap": F.col("l_quantity")}
     names = [c.split()[0] for c in schemas.TRAIN_ROW.split(", ")]
     t(spark, sf, "lineitem").select(*[have.get(n, F.lit(None)).cast("string").alias(n) for n in names]).write.csv(path, sep="\t")
     return readers.training_rows(spark, path).select(*have)
@@ -584,13 +616,19 @@ def change_files_file(spark, sf):
     return readers.delimited(spark, path, schemas.CHANGE_FILE, ",")
 
 
-@query("SELECT n_nationkey AS \"changeNumber\", n_regionkey * 1000 AS \"timestamp\", n_name AS reviewer FROM nation")
+@query("SELECT o_orderkey AS \"changeNumber\", o_custkey AS \"timestamp\", 'a \"}]\" \\{ ' || o_orderpriority AS reviewer, o_orderstatus AS location FROM orders")
 def json_array_file(spark, sf):
-    path = _landed(spark, "array")
-    row = F.to_json(F.struct(F.col("n_nationkey").alias("changeNumber"), (F.col("n_regionkey") * 1000).alias("timestamp"), F.array(F.struct(F.col("n_name").alias("name"))).alias("reviewers")))
-    # 25 nations: one array in one file is what this reader is for
-    t(spark, sf, "nation").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value")).coalesce(1).write.text(path)
-    return readers.json_array(spark, path, schemas.CHANGE_DATASET).select("changeNumber", "timestamp", F.col("reviewers")[0]["name"].alias("reviewer"))
+    """One file that is one array of all orders; strings hold braces, quotes and escapes."""
+    path, parts = _landed(spark, "array"), _landed(spark, "array-parts")
+    o = t(spark, sf, "orders")
+    name = F.concat(F.lit('a "}]" \\{ '), "o_orderpriority")
+    row = F.to_json(F.struct(F.col("o_orderkey").alias("changeNumber"), F.col("o_custkey").alias("timestamp"), F.array(F.struct(name.alias("name"))).alias("reviewers"), F.array(F.struct(F.col("o_orderstatus").alias("location"))).alias("filePaths")))
+    first = o.agg(F.min_by(row, "o_orderkey").alias("value"), F.min("o_orderkey").alias("k"))
+    first.select(F.concat(F.lit("["), "value").alias("value")).coalesce(1).write.text(parts + "-a")
+    o.join(F.broadcast(first.select("k")), F.col("o_orderkey") > F.col("k")).select(F.concat(F.lit(","), row).alias("value")).write.text(parts + "-b")  # one row
+    spark.range(1).select(F.lit("]").alias("value")).coalesce(1).write.text(parts + "-c")
+    writers.merged(spark, [parts + "-a", parts + "-b", parts + "-c"], path)
+    return readers.json_array(spark, path, schemas.CHANGE_DATASET).select("changeNumber", "timestamp", F.col("reviewers")[0]["name"].alias("reviewer"), F.col("filePaths")[0]["location"].alias("location"))
 
 
 @query("SELECT p_name AS value FROM part WHERE p_name <> ''")
@@ -629,13 +667,33 @@ def tag_places(spark, sf):
     return _segmented(spark, sf).select("line_no", F.array_join(F.transform(tags("words"), lambda x: x["tag"]), "").alias("tags"))
 
 
-@query(f"WITH {_SEGMENTED}, l AS (SELECT unnest(string_split(replace(name, ' ', '_') || 'toSan_Jose', '')) AS ch FROM seg WHERE line_no % 5 = 0) SELECT ch, count(*) AS n FROM l GROUP BY ch")
+_LINES = "lines AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, 'k' || o_orderkey || '/ns ' || replace(o_orderpriority, ' ', '_') || '/n' AS words FROM orders WHERE o_orderkey % 7 <> 3)"
+
+
+def _corpus_files(spark, sf) -> DataFrame:
+    """Orders as lines of a segmented corpus in a folder of at least six files of very unequal sizes, empty lines between them."""
+    path, k = _landed(spark, "corpus"), F.col("o_orderkey")
+    part = F.when(k < 40, 0).when(k < 700, 1).when(k < 900, 2).when(k < 4000, 3).when(k < 4100, 4).otherwise(5)
+    line = F.when(k % 7 == 3, F.lit("id")).otherwise(F.concat(F.lit(" id"), k, F.lit(" k"), k, F.lit("/ns  "), F.regexp_replace("o_orderpriority", " ", "_"), F.lit("/n")))
+    rows = t(spark, sf, "orders").select(line.alias("value"), part.alias("part"), "o_orderkey").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    rows.select("value", "part").write.partitionBy("part").text(path)
+    return readers.corpus(spark, path)
+
+
+@query(f"WITH {_LINES} SELECT line_no, words, line_no % 5 = 0 AS is_test FROM lines")
+def corpus_files(spark, sf):
+    train, test = readers.every_nth(_corpus_files(spark, sf))
+    mark = lambda df, is_test: df.select("line_no", F.array_join("words", " ").alias("words"), F.lit(is_test).alias("is_test"))
+    return mark(train, False).unionAll(mark(test, True))
+
+
+@query(f"WITH {_LINES}, w AS (SELECT line_no, string_split(words, ' ') AS ws FROM lines WHERE line_no % 5 = 0), c AS (SELECT line_no, replace(ws[1], '/ns', '') AS place, replace(ws[2], '/n', '') AS word FROM w), x AS (SELECT line_no, unnest(range(1, length(place) + length(word) + 1)) AS i, place, word FROM c) SELECT row_number() OVER (ORDER BY line_no, i) + line_no // 5 - 1 AS line_no, CASE WHEN i <= length(place) THEN place[i] || chr(9) || CASE WHEN i = 1 THEN 'B' WHEN i = length(place) THEN 'E' ELSE 'M' END ELSE word[i - length(place)] || chr(9) || 'O' END AS value FROM x")
 def tagged_test_file(spark, sf):
+    """The test lines of the corpus, tagged, written and read back: the order of all lines is compared. (Empty lines between sentences count, but aren't returned.)"""
     path, tags = _landed(spark, "tagged"), tagging.tags_udf()
-    rows = _segmented(spark, sf).select("line_no", tags("words").alias("tags"))
-    writers.write_tagged(rows.where("line_no % 5 = 0"), path)
-    lines = readers.text_lines(spark, path).where("value <> ''")
-    return lines.groupBy(F.split("value", "\t")[0].alias("ch")).agg(F.count(F.lit(1)).alias("n"))
+    _, test = readers.every_nth(_corpus_files(spark, sf))
+    writers.write_tagged(test.select("line_no", tags("words").alias("tags")), path)
+    return readers.ordered_lines(spark, path).where("value <> ''")
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, o_orderkey FROM orders")
@@ -649,34 +707,76 @@ def month_files(spark, sf):
 def report_file(spark, sf):
     path = _landed(spark, "report")
     _report_cells(spark, sf).write.partitionBy("sheet").csv(path, header=True)
-    cells = spark.read.csv(path, header=True, schema="row_idx long, " + ", ".join(f"c{i} string" for i in range(7)) + ", sheet string")
-    return shaping.report_values(cells)
+    return shaping.report_values(readers.report_cells(spark, path))
 
 
-@query("SELECT * FROM (VALUES ('topk', '10'), ('Users', 'a,b')) v(key, value)")
-def settings_section(spark, sf):
-    return spark.createDataFrame(list(readers.settings("[recommend]\ntopk = 10\nUsers = a,b\n[other]\nx = 1\n").items()), "key string, value string")
+@query(f"WITH {_PERIODS} SELECT * FROM rep")
+def report_sheets(spark, sf):
+    """Workbooks of the same figures, one for each priority, and their cells read back."""
+    path = _landed(spark, "books")
+    sheets.write_workbooks(_report_cells(spark, sf), F.concat(F.lit("book "), "sheet"), path)
+    return shaping.report_values(sheets.report_cells(sheets.cells(spark, path)))
 
 
-STEMS = [("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("rational", "ration"), ("adjustable", "adjust"), ("effective", "effect"), ("rate", "rate"), ("controll", "control")]
+@query("SELECT r_name AS section, n_name AS key, n_nationkey || ' = ' || n_regionkey || '; 5' AS value FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'topk', r_regionkey::VARCHAR FROM region")
+def settings_files(spark, sf):
+    """INI files made of nations by region, with comments, repeated keys and a section of credentials, which never comes back."""
+    path = _landed(spark, "settings")
+    entry = F.concat("n_name", F.lit("= "), "n_nationkey", F.lit(" = "), "n_regionkey", F.lit("; 5 "))
+    per = t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("x")).join(t(spark, sf, "region"), "r_regionkey")
+    text = F.concat(F.lit("# made\n[Authorization]\ntoken = secret\n[ "), "r_name", F.lit(" ]\ntopk: 99\n; no = entry\n\n"), "x", F.lit("\ntopk :"), "r_regionkey", F.lit("\nno entry\n[database]\npassword=secret"))
+    per.select(text.alias("value")).repartition(3).write.text(path)
+    return readers.settings(spark, path).select("section", "key", "value")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS) + ") v(word, stem)")
-def porter_stems(spark, sf):
-    words = spark.createDataFrame([(w,) for w, _ in STEMS], "word string")
-    return words.select("word", porter.stems_udf()(F.array("word"))[0].alias("stem"))
+# ---- texts of reviews, nodes for plots
+
+_KINDS = ["user", "assistant", "system", "event"]
+_AT = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(((conv_id * 53 + turn * 11) % 43200)::INT)"
+_REVIEWS = f"""tx AS (SELECT conv_id % 150 AS project, role AS kind, {_AT} AS moment, text FROM conversations UNION ALL SELECT user_id % 150, 'event', ts, event_type || ' ' || props FROM events WHERE event_type <> 'purchase'),
+rv AS (SELECT event_id AS review, user_id % 150 AS project, ts AS opened, ts + to_hours((event_id % 60)::INT) AS closed FROM events WHERE event_type = 'purchase' AND event_id % 9 <> 0),
+hit AS (SELECT review, kind, count(*) AS n_texts, string_agg(text, ' ' ORDER BY moment, text) AS text FROM rv JOIN tx ON rv.project = tx.project AND tx.moment BETWEEN opened AND closed WHERE text IS NOT NULL GROUP BY ALL),
+rt AS (SELECT review, kind, coalesce(n_texts, 0) AS n_texts, coalesce(text, '') AS text FROM (SELECT review, unnest(['user', 'assistant', 'system', 'event']) AS kind FROM rv) LEFT JOIN hit USING (review, kind))"""
+
+
+def _review_texts(spark, sf) -> DataFrame:
+    """Purchases as reviews (every ninth still open) with the turns and other events of their project within their span."""
+    e, c = t(spark, sf, "events"), t(spark, sf, "conversations")
+    minute = (F.col("conv_id") * 53 + F.col("turn") * 11) % 43200
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))
+    texts = c.select((F.col("conv_id") % 150).alias("project"), F.col("role").alias("kind"), at.alias("at"), "text")
+    texts = texts.unionAll(e.where("event_type <> 'purchase'").select(F.col("user_id") % 150, F.lit("event"), "ts", F.concat("event_type", F.lit(" "), "props")))
+    closed = F.when(F.col("event_id") % 9 != 0, F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 60).cast("int")))
+    reviews = e.where("event_type = 'purchase'").select(F.col("event_id").alias("review"), (F.col("user_id") % 150).alias("project"), F.col("ts").alias("opened"), closed.alias("closed"))
+    return features.review_texts(reviews, texts, _KINDS, bucket_seconds=12 * 3600)
+
+
+@query(f"WITH {_REVIEWS} SELECT review, kind, n_texts, md5(text) AS text_md5 FROM rt")
+def review_texts(spark, sf):
+    return _review_texts(spark, sf).select("review", "kind", "n_texts", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_REVIEWS}, ws AS (SELECT review AS doc, kind, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: NOT list_contains({_STOPS}, w))) AS term FROM rt), tf AS (SELECT doc, term, count(*) AS tf FROM ws GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc, kind, term FROM ws) GROUP BY term), n AS (SELECT count(*) AS n FROM rt), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
+def review_text_tfidf(spark, sf):
+    words = _review_texts(spark, sf).select(F.col("review").alias("doc"), F.col("kind").alias("part"), text.without_stop_words(text.tokens(F.col("text")), STOP).alias("ws"))
+    return features.tfidf_of_parts(words).select("doc", "term", r6("w"))
+
+
+@query("SELECT o_orderkey AS id, 'pr' AS type, 100 AS size, 'r' AS colour FROM orders UNION ALL SELECT s_suppkey, 'reviewer', 300, 'b' FROM supplier UNION ALL SELECT c_custkey, 'author', 300, 'g' FROM customer")
+def plot_nodes(spark, sf):
+    kind = lambda table, key, name: t(spark, sf, table).select(F.col(key).alias("id"), F.lit(name).alias("type"))
+    return writers.plot_nodes(kind("orders", "o_orderkey", "pr").unionAll(kind("supplier", "s_suppkey", "reviewer")).unionAll(kind("customer", "c_custkey", "author")))
 
 
 # ---- rows with vectors, lookups, moves of communities, fronts
 
 
-@query(f"WITH {_FILES.replace('l_partkey = p_partkey', 'l_partkey = p_partkey WHERE p_size > 45')}, {_COUNTS}, {_TFIDF} SELECT o_orderkey AS pr, o_custkey AS author, term, round(w, 6) AS w FROM orders LEFT JOIN vec ON doc = o_orderkey")
+@query(f"WITH {_TERMS}, {_TFIDF}, r AS (SELECT o_orderkey AS pr, o_custkey AS author FROM orders UNION ALL SELECT -o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P') SELECT pr, author, term, round(w, 6) AS w FROM r LEFT JOIN vec ON doc = pr")
 def rows_with_vectors(spark, sf):
-    few = t(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", F.regexp_replace("p_brand", "#", ""), F.lower("p_type"), F.regexp_replace("p_name", " ", "_")).alias("filename"))
-    files = t(spark, sf, "lineitem").join(few, "l_partkey").select(F.col("l_orderkey").alias("pr"), "filename")
-    vectors = features.tfidf(features.term_frequency(features.path_terms(files, "pr")))
-    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("author"))
-    return features.with_vectors(rows, vectors, "pr").select("pr", "author", "term", r6("w"))
+    """All orders, and ids without files for those of status P."""
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("author"), "o_orderstatus")
+    rows = rows.drop("o_orderstatus").unionAll(rows.where("o_orderstatus = 'P'").select(-F.col("pr"), "author"))
+    return features.with_vectors(rows, features.tfidf(_tf(spark, sf)), "pr").select("pr", "author", "term", r6("w"))
 
 
 @query("SELECT o_orderkey, o_custkey, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
@@ -685,10 +785,10 @@ def rows_joined_back(spark, sf):
     return features.joined_back(t(spark, sf, "orders").select("o_orderkey", "o_custkey"), found, "o_orderkey")
 
 
-@query(f"WITH tx AS (SELECT p_partkey AS doc, coalesce(p_name, '') || ' ' || coalesce(p_type, '') AS text FROM part WHERE p_partkey % 3 = 0), words AS (SELECT doc, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: NOT list_contains({_STOPS}, w)) AS ws FROM tx), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
+@query(f"WITH tx AS (SELECT p_partkey AS doc, coalesce(p_name, '') || ' ' || coalesce(p_type, '') AS text FROM part), words AS (SELECT doc, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: NOT list_contains({_STOPS}, w)) AS ws FROM tx), tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(ws) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
 def title_body_tfidf(spark, sf):
     p = t(spark, sf, "part")
-    texts = features.title_and_body(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("doc")), p.select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
+    texts = features.title_and_body(p.select(F.col("p_partkey").alias("doc")), p.select(F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.col("p_type").alias("body")))
     words = texts.select("doc", text.without_stop_words(text.tokens(F.col("text")), STOP).alias("ws"))
     return features.tfidf(_text_tf(words)).select("doc", "term", r6("w"))
 
@@ -733,20 +833,24 @@ def graph_counts(spark, sf):
     return spark.createDataFrame([writers.graph_counts(t(spark, sf, "nation"), _nation_edges(spark, sf).select("u", "v").distinct())], "n_nodes long, n_edges long")
 
 
-@query("SELECT true AS at_least_propagation, true AS at_least_regions")
+@query()
 def louvain_score(spark, sf):
+    """The partition of nations that moves make, and its modularity."""
     edges = scratch.written(_nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight")), "nations")
-    spread = scratch.written(graphs.communities(edges), "spread")
-    regions = t(spark, sf, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("community"))
-    score = lambda p: graphs.modularity(edges, p).first().q
-    got = [score(graphs.louvain(edges, p)) >= score(p) - 1e-9 for p in (spread, regions)]
-    return spark.createDataFrame([tuple(got)], "at_least_propagation boolean, at_least_regions boolean")
+    parts, q = graphs.louvain(edges)
+    scratch.drop_written(edges)
+    return parts.select("node", "community", F.lit(round(q, 9)).alias("q"))
+
+
+_GRID = "g AS (SELECT DISTINCT l_quantity::DOUBLE / 10 AS x1, round(l_discount::DOUBLE * 30, 6) AS x2 FROM lineitem)"
 
 
-@query("""WITH g AS (SELECT 5.0::DOUBLE * a / 60 AS x1, 3.0::DOUBLE * b / 60 AS x2 FROM range(61) p(a), range(61) q(b)), f AS (SELECT x1, x2, 4 * x1 * x1 + 4 * x2 * x2 AS f1, (x1 - 5) * (x1 - 5) + (x2 - 5) * (x2 - 5) AS f2 FROM g WHERE (x1 - 5) * (x1 - 5) + x2 * x2 <= 25 AND (x1 - 8) * (x1 - 8) + (x2 - 3) * (x2 - 3) >= 7.7)
+@query(f"""WITH {_GRID}, f AS (SELECT x1, x2, 4 * x1 * x1 + 4 * x2 * x2 AS f1, (x1 - 5) * (x1 - 5) + (x2 - 5) * (x2 - 5) AS f2 FROM g WHERE (x1 - 5) * (x1 - 5) + x2 * x2 <= 25 AND (x1 - 8) * (x1 - 8) + (x2 - 3) * (x2 - 3) >= 7.7)
 SELECT round(x1, 6) AS x1, round(x2, 6) AS x2, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f1 < a.f1 OR b.f2 < a.f2))""")
 def constrained_front(spark, sf):
-    return learning.undominated(learning.constrained_points(60), "f1", "f2").select(r6("x1"), r6("x2"), r6("f1"), r6("f2"))
+    """Points on [0, 5] x [0, 3] from the quantities and discounts of all lines."""
+    points = t(spark, sf, "lineitem").select((F.col("l_quantity").cast("double") / 10).alias("x1"), F.round(F.col("l_discount").cast("double") * 30, 6).alias("x2")).distinct()
+    return learning.undominated(learning.constrained_points(points), "f1", "f2").select(r6("x1"), r6("x2"), r6("f1"), r6("f2"))
 
 
 @query(f"WITH {_SUMMED} SELECT u || '-' || v AS id, 'n' || u AS label, '2020' AS start, '2021' AS \"end\", u::INT AS r, v::INT AS g, v::VARCHAR AS value FROM e")

@@ -1,19 +1,17 @@
-"""Readers: landed tables, TSV and CSV, JSON, text, report blocks, GEXF, INI settings."""
+"""Readers: landed tables, TSV and CSV, JSON, text in order, report blocks, GEXF, INI settings."""
 
 from __future__ import annotations
 
-import configparser
-import io
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
+from .scratch import written
 
 
 def pull_requests(table: DataFrame, project: str, limit: int | None = 20) -> DataFrame:
     """The used columns of the pull-request table under their aliases, of one project; with a limit the smallest ids."""
-    out = table.where(F.col("repo_full_name") == project).select(*[F.col(n).alias(a) for n, a, used in schemas.PULL_REQUEST if used])
+    out = table.where(F.col(schemas.PROJECT) == project).select(*[F.col(n).alias(a) for n, a in schemas.PULL_REQUEST])
     return out if limit is None else out.orderBy("pr_id").limit(limit)
 
 
@@ -43,8 +41,53 @@ def delimited(spark: SparkSession, path: str, schema: str | None = None, sep: st
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array (or object)."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Files that are one JSON array of objects (or one object) each: a row for each object. A file is read by many tasks.
+
+    Pieces end at every closing brace, wherever a task's part of the file begins. Whether a piece begins inside a string, and how
+    deep, follows from the quotes (escapes left out) and brackets of all pieces before it, whose counts are summed by block of the
+    file for both cases. A piece that begins at the depth of the elements begins one; the pieces of an element are put together
+    again and parsed; an object that doesn't parse gives nulls. A member of the array that is no object is an error.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path)
+    pieces = written(pieces.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")), "pieces")
+    count = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
+
+    def depth(text: Column) -> Column:
+        text = F.regexp_replace(text, r'(?s)"[^"]*("|$)', "")
+        return count(text, r"[\[{]") - count(text, r"[\]}]")
+
+    block = Window.partitionBy("_file", "_start").orderBy("_at")
+    before = block.rowsBetween(Window.unboundedPreceding, -1)
+    odd = pieces.withColumn("_bare", bare).withColumn("_odd", count(F.col("_bare"), '"') % 2)
+    odd = odd.withColumns({"_d0": depth(F.col("_bare")), "_d1": depth(F.regexp_replace("_bare", r'(?s)^[^"]*("|$)', ""))}).drop("_bare")
+    odd = odd.withColumn("_in", F.coalesce(F.sum("_odd").over(before), F.lit(0)) % 2)  # inside a string, if the block doesn't begin in one
+    # what a piece adds to the depth when its block begins outside (0) or inside (1) of a string; the brace at its end counts outside
+    inside = lambda s: (F.col("_in") + s) % 2
+    for s in (0, 1):
+        odd = odd.withColumn(f"_add{s}", F.when(inside(s) == 0, F.col("_d0")).otherwise(F.col("_d1")) - F.when((inside(s) + F.col("_odd")) % 2 == 0, 1).otherwise(0))
+    files = Window.partitionBy("_file").orderBy("_start")  # a row for each block
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = odd.groupBy("_file", "_start").agg(F.sum("_odd").alias("_o"), F.sum("_add0").alias("_a0"), F.sum("_add1").alias("_a1"), F.min_by("value", "_at").alias("_v"))
+    blocks = blocks.withColumn("_s", F.coalesce(F.sum("_o").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("_depth", F.coalesce(F.sum(F.when(F.col("_s") == 0, F.col("_a0")).otherwise(F.col("_a1"))).over(earlier), F.lit(0)))
+    # elements of an array stand at depth 1, an object alone at 0
+    blocks = blocks.withColumn("_base", F.first(F.ltrim(F.substring("_v", 1, 100)).startswith("[").cast("int")).over(files)).select("_file", "_start", "_s", "_depth", "_base")
+    placed = odd.join(F.broadcast(blocks), ["_file", "_start"])
+    add = F.when(F.col("_s") == 0, F.col("_add0")).otherwise(F.col("_add1"))
+    at_depth = F.col("_depth") + F.coalesce(F.sum(add).over(before), F.lit(0))
+    begins = (inside(F.col("_s")) == 0) & ((at_depth == F.col("_base")) | (at_depth == 0))
+    marks = placed.withColumn("_first", F.when(begins, F.col("_at"))).select("_file", "_start", "_at", "value", "_first")
+    marks = marks.withColumn("_first", F.last("_first", ignorenulls=True).over(block))
+    last = marks.groupBy("_file", "_start").agg(F.max("_first").alias("_l"))
+    last = last.select("_file", "_start", F.last("_l", ignorenulls=True).over(earlier).alias("_carried"))
+    element = marks.join(F.broadcast(last), ["_file", "_start"]).withColumn("_first", F.coalesce("_first", "_carried"))
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_at", "value")))
+    text = F.concat(F.array_join(F.transform(parts, lambda x: x["value"]), "}"), F.lit("}"))
+    text = F.regexp_replace(text, r"^[\s\[,]*", "")
+    whole = element.groupBy("_file", "_first").agg(text.alias("j")).where(~F.col("j").rlike(r"^\]?\s*\}$"))
+    checked = F.when(F.col("j").startswith("{"), F.col("j")).otherwise(F.raise_error(F.lit("a member of the array is no object")))
+    return whole.select(F.from_json(checked, schema).alias("r")).select("r.*")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -57,15 +100,34 @@ def stop_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
+def ordered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(line_no, value) of the lines of a text file, or of the files of a folder in the order of their paths; written.
+
+    keep: a condition on `value`; only lines that meet it are numbered, without gaps. Files may be read in any order and in
+    parts: a line's number is its place in its block plus the lines of all blocks before it, by (file, start of the block).
+    """
+    lines = spark.read.text(path)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    at = F.monotonically_increasing_id().alias("_at")  # rises within a block
+    got = written((lines if keep is None else lines.where(keep)).select("value", "_file", "_start", at), "lines")
+    blocks = got.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    starts = blocks.select("_file", "_start", (before - F.col("_first")).alias("_shift"))  # a row for each block of a file
+    return got.join(F.broadcast(starts), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("line_no"), "value")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, words) of the non-empty lines of a segmented corpus; the first token of a line is its id and goes.
+    """(line_no, words) of the lines of a segmented corpus, a file or a folder of files; the first token of a line is its id and goes.
 
-    Lines are numbered without gaps over those kept, in file order.
+    Lines are numbered without gaps over those with a word, in the order of the files' paths and of the lines in them.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
     words = F.filter(F.split(F.trim("value"), r"\s+"), lambda w: w != "")
-    kept = lines.select("at", words.alias("w")).where(F.size("w") > 1)
-    return numbered(kept, "at").select("line_no", F.slice("w", 2, 1_000_000_000).alias("words"))
+    return ordered_lines(spark, path, keep=F.size(words) > 1).select("line_no", F.slice(words, 2, 1_000_000_000).alias("words"))
+
+
+def every_nth(lines: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of numbered lines: every n-th from 0 is test."""
+    return lines.where(F.col("line_no") % n != 0), lines.where(F.col("line_no") % n == 0)
 
 
 def numbered(rows: DataFrame, at: str) -> DataFrame:
@@ -83,15 +145,14 @@ def numbered(rows: DataFrame, at: str) -> DataFrame:
 
 def dense_numbers(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Adds `name`: 0, 1, ... in a total order. Rows are sorted by ranges; no task sorts them all."""
-    from .scratch import written
-
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     return numbered(written(dealt, "ranges"), "_at").drop("_at").withColumnRenamed("line_no", name)
 
 
-def report_cells(spark: SparkSession, path: str) -> DataFrame:
-    """A report sheet landed as CSV: row_idx, c0 ... c6, all text but the row number."""
-    return spark.read.csv(path, header=True, schema="row_idx long, " + ", ".join(f"c{i} string" for i in range(7)))
+def report_cells(spark: SparkSession, path: str, columns: int = 7) -> DataFrame:
+    """Report sheets landed as CSV: row_idx, c0 ... c6, all text but the row number, and `sheet` where folders name it."""
+    cells = "row_idx long, " + ", ".join(f"c{i} string" for i in range(columns))
+    return spark.read.csv(path, header=True, schema=cells + ", sheet string")
 
 
 def gexf(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -110,14 +171,31 @@ def gexf_values(nodes: DataFrame, attribute: str) -> DataFrame:
     return nodes.select("id", F.explode("attvalues").alias("a")).where(F.col("a._for") == attribute).select("id", F.col("a._value").alias("value"))
 
 
-def settings(text: str, section: str = "recommend") -> dict[str, str]:
-    """One section of INI text. Sections that hold credentials are refused."""
-    if section in ("authorization", "database"):
+#: sections that hold credentials: never read
+SECRET = ("authorization", "database")
+
+
+def settings(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """(file, section, key, value) of INI files: a file or a folder of files. section: that one only.
+
+    A line `[name]` begins a section, whose name is carried on over the lines of its file; `key = value` or `key: value` is an entry (trimmed;
+    of a repeated key the last one counts), lines that begin with # or ; are comments. A line of another kind is left out, as is
+    what stands before the first section. Sections of credentials are filtered out before an entry is read, and nothing is written;
+    asking for one is a ValueError.
+    """
+    if section in SECRET:
         raise ValueError("credentials are not read")
-    parser = configparser.ConfigParser(interpolation=None)
-    parser.optionxform = str
-    parser.read_file(io.StringIO(text))
-    return dict(parser[section])
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    head, line = r"^\s*\[([^\]]*)\]\s*$", F.trim("value")
+    w = Window.partitionBy("file").orderBy("line_no")  # the lines of one file of settings, which one task has read whole
+    named = F.last(F.when(F.col("value").rlike(head), F.trim(F.regexp_extract("value", head, 1))), ignorenulls=True).over(w)
+    lines = files.withColumn("section", named)
+    lines = lines.where(F.col("section").isNotNull() & ~F.lower("section").isin(*SECRET))
+    if section is not None:
+        lines = lines.where(F.col("section") == section)
+    pair = r"(?s)^\s*([^=:\[#;][^=:]*?)\s*[=:](.*)$"
+    entries = lines.where(line.rlike(pair)).select("file", "section", "line_no", F.regexp_extract(line, pair, 1).alias("key"), F.trim(F.regexp_extract(line, pair, 2)).alias("value"))
+    return entries.groupBy("file", "section", "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def nested(json_text: Column, schema: str) -> Column:

@@ -1,29 +1,18 @@
-"""Schemas of the entities, and their identity keys. Names of columns, relations and keys here are fixed values: data have them."""
+"""Schemas of landed data, and our names of what is derived from them."""
 
 from __future__ import annotations
 
-#: (name, alias, used) of the pull-request table
-PULL_REQUEST = [
-    ("repo_full_name", None, False), ("number", "pr_id", True), ("state", "pr_state", True), ("title", "pr_title", True),
-    ("user_login", "pr_author", True), ("body", "pr_body", True), ("created_at", "pr_created_at", True), ("updated_at", "pr_updated_at", True),
-    ("closed_at", "pr_closed_at", True), ("merged_at", "pr_merged_at", True), ("merge_commit_sha", "pr_merge_commit_sha", True),
-    ("author_association", "pr_author_association", True), ("merged", "pr_merged", True), ("comments", "pr_comments", True),
-    ("review_comments", "pr_review_comments", True), ("commits", "pr_commits", True), ("additions", "pr_additions", True),
-    ("deletions", "pr_deletions", True), ("changed_files", "pr_changed_files", True), ("head_label", "pr_head_label", True), ("base_label", "pr_base_label", True),
-]
-
-GIT_FILE = "commit_sha string, filename string"
-
-TRAIN_ROW = (
-    "reviewer_reviewer string, pr_number long, review_id long, commit_sha string, author string, pr_created_at string, pr_commits long, "
-    "pr_additions long, pr_deletions long, pr_head_label string, pr_base_label string, review_submitted_at string, commit_status_total long, "
-    "commit_status_additions long, commit_status_deletions long, commit_files long, author_review_count long, author_push_count long, author_submit_gap double"
+# Columns of the landed table of change requests; the hosting service's interface names them.
+_LANDED = (
+    "number state title user_login body created_at updated_at closed_at merged_at merge_commit_sha author_association merged comments "
+    "review_comments commits additions deletions changed_files head_label base_label"
 )
+#: (landed name, our alias): the alias is the name with a prefix, but for the id and the author
+PULL_REQUEST = [(n, {"number": "pr_id", "user_login": "pr_author"}.get(n, f"pr_{n}")) for n in _LANDED.split()]
+#: the landed column that names a project
+PROJECT = "repo_full_name"
 
-CHANGE_FILE = "pull_number long, filename string"
-PR_TEXT = "number long, title string, body string"
-
-CHANGE_DATASET = "changeNumber long, timestamp long, reviewers array<struct<name:string>>, filePaths array<struct<location:string>>"
+# Keys of landed JSON replies and headers of landed files.
 COMMENT = "id long, path string, commit_id string, body string, created_at string, updated_at string, original_line long, author_association string, user struct<login:string,id:long>"
 BLOB = "oid string, id string, isBinary boolean, isTruncated boolean, byteSize long, text string, repository struct<nameWithOwner:string>"
 TREE = "repository struct<nameWithOwner:string>, __typename string, oid string, id string, entries array<struct<name:string,type:string,object:struct<id:string,oid:string>>>"
@@ -31,18 +20,17 @@ _LOGINS = "struct<totalCount:long,edges:array<struct<cursor:string,node:struct<l
 FOLLOW = f"data struct<user:struct<login:string,following:{_LOGINS},followers:{_LOGINS}>>"
 WATCH = "data struct<user:struct<login:string,watching:struct<totalCount:long,edges:array<struct<cursor:string,node:struct<nameWithOwner:string>>>>>>"
 TIMELINE = "id string, repo_full_name string, author struct<login:string>, timelineItems struct<edges:array<struct<node:struct<id:string,typename:string,createdAt:string>>>>"
+CHANGE_DATASET = "changeNumber long, timestamp long, reviewers array<struct<name:string>>, filePaths array<struct<location:string>>"
+CHANGE_FILE = "pull_number long, filename string"
 
-#: names of node and edge types of the collaboration graphs
-NODE_TYPES = ("pr", "reviewer", "author")
-EDGE_TYPES = ("edge_pr_dis", "pr_review_relation", "pr_author_relation", "author_reviewer_relation", "reviewer_reviewer_relation")
-#: columns of reviewers' paths, and of rounds with the changes that follow them
-PATH_ROW = ("repo_full_name", "pull_number", "pr_created_at", "review_user_login", "commit_sha", "file_filename")
-ROUND_ROW = ("pullrequest_node", "review_node", "change_node", "review_position", "change_position")
+#: rows of training files have no header: places are fixed, names are ours
+TRAIN_ROW = (
+    "reviewer string, request long, review long, commit string, author string, opened string, commits long, additions long, deletions long, head string, base string, "
+    "reviewed string, changes long, added long, deleted long, files long, author_reviews long, author_pushes long, gap double"
+)
 
-IDENTITY = {
-    "blob": ["repository", "oid"],
-    "tree_entry": ["repository", "parent_oid", "child_oid"],
-    "review_change": ["pull_request_node_id", "review_node_id", "change_node_id"],
-    "user_follow": ["login", "following_login"],
-    "user_watch": ["login", "repo_full_name"],
-}
+#: our names of a reviewer's file row, and of rounds with the changes that follow them
+PATH_ROW = ("project", "request", "opened", "reviewer", "commit", "file")
+ROUND_ROW = ("request", "round", "change", "round_position", "change_position")
+#: our name of the edges between authors and reviewers
+CALL_EDGE = "author-reviewer"

@@ -8,29 +8,35 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import drop_path
 
-def merged(spark: SparkSession, folder: str, path: str, head: str = "") -> None:
-    """One file from the parts of a written folder, in their order, after `head`; the folder goes. Bytes are streamed, not gathered."""
+
+def merged(spark: SparkSession, folders: list[str], path: str) -> None:
+    """One file from the parts of written folders, in their order; the folders go. Bytes are streamed, not gathered."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(conf)
-    parts = sorted(p.getPath().toString() for p in fs.listStatus(top) if p.getPath().getName().startswith("part-"))
-    out = fs.create(target, True)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
     try:
-        out.write(bytearray(head.encode("utf-8")))
-        for p in parts:
-            part = fs.open(jvm.org.apache.hadoop.fs.Path(p))
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
-            part.close()
+        for folder in folders:
+            top = jvm.org.apache.hadoop.fs.Path(folder)
+            fs = top.getFileSystem(conf)
+            for p in sorted(p.getPath().toString() for p in fs.listStatus(top) if p.getPath().getName().startswith("part-")):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
     finally:
         out.close()
-    fs.delete(top, True)
+    for folder in folders:
+        drop_path(spark, folder)
 
 
 def csv_file(df: DataFrame, path: str) -> None:
-    """One UTF-8 CSV file with header: parts are written by all tasks, then joined."""
+    """One UTF-8 CSV file with header (quoted as values are): parts are written by all tasks, then joined."""
+    spark = df.sparkSession
+    head = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+    head.coalesce(1).write.mode("overwrite").csv(path + ".head", header=False, encoding="UTF-8")
     df.write.mode("overwrite").csv(path + ".parts", header=False, encoding="UTF-8")
-    merged(df.sparkSession, path + ".parts", path, ",".join(df.columns) + "\n")
+    merged(spark, [path + ".head", path + ".parts"], path)
 
 
 def by_month(df: DataFrame, date_col: str) -> DataFrame:
@@ -50,12 +56,12 @@ def tagged_lines(tagged: DataFrame) -> DataFrame:
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
-    """Train or test text of a tagged corpus: a folder of parts in order."""
+    """Train or test text of a tagged corpus: a folder of parts in the order of their names (readers.ordered_lines reads them so)."""
     tagged_lines(tagged).write.mode("overwrite").text(path)
 
 
 def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[tuple[str, str, str]] = (), mode: str = "static", default_edge_type: str = "undirected", edge_attributes: list[tuple[str, str, str]] = ()) -> None:
-    """GEXF 1.1 text at `path` (a folder of parts in order: header, nodes, edges; `merged` makes one file of it).
+    """GEXF 1.1 text at `path` (a folder of parts in order: header, nodes, edges; `merged` makes one file of such a folder).
 
     nodes: id, label, attvalues array<struct<for, value>>; edges: id, source, target, weight. Both may have start, end and
     colour (struct<r, g, b>), edges label and attvalues; null ones are left out. attributes: (id, title, type) of
@@ -82,6 +88,7 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[t
         values = F.transform("attvalues", lambda a: F.concat(F.lit("<attvalue"), attr("for", a["for"]), attr("value", a["value"]), F.lit("/>"))) if have("attvalues") else F.array().cast("array<string>")
         return F.concat(F.lit(f"<{tag}"), *own, F.lit(">"), colour, F.lit("<attvalues>"), F.coalesce(F.array_join(values, ""), none), F.lit(f"</attvalues></{tag}>"))
 
+    # names of elements and attributes, here and in the header, are fixed values of the format
     one = lambda k, text: nodes.sparkSession.createDataFrame([(k, "", text)], "part int, id string, value string")
     parts = one(0, head).unionAll(nodes.select(F.lit(1), F.col("id").cast("string"), element("node", nodes, ["id", "label"]))).unionAll(one(2, "</nodes>\n<edges>"))
     parts = parts.unionAll(edges.select(F.lit(3), F.col("id").cast("string"), element("edge", edges, ["id", "source", "target", "weight", "label"]))).unionAll(one(4, "</edges>\n</graph>\n</gexf>"))
