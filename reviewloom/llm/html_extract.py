@@ -2,7 +2,8 @@
 
 A page is cut into leaf blocks: runs of text between the bounds of block elements. A block's features are
 bits: which elements stand above it, what the words of their classes, ids and roles say, its own element,
-its length, links and wording. Viterbi decoding labels the blocks as content or not.
+its length, links and wording, and what it is beside the other blocks of its page. Viterbi decoding labels the blocks as
+content or not. Text of noscript, template and iframe is no text of the page: browsers that run scripts don't show it.
 """
 
 from __future__ import annotations
@@ -49,13 +50,27 @@ WORDS = {w: k for k, ws in KEYWORDS.items() for w in ws.split()}
 SAID = ["©", "copyright", "all rights reserved", "cookie", "subscribe", "newsletter", "sign up", "log in", "privacy", "advert", "sponsored", "comments", "reply", "share this", "read more"]
 
 NAMES = [f"in_{x}" for x in ABOVE] + [f"word_{k}" for k in KEYWORDS] + ["hidden", "nearest_text", "nearest_other"] + [f"is_{x}" for x in OWN]
-NAMES += ["is_other", "chars_20", "chars_80", "chars_300", "chars_more", "links_some", "links_most", "stop", "said", "first_block", "bias"]
+NAMES += ["is_other", "chars_20", "chars_80", "chars_300", "chars_more", "links_some", "links_most", "stop", "piped", "said", "copyright", "first_block", "bias"]
+#: what a block is beside the others of its page: its length by the longest one's, links and prose next to it, its place and that of the first h1
+BESIDE = ["longest", "half", "tenth", "by_links", "by_prose", "last_block", "before_h1", "after_h1", "no_h1", "prose", "first_prose", "last_prose"]
+#: a block without a tag or word that says what it is, on a page where none says that it is the text: these bits weigh on their own there
+LOOSE = ["chars_20", "chars_80", "chars_300", "chars_more", "links_some", "links_most", "stop", "piped", "said", "copyright", "first_block", "is_p", "is_h1", "is_h2", "is_h3", "is_li", "is_td", "is_div", "in_table", *BESIDE]
+NAMES += [*BESIDE, "loose", *[f"loose_{x}" for x in LOOSE]]
 BIT = {n: 1 << i for i, n in enumerate(NAMES)}
 _ABOVE = {x: BIT[f"in_{x}"] for x in ABOVE}
 _OWN = {x: BIT[f"is_{x}"] for x in OWN}
 _KIND = {k: BIT[f"word_{k}"] for k in KEYWORDS}
 _NEAREST = BIT["nearest_text"] | BIT["nearest_other"]
 
+_SAYS = sum(BIT[f"in_{x}"] for x in ("nav", "header", "footer", "aside", "form", "article", "main", "dialog", "menu")) | _NEAREST | sum(_KIND.values()) | BIT["hidden"]
+_TEXT = BIT["in_article"] | BIT["in_main"] | BIT["nearest_text"]
+_LOOSE = [(BIT[x], BIT[f"loose_{x}"]) for x in LOOSE]
+
+#: what marks content in labelled pages (a private character): no feature sees it
+MARK = "\ue000"
+#: ends of sentences; an empty text has none
+STOPS = tuple(".!?…\"'”»:;")
+
 _START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
 #: a tag up to its end; a quote that never closes stops quoting: then the next way of reading is taken for the rest of the page
 _TAGS = [re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(" + part + r")>") for part in ("(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", "(?:[^>\"]++|\"[^\"]*+\")*+", "(?:[^>']++|'[^']*+')*+", "[^>]*+")]
@@ -63,6 +78,8 @@ _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in RAW}
 _LONG_NUMBER = re.compile(r"&#0*([0-9]{8,});?")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: what stands between the entries of a menu in one line
+_PIPE = re.compile(r"\s[|·•»›/]\s")
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -130,8 +147,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
             bits |= BIT["links_most"]
         elif n_link:
             bits |= BIT["links_some"]
-        if got[-1] in ".!?…\"'”»:;":
+        if got.rstrip(MARK)[-1:] in STOPS:
             bits |= BIT["stop"]
+        if got.startswith("©") or got[:9].lower() == "copyright":
+            bits |= BIT["copyright"]
+        if n < 300 and _PIPE.search(got):
+            bits |= BIT["piped"]
         if n < 300 and any(w in got.lower() for w in SAID):
             bits |= BIT["said"]
         if not out:
@@ -226,6 +247,32 @@ def blocks(page: str) -> list[tuple[int, str]]:
             pop_to(len(stack) - 1)
             at = close.end() if close else end
     flush()
+    return beside(out)
+
+
+def beside(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Blocks with the bits that depend on the other blocks of their page."""
+    if not found:
+        return found
+    most, n = max(len(t) for _, t in found), len(found)
+    h1 = next((i for i, (b, _) in enumerate(found) if b & BIT["is_h1"]), None)
+    told = any(b & _TEXT for b, _ in found)
+    prose = [len(t) >= 80 and not b & BIT["links_most"] for b, t in found]
+    links = [bool(b & BIT["links_most"]) for b, _ in found]
+    out = []
+    for i, (b, t) in enumerate(found):
+        size = len(t)
+        b |= BIT["longest" if size == most else "half" if 2 * size >= most else "tenth"] if 10 * size >= most else 0
+        near = [j for j in (i - 1, i + 1) if 0 <= j < n]
+        b |= BIT["by_links"] * any(links[j] for j in near) | BIT["by_prose"] * any(prose[j] for j in near) | BIT["last_block"] * (i == n - 1)
+        b |= BIT["prose"] * prose[i] | BIT["first_prose"] * (i == 0 and prose[i]) | BIT["last_prose"] * (i == n - 1 and prose[i])
+        b |= BIT["no_h1" if h1 is None else "before_h1" if i < h1 else "after_h1"]
+        if not told and not b & _SAYS:
+            b |= BIT["loose"]
+            for own, loose in _LOOSE:
+                if b & own:
+                    b |= loose
+        out.append((b, t))
     return out
 
 
@@ -233,9 +280,6 @@ def vector(bits: int) -> list[int]:
     return [bits >> i & 1 for i in range(len(NAMES))]
 
 
-MARK = ""
-
-
 def labelled_pages(n: int, seed: int) -> list[str]:
     """Pages of many layouts, made from a seed. Content blocks carry MARK: these are the labels."""
     r = random.Random(seed)
@@ -345,6 +389,81 @@ def labelled_pages(n: int, seed: int) -> list[str]:
     return pages
 
 
+#: layouts of pages that don't say what their parts are
+LAYOUTS = ("divs", "nested", "table", "bare", "breaks")
+
+
+def loose_pages(n: int, seed: int, layouts: tuple[str, ...] = LAYOUTS) -> list[str]:
+    """Pages without tags, classes or roles that tell text from the rest (classes, if any, are no words), made from a seed, with MARK as in labelled_pages.
+
+    The rest is menus (links or words), search and login lines, imprints; the article has a title or none, paragraphs, headings, lists.
+    """
+    r = random.Random(seed)
+    syll = "ab be cir do en fa gri he is jo kel lo mau ne or pe qua ra sti tu um vel wi ys zo".split()
+    word = lambda: "".join(r.choice(syll) for _ in range(r.choice((1, 2, 2, 3, 4))))
+    some = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    prose = lambda a, b: " ".join(some(5, 24).capitalize() + r.choice("...?!") for _ in range(r.randint(a, b)))
+    own = {}
+
+    def div(inner, tag="div"):
+        kind = r.choice(own["kinds"])
+        return f"<{tag}{f' class="{kind}"' if kind else ''}>{inner}</{tag}>"
+
+    link = lambda: f'<a href="/{word()}">{some(1, 3)}</a>'
+
+    def menu():
+        k = r.randint(2, 8)
+        return r.choice([lambda: " ".join(link() for _ in range(k)), lambda: " | ".join(link() for _ in range(k)), lambda: " ".join(some(1, 1).capitalize() for _ in range(min(k, 5))), lambda: f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(k))}</ul>", lambda: some(1, 2)])()
+
+    def tail():
+        return r.choice([lambda: r.choice(["&copy; ", "Copyright ", "© 20" + str(r.randint(10, 29)) + " "]) + some(1, 5) + r.choice(["", ".", ". " + some(2, 5).capitalize() + "."]), lambda: " | ".join(some(1, 1).capitalize() for _ in range(r.randint(2, 4))), lambda: " ".join(link() for _ in range(r.randint(1, 5))), lambda: some(1, 4) + " " + link()])()
+
+    def paragraph():
+        k = r.random()
+        if k < 0.72:
+            return r.choice([prose(1, 3), prose(1, 6), prose(2, 8)]) + r.choice(["", "", " " + link() + " " + prose(1, 1)]) + MARK
+        return (some(2, 9).capitalize() + r.choice([".", "", ":"]) if k < 0.86 else prose(1, 1)) + MARK
+
+    def article(tag):
+        parts = [f"<{(h := r.choice(['h1', 'h1', 'h1', 'h2', 'h3']))}>{some(1, 9)}{MARK}</{h}>"] if r.random() < 0.55 else []
+        parts.append(f"<{tag}>{prose(1, 5)}{MARK}</{tag}>")
+        for _ in range(r.choice((0, 0, 1, 2, 4, 7))):
+            k = r.random()
+            if k < 0.1:
+                parts.append(f"<{(h := r.choice(['h2', 'h3']))}>{some(1, 6)}{MARK}</{h}>" + f"<{tag}>{prose(1, 4)}{MARK}</{tag}>")
+            elif k < 0.18:
+                parts.append("<ul>" + "".join(f"<li>{r.choice([some(2, 8), prose(1, 2)])}{MARK}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            else:
+                parts.append(f"<{tag}>{paragraph()}</{tag}>")
+        return "".join(parts)
+
+    def page(layout):
+        own["kinds"] = [None] if r.random() < 0.5 else [word() for _ in range(4)]
+        if layout == "bare":
+            return article("p") if r.random() < 0.5 else "".join(f"<p>{prose(1, 4)}{MARK}</p>" for _ in range(r.choice((1, 1, 2, 3))))
+        tops, tails = [menu() for _ in range(r.choice((0, 0, 1, 1, 2)))], [tail() for _ in range(r.choice((0, 1, 1, 1, 2)))]
+        if layout == "breaks":  # a paragraph ends at an empty line
+            text = article("p").replace("<p>", "").replace("</p>", "<br><br>")
+            return "".join(map(div, tops)) + div(text) + "".join(map(div, tails))
+        if layout == "table":
+            cell, row = (lambda x: div(x, "td")), (lambda x: f"<tr>{x}</tr>")
+            body = article(r.choice(["p", "p", "div"])) if r.random() < 0.7 else r.choice([f"<h1>{some(1, 6)}{MARK}</h1>", ""]) + prose(2, 9) + MARK
+            rows = [row(cell(x)) for x in tops[:1]] + [row("".join(map(cell, tops[1:])) + cell(body))] + [row(cell(x)) for x in tails]
+            return "<table>" + "".join(rows) + "</table>"
+        tag = r.choice(["p", "div"])
+        body = div(article(tag))
+        if layout == "nested":
+            body = div(body) if r.random() < 0.5 else div(div(menu()) * (r.random() < 0.3) + body)
+        around = "".join(div(x, r.choice(["div", "div", "p"])) for x in tops), "".join(div(x, r.choice(["div", "div", "p"])) for x in tails)
+        return around[0] + body + around[1] if r.random() < 0.7 else div(around[0] + body + around[1])
+
+    out = []
+    for i in range(n):
+        body = page(layouts[i % len(layouts)])
+        out.append(r.choice([f"<html><head><title>{some(1, 5)}</title></head><body>{body}</body></html>", f"<body>{body}", body]))
+    return out
+
+
 def fit(pages: list[str], **options) -> dict:
     """A model from labelled pages: content blocks carry MARK in their text."""
     sequences = []
@@ -356,9 +475,9 @@ def fit(pages: list[str], **options) -> dict:
 
 
 @functools.lru_cache(maxsize=1)
-def default_model(pages: int = 500, seed: int = 8) -> dict:
-    """The model fitted on `pages` labelled pages of many layouts."""
-    return fit(labelled_pages(pages, seed), steps=100)
+def default_model(pages: int = 500, loose: int = 600, seed: int = 8) -> dict:
+    """The model fitted on `pages` labelled pages of many layouts, and `loose` ones that don't say what their parts are."""
+    return fit(labelled_pages(pages, seed) + loose_pages(loose, seed), steps=150)
 
 
 class Extractor:

@@ -103,9 +103,13 @@ def bloom(entries: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[word(w) for w in range(WORDS)])
 
 
+def blocks_of(n_entries: int) -> int:
+    return max(1, -(-n_entries * BITS_PER_ENTRY // BLOCK_BITS))
+
+
 def possible(rows: DataFrame, entries: DataFrame, n_entries: int) -> DataFrame:
     """Those of rows (entry, ...) that pass the filter of entries; a superset of the listed ones."""
-    blocks = max(1, -(-n_entries * BITS_PER_ENTRY // BLOCK_BITS))
+    blocks = blocks_of(n_entries)
     f = bloom(entries, blocks)
     f = F.broadcast(f) if blocks <= BROADCAST_BLOCKS else f
     got = rows.withColumn("block", _block(F.col("entry"), blocks)).join(f, "block")
@@ -128,10 +132,16 @@ def listed(urls: DataFrame, entries: DataFrame, rules: DataFrame) -> DataFrame:
     marked = lambda mark, xs: F.transform(xs, lambda x: F.concat(F.lit(mark), x))
     all_ = F.concat(marked("r", rule_candidates(F.col("host"), F.col("path"), pairs)), marked("l", candidates(canonical(F.col("host"), F.col("path")), folders, hosts)))
     looked = urls.select("host", "path", "n", F.explode(F.array_distinct(all_)).alias("entry"))
-    # distinct candidates: a domain that many URLs share is looked up once
-    once = looked.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), F.count(F.lit(1)).alias("_t"))
-    found = written(possible(once, known, known.count()).join(known, "entry"), "hits")
-    hits, total = found.count(), found.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    size = known.count()
+    if blocks_of(size) <= BROADCAST_BLOCKS:
+        # the filter is where the candidates are: only possible hits are kept, counted and joined
+        looked = written(possible(looked, known, size), "possible")
+        once = looked.groupBy("entry").agg(F.count(F.lit(1)).alias("times"))
+    else:
+        # distinct candidates go to the filter's blocks: a domain that many URLs share is looked up once
+        once = possible(looked.groupBy("entry").agg(F.count(F.lit(1)).alias("times"), F.count(F.lit(1)).alias("_t")), known, size)
+    found = written(once.join(known, "entry").select("entry", "times", "verdict"), "hits")
+    hits, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("times"), F.lit(0))).first()
     if hits <= BROADCAST_HITS:
         got = looked.join(F.broadcast(found.select("entry", "verdict")), "entry")
     else:
@@ -140,7 +150,7 @@ def listed(urls: DataFrame, entries: DataFrame, rules: DataFrame) -> DataFrame:
     rule = F.when(F.startswith("entry", F.lit("r")), longest)
     best = got.groupBy("host", "path", "n").agg(F.max_by(F.struct(name.alias("rule"), "verdict"), rule).alias("hit"), F.max_by(name, F.when(F.startswith("entry", F.lit("l")), longest)).alias("listed_by"))
     best = written(best.select("host", "path", "n", "hit.rule", "hit.verdict", "listed_by"), "best")
-    drop_written(known, found)
+    drop_written(known, found, looked)
     return best
 
 

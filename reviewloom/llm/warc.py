@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import new_path, ship, written
+from .shared import drop_written, new_path, salted_join, ship, written
 
 #: payloads from this size on are stored once; an archive is closed at this size; bytes read at a time
 MIN_SHARED, ARCHIVE_BYTES, CHUNK = 1000, 1 << 30, 1 << 18
@@ -180,8 +180,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     small = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(text).alias("digest"), F.octet_length(text).alias("size"))
     small = written(small.where(F.col("id").isNotNull() & (F.col("size") >= min_shared)), "digests")
     kept = small.groupBy("digest", "size").agg(F.max("id").alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # ids of rows that revisit; joined back by id, so that no payload's copies meet in one task
-    visits = small.join(kept, ["digest", "size"]).where("id <> to").select("id", "to", F.col("digest").alias("of")).distinct()
+    # ids of rows that revisit; no payload's copies meet in one task, neither their ids nor (joined back by id) their texts
+    visits = salted_join(small, kept, ["digest", "size"], "n", small.count()).where("id <> to").select("id", "to", F.col("digest").alias("of")).distinct()
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("html"), F.sha1(text).alias("digest"))
     named = rows.where("id is not null").join(visits, "id", "left").unionAll(rows.where("id is null").withColumns({"to": F.lit(None).cast("long"), "of": F.lit(None).cast("string")}))
     named = named.select("id", "url", "html", "digest", F.when(F.col("of") == F.col("digest"), F.col("to")).alias("to"))
@@ -210,7 +210,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             done.append((name, n))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["path", "records"])
 
-    return written(named.mapInArrow(run, "path string, records long"), "archives")
+    out = written(named.mapInArrow(run, "path string, records long"), "archives")
+    drop_written(small)
+    return out
 
 
 _RECORD = T.StructType([T.StructField(c, t) for c, t in (("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()))])

@@ -10,7 +10,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.llm import mixing, shared, sharding, url_filter, warc
+from reviewloom.llm import mixing, sharding, url_filter, warc
+from reviewloom.sources import scratch
 
 
 def docs(spark, n, seed=1):
@@ -76,7 +77,7 @@ def test_depth_follows_the_words():
 @pytest.mark.parametrize("rank_rows", [20_000, 10])
 def test_shards(spark, monkeypatch, rank_rows):
     monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
-    monkeypatch.setattr(shared, "SMALL_ROWS", rank_rows - 10)
+    monkeypatch.setattr(scratch, "SMALL_ROWS", rank_rows - 10)
     r = random.Random(4)
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(200)] + [f"five {i // 5}" for i in range(200)] + [f"own {i} {r.random()}" for i in range(300)] + [None] * 40 + [""] * 30
     r.shuffle(texts)
@@ -124,9 +125,9 @@ def test_urls_against_brute_force(spark, monkeypatch, blocks, hits, heavy):
     """Broadcast and shuffle ways; deep folders, long hosts, hot URLs; a false positive of the filter changes nothing."""
     monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", blocks)
     monkeypatch.setattr(url_filter, "BROADCAST_HITS", hits)
-    monkeypatch.setattr(shared, "HEAVY_ROWS", heavy)
-    monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
-    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
+    monkeypatch.setattr(scratch, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(scratch, "HEAVY_KEYS", 1 << 40)
+    monkeypatch.setattr(scratch, "SMALL_ROWS", 0)
     r = random.Random(5)
     part = lambda k: "/".join(r.choice("ab") for _ in range(r.randint(0, k)))
     hosts = ["a.org", "x.a.org", "b.org", "deep." * 60 + "b.org", "org", "localhost", "www.a.org:80"]
@@ -145,6 +146,15 @@ def test_urls_against_brute_force(spark, monkeypatch, blocks, hits, heavy):
         assert (x.rule, x.listed_by, x.verdict) == (rule[1], name, rule[2] or ("block" if name else "allow")), x
 
 
+def test_the_filter_comes_before_any_exchange_of_candidates(spark):
+    """With a broadcast filter, what explodes the candidates has no exchange above it before the bit test."""
+    entries = spark.range(50).select(F.concat(F.lit("h.org/"), "id").alias("entry"))
+    looked = spark.range(9).select(F.explode(F.array(F.lit("h.org/1"), F.lit("no/"))).alias("entry"), "id")
+    plan = url_filter.possible(looked, entries, 50)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "BroadcastHashJoin" in above and "shiftright" in above and "Exchange hashpartitioning" not in above.split("BroadcastExchange")[0]
+
+
 def test_bloom_passes_all_listed_and_few_others(spark):
     entries = spark.range(3000).select(F.concat(F.lit("h.org/"), "id").alias("entry"))
     rows = spark.range(20000).select(F.concat(F.lit("h.org/"), "id").alias("entry"), "id")

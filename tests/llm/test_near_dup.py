@@ -6,8 +6,9 @@ import re
 
 import pytest
 
-from reviewloom.llm import near_dup, shared
+from reviewloom.llm import near_dup
 from reviewloom.llm.components import connected_components
+from reviewloom.sources import scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -62,9 +63,9 @@ def test_same_as_brute_force(spark, monkeypatch, width, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "SET_BLOCK", block)
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 2_000_000 if block > 100 else 0)  # small bounds force the ways that large inputs take
-    monkeypatch.setattr(shared, "HEAVY_ROWS", block)
-    monkeypatch.setattr(shared, "HEAVY_KEYS", 1 << 40)
-    monkeypatch.setattr(shared, "SMALL_ROWS", 100_000 if block > 100 else 0)
+    monkeypatch.setattr(scratch, "HEAVY_ROWS", block)
+    monkeypatch.setattr(scratch, "HEAVY_KEYS", 1 << 40)
+    monkeypatch.setattr(scratch, "SMALL_ROWS", 100_000 if block > 100 else 0)
     rows = texts(220, width)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, width).collect()}
