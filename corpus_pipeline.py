@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of docs; docs needs doc_id, text and source.
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; docs needs doc_id (an integer), text and source.
 Further columns are passed on. Null and empty texts have no toxic sentence, no near-duplicate and no benchmark
 passage: they stay. An empty table gives an empty table. Each stage's result is written and read again.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm import decontam, mixing, near_dup, sharding, toxicity
-from reviewloom.llm.shared import written
+from reviewloom.llm.shared import drop_written, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row, that of the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8).
 
     Rows are told apart by id and text: a repeated id loses only rows whose text is a near-duplicate. Rows without an id
-    can't be named and stay, as do rows without words.
+    can't be named and stay, as do rows without words. Ids that are no integers are a ValueError, before any work.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer, not {kind}")
     return near_dup.deduplicated(docs, width=5, percent=80)
 
 
@@ -62,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table goes as soon as the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = written(stage(spark, docs, sf_dir), name)
+        drop_written(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

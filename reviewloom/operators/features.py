@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import porter
 from ..functions.text import path_prefixes
-from ..sources.scratch import drop_written, salted_join, written
+from ..sources.scratch import drop_written, reads, salted_join, written
 from .components import BROADCAST_TERMS, principal_components, sparse_vectors
 
 
@@ -34,7 +34,7 @@ def stemmed(tf: DataFrame) -> DataFrame:
         got = tf.join(F.broadcast(stems), "term")
     else:
         got = salted_join(tf, stems, ["term"], "df", tf.count())
-    return got.groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return reads(got.groupBy("doc", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf")), tf, stems)
 
 
 def _weighed(tf: DataFrame, weight, df: DataFrame | None = None, n: int | None = None) -> DataFrame:
@@ -49,13 +49,13 @@ def _weighed(tf: DataFrame, weight, df: DataFrame | None = None, n: int | None =
         got = tf.join(F.broadcast(df), "term")
     else:
         got = salted_join(tf, df, ["term"], "df", tf.count())
-    return got.withColumn("n", F.lit(n)).select("doc", "term", weight.alias("w"))
+    return reads(got.withColumn("n", F.lit(n)).select("doc", "term", weight.alias("w")), tf, df)
 
 
 def _unit(raw: DataFrame) -> DataFrame:
-    """Vectors of unit length."""
+    """Vectors of unit length; weights of 0 go."""
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return raw.withColumn("w", F.col("w") / length)
+    return reads(raw.where("w > 0").withColumn("w", F.col("w") / length), raw)
 
 
 def tfidf_plain(tf: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def tfidf_plain(tf: DataFrame) -> DataFrame:
 
 def tfidf(tf: DataFrame) -> DataFrame:
     """(doc, term, w): tf * log2(N / df), of unit length in each document; terms of all documents weigh 0 and go."""
-    return _unit(_weighed(tf, F.col("tf") * F.log2(F.col("n") / F.col("df"))).where("w > 0"))
+    return _unit(_weighed(tf, F.col("tf") * F.log2(F.col("n") / F.col("df"))))
 
 
 def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -125,7 +125,9 @@ def tfidf_of_parts(words: DataFrame) -> DataFrame:
     n = words.count()
     tf = words.select("doc", "part", F.explode("ws").alias("term")).groupBy("doc", "part", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return _unit(_weighed(tf.groupBy("doc", "term").agg(F.sum("tf").alias("tf")), F.col("tf") * F.log2(F.col("n") / F.col("df")), df, n).where("w > 0"))
+    got = _unit(_weighed(tf.groupBy("doc", "term").agg(F.sum("tf").alias("tf")), F.col("tf") * F.log2(F.col("n") / F.col("df")), df, n))
+    drop_written(words)
+    return got
 
 
 def reduced(vectors: DataFrame, labels: DataFrame, share: float = 0.95, min_df: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from ..sources.readers import dense_numbers
-from ..sources.scratch import drop_written, salted_join, written
+from ..sources.scratch import drop_written, reads, salted_join, written
 
 
 def add_nodes(rows: DataFrame) -> DataFrame:
@@ -16,6 +16,23 @@ def add_nodes(rows: DataFrame) -> DataFrame:
     return dense_numbers(first, "id", "ord", "type", "key").select(F.col("id").cast("long").alias("id"), "type", "key")
 
 
+def overwrite_nodes(rows: DataFrame) -> DataFrame:
+    """(key, value, num_nodes): nodes added without a look at those that are there (ord, key, value): the last value of a key stays, num_nodes counts every add."""
+    last = rows.groupBy("key").agg(F.max_by("value", "ord").alias("value"))
+    return last.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("num_nodes"))))  # one row
+
+
+def node_keys(nodes: DataFrame, kind: str) -> DataFrame:
+    """Keys of the nodes (id, type, key) of a kind."""
+    return nodes.where(F.col("type") == kind).select("key")
+
+
+def printed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A line of text for each node (id, type, key) and each edge (type, u, v, weight)."""
+    weight = F.format_string("%.2f", F.col("weight"))
+    return nodes.select(F.concat_ws(" ", F.lit("node"), "id", "type", "key").alias("line")).unionAll(edges.select(F.concat_ws(" ", F.lit("edge"), "type", "u", "v", weight)))
+
+
 def calls_summary(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and the largest cost of ordered calls (ord, src, dst, cost, r_cnt).
 
@@ -123,9 +140,7 @@ def communities(edges: DataFrame, rounds: int = 20, seed: int = 1) -> DataFrame:
         if idle == 2:
             break
     drop_written(both)
-    out = label.select("node", "community")
-    out._reviewloom_path = label._reviewloom_path
-    return out
+    return reads(label.select("node", "community"), label)
 
 
 def louvain(edges: DataFrame, start: DataFrame | None = None, rounds: int = 8) -> tuple[DataFrame, float]:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_written, salted_join, ship, written
+from ..sources.scratch import drop_written, reads, salted_join, ship, written
 
 #: weights of experience, response and activity
 SCORE = (0.4, 0.2, 0.4)
@@ -107,12 +107,16 @@ def line_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def surface_fit(rows: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
-    """One row (b0, b1, b2) of y = b0 + b1 * x1 + b2 * x2 squared, from covariances: one pass, no model fit."""
+    """One row (b0, b1, b2) of y = b0 + b1 * x1 + b2 * x2 squared, from covariances: one pass, no model fit.
+
+    Nulls where the rows don't determine a surface (fewer than three points, or x1 and x2 squared on a line).
+    """
     t = rows.select(F.col(x1).cast("double").alias("a"), (F.col(x2) * F.col(x2)).cast("double").alias("b"), F.col(y).cast("double").alias("y"))
     c = lambda p, q: F.covar_pop(p, q).alias(p + q)
     s = t.agg(c("a", "a"), c("a", "b"), c("b", "b"), c("a", "y"), c("b", "y"), *[F.avg(v).alias(f"m{v}") for v in "aby"])
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    b1, b2 = (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / det, (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / det
+    over = F.when(F.abs(det) > 1e-12 * F.col("aa") * F.col("bb"), det)
+    b1, b2 = (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / over, (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / over
     return s.select((F.col("my") - b1 * F.col("ma") - b2 * F.col("mb")).alias("b0"), b1.alias("b1"), b2.alias("b2"))
 
 
@@ -180,7 +184,7 @@ def latent_factors(ratings: DataFrame, rank: int = 5, step: float = 0.1, reg: fl
     got = salted_join(rows, side("p", "u", "_p"), ["u"], "_np", n)
     got = salted_join(got, side("q", "i", "_q"), ["i"], "_nq", n)
     dot = F.aggregate(F.zip_with("_p", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return got.select("user", "item", "rate", dot.alias("prediction"))
+    return reads(got.select("user", "item", "rate", dot.alias("prediction")), rows, factors)
 
 
 def best_on_grid(grid: DataFrame, value) -> DataFrame:
@@ -201,7 +205,7 @@ def undominated(points: DataFrame, a: str, b: str) -> DataFrame:
     inner = Window.partitionBy("_p").orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
     front = best.join(F.broadcast(least), "_p").withColumn("_m", F.least(F.min(b).over(inner), "_before"))  # a row for each range
     front = front.where(F.col("_m").isNull() | (F.col(b) < F.col("_m"))).select(a, b)
-    return points.join(front, [a, b], "left_semi")
+    return reads(points.join(front, [a, b], "left_semi"), best)
 
 
 def constrained_points(points: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import epoch_ms_text
-from ..sources.schemas import PATH_ROW, ROUND_ROW
+from ..sources.schemas import IDENTITY, PATH_ROW, ROUND_ROW
 
 
 def follow_edges(replies: DataFrame) -> DataFrame:
@@ -78,6 +78,16 @@ def with_commit_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.join(rows.select("commit_sha").distinct(), "commit_sha", "left_semi"), "commit_sha", "left")
 
 
+def one_of_each(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of an entity without repeats of its identity key (IDENTITY); of repeats any one stays, as their other columns are read from the same reply."""
+    return rows.dropDuplicates(list(IDENTITY[kind]))
+
+
+def request_files(requests: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """(request, filename) once each: requests (request) with the files (commit, filename) of their commits (request, commit)."""
+    return requests.select("request").join(commits.select("request", "commit"), "request").join(files.select("commit", "filename"), "commit").select("request", "filename").distinct()
+
+
 def report_values(cells: DataFrame, cid: str = "whole", most: int = 12) -> DataFrame:
     """(sheet, period, modularity, entropy, top1, top3, top5) of report sheets (sheet, row_idx, c0 ... c6): blocks of 18 rows.
 

@@ -146,10 +146,23 @@ def labelled_path_features(spark, sf):
 
 @query()
 def pca_path_features(spark, sf):
-    got = features.reduced(features.tfidf(_tf(spark, sf)), _labels(spark, sf))
+    vectors = features.tfidf(_tf(spark, sf))
+    got = features.reduced(vectors, _labels(spark, sf))
+    scratch.drop_written(vectors)
     return got.select("doc", "label", F.size("parts").cast("long").alias("n_parts"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round("kept", 6).alias("kept"))
 
 
+@query("""WITH f AS (SELECT l_orderkey AS doc, (l_orderkey % 5 = 0)::INT AS label, count(*)::DOUBLE AS x, avg(l_quantity) / 10 AS y FROM lineitem GROUP BY ALL),
+c AS (SELECT avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) AS a FROM f WHERE label = 0)
+SELECT doc, label, round(abs((x - mx) * cos(a) + (y - my) * sin(a)), 4) AS first, round(abs((y - my) * cos(a) - (x - mx) * sin(a)), 4) AS second FROM f, c""")
+def pca_two_features(spark, sf):
+    """Two features of each order, fitted on the rows of label 0 and applied to all: compared with the closed form for two dimensions."""
+    per = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.count(F.lit(1)).cast("double").alias("x"), (F.avg("l_quantity") / 10).alias("y"))
+    rows = per.select("doc", (F.col("doc") % 5 == 0).cast("int").alias("label"), F.array(F.lit(0), F.lit(1)).alias("indices"), F.array("x", "y").alias("values"))
+    part = lambda i, name: F.round(F.abs(F.col("parts")[i]), 4).alias(name)
+    return components.principal_components(rows, 2, share=0.9999999).select("doc", "label", part(0, "first"), part(1, "second"))
+
+
 _MICRO = "string_agg(round(w * 1000000)::BIGINT::VARCHAR, ',' ORDER BY pos)"
 
 
@@ -158,7 +171,9 @@ dict AS (SELECT term, (row_number() OVER (ORDER BY md5(term)[1:3], term) - 1)::I
 c AS (SELECT doc, count(*) AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS indices, {_MICRO} AS millionths FROM v JOIN dict USING (term) GROUP BY doc)
 SELECT doc, label, (SELECT count(*) FROM dict)::INT AS size, coalesce(n, 0) AS n, coalesce(indices, '') AS indices, coalesce(millionths, '') AS millionths FROM (SELECT DISTINCT doc, label FROM v) LEFT JOIN c USING (doc)""")
 def sparse_path_features(spark, sf):
-    got, _ = components.sparse_vectors(features.tfidf(_tf(spark, sf)), _labels(spark, sf))
+    vectors = features.tfidf(_tf(spark, sf))
+    got, _ = components.sparse_vectors(vectors, _labels(spark, sf))
+    scratch.drop_written(vectors)
     millionths = F.transform("values", lambda w: F.round(w * 1000000).cast("long").cast("string"))
     return got.select("doc", "label", "size", F.size("indices").cast("long").alias("n"), F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), F.array_join(millionths, ",").alias("millionths"))
 
@@ -196,7 +211,10 @@ def porter_stems(spark, sf):
 
 @query(f"WITH {_WORD_TF}, tf AS (SELECT doc, stem AS term, sum(tf) AS tf FROM wf JOIN stems USING (word) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc) AS n FROM tf), {_TFIDF} SELECT doc, term, round(w, 6) AS w FROM vec")
 def text_tfidf_stemmed(spark, sf):
-    return features.tfidf(features.stemmed(_text_tf(_words(spark, sf)))).select("doc", "term", r6("w"))
+    stemmed = features.stemmed(_text_tf(_words(spark, sf)))
+    got = features.tfidf(stemmed)  # which has written the counts by stem
+    scratch.drop_written(stemmed)
+    return got.select("doc", "term", r6("w"))
 
 
 # ---- scalars and shaping
@@ -389,7 +407,7 @@ def best_neighbour(spark, sf):
 
 @query(f"WITH {_CALLS} SELECT 'author-reviewer' AS type, src AS u, dst AS v, round(sum(cost), 2) AS weight FROM calls GROUP BY ALL")
 def edge_accumulate(spark, sf):
-    edges = _calls(spark, sf).select("ord", F.lit(schemas.CALL_EDGE).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
+    edges = _calls(spark, sf).select("ord", F.lit(schemas.EDGE_KINDS[3]).alias("type"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("cost").alias("weight"), F.lit("").alias("description"))
     return graphs.accumulate(edges).select("type", "u", "v", F.round("weight", 2).alias("weight"))
 
 
@@ -412,7 +430,9 @@ _INC = "inc AS (SELECT DISTINCT l_orderkey AS edge_id, l_suppkey AS node_id FROM
 
 @query(f"WITH {_INC}, gone AS (SELECT edge_id FROM sz WHERE size <= 2 AND edge_id IN (SELECT edge_id FROM inc WHERE node_id = 7)) SELECT edge_id, node_id FROM inc WHERE node_id <> 7 AND edge_id NOT IN (SELECT edge_id FROM gone)")
 def remove_node(spark, sf):
-    return graphs.remove_node(_incidence(spark, sf), 7)[0]
+    left, nodes, edges = graphs.remove_node(_incidence(spark, sf), 7)
+    scratch.drop_written(nodes, edges)
+    return left
 
 
 @query(f"WITH {_INC} SELECT node_id AS id, 'node' AS kind, degree FROM dg UNION ALL SELECT edge_id, 'edge', size::DOUBLE FROM sz")
@@ -628,7 +648,9 @@ def json_array_file(spark, sf):
     o.join(F.broadcast(first.select("k")), F.col("o_orderkey") > F.col("k")).select(F.concat(F.lit(","), row).alias("value")).write.text(parts + "-b")  # one row
     spark.range(1).select(F.lit("]").alias("value")).coalesce(1).write.text(parts + "-c")
     writers.merged(spark, [parts + "-a", parts + "-b", parts + "-c"], path)
-    return readers.json_array(spark, path, schemas.CHANGE_DATASET).select("changeNumber", "timestamp", F.col("reviewers")[0]["name"].alias("reviewer"), F.col("filePaths")[0]["location"].alias("location"))
+    got = readers.json_array(spark, path, schemas.CHANGE_DATASET)  # which has written its pieces
+    scratch.drop_path(spark, path)
+    return got.select("changeNumber", "timestamp", F.col("reviewers")[0]["name"].alias("reviewer"), F.col("filePaths")[0]["location"].alias("location"))
 
 
 @query("SELECT p_name AS value FROM part WHERE p_name <> ''")
@@ -653,7 +675,9 @@ def _segmented(spark, sf) -> DataFrame:
     path = _landed(spark, "corpus")
     line = F.concat(F.lit("id"), "n_nationkey", F.lit(" "), F.regexp_replace("n_name", " ", "_"), F.lit("/ns to/p [San_/n Jose/n]ns\n"))
     t(spark, sf, "nation").orderBy("n_nationkey").select(line).coalesce(1).write.text(path)  # 25 lines
-    return readers.corpus(spark, path)
+    got = readers.corpus(spark, path)
+    scratch.drop_path(spark, path)
+    return got
 
 
 @query(f"WITH {_SEGMENTED} SELECT line_no, replace(name, ' ', '_') || '/ns to/p [San_/n Jose/n]ns' AS words FROM seg")
@@ -677,7 +701,9 @@ def _corpus_files(spark, sf) -> DataFrame:
     line = F.when(k % 7 == 3, F.lit("id")).otherwise(F.concat(F.lit(" id"), k, F.lit(" k"), k, F.lit("/ns  "), F.regexp_replace("o_orderpriority", " ", "_"), F.lit("/n")))
     rows = t(spark, sf, "orders").select(line.alias("value"), part.alias("part"), "o_orderkey").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
     rows.select("value", "part").write.partitionBy("part").text(path)
-    return readers.corpus(spark, path)
+    got = readers.corpus(spark, path)  # which has written its lines
+    scratch.drop_path(spark, path)
+    return got
 
 
 @query(f"WITH {_LINES} SELECT line_no, words, line_no % 5 = 0 AS is_test FROM lines")
@@ -691,9 +717,13 @@ def corpus_files(spark, sf):
 def tagged_test_file(spark, sf):
     """The test lines of the corpus, tagged, written and read back: the order of all lines is compared. (Empty lines between sentences count, but aren't returned.)"""
     path, tags = _landed(spark, "tagged"), tagging.tags_udf()
-    _, test = readers.every_nth(_corpus_files(spark, sf))
+    corpus = _corpus_files(spark, sf)
+    _, test = readers.every_nth(corpus)
     writers.write_tagged(test.select("line_no", tags("words").alias("tags")), path)
-    return readers.ordered_lines(spark, path).where("value <> ''")
+    scratch.drop_written(corpus)
+    got = readers.ordered_lines(spark, path)
+    scratch.drop_path(spark, path)
+    return got.where("value <> ''")
 
 
 @query("SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, o_orderkey FROM orders")
@@ -822,6 +852,48 @@ def neighbours(spark, sf):
     return graphs.neighbours(graphs.calls_summary(_calls(spark, sf))[1], spark.createDataFrame([("c1",), ("c7",), ("c13",), ("none",)], "node string"))
 
 
+@query(f"WITH {_CALLS}, e AS (SELECT src, dst, arg_max(cost, ord) AS weight, min(ord) AS ord FROM calls GROUP BY ALL) SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, ord) AS n FROM e WHERE NOT (length(src) + length(dst)) % 2 = 0) WHERE n = 1")
+def best_unmarked_neighbour(spark, sf):
+    edges = graphs.calls_summary(_calls(spark, sf))[1]
+    return graphs.best_neighbour(edges, edges.where("(length(src) + length(dst)) % 2 = 0").select("src", "dst"))
+
+
+@query(f"WITH {_CALLS} SELECT dst AS key, arg_max(cost, ord) AS value, (SELECT count(*) FROM calls) AS num_nodes FROM calls GROUP BY dst")
+def nodes_overwritten(spark, sf):
+    return graphs.overwrite_nodes(_calls(spark, sf).select("ord", F.col("dst").alias("key"), F.col("cost").alias("value")))
+
+
+@query("SELECT n_name AS key FROM nation")
+def node_keys(spark, sf):
+    return graphs.node_keys(_nodes(spark, sf), "nation")
+
+
+@query(f"WITH {_NODES}, {_SUMMED} SELECT 'node ' || id || ' ' || type || ' ' || key AS line FROM nodes UNION ALL SELECT 'edge trade ' || u || ' ' || v || ' ' || printf('%.2f', w) FROM e".replace(", WITH", ","))
+def graph_lines(spark, sf):
+    edges = _nation_edges(spark, sf).groupBy("u", "v").agg(F.sum("weight").alias("weight")).withColumn("type", F.lit("trade"))
+    return graphs.printed(_nodes(spark, sf), edges)
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT o_custkey AS request, filename FROM orders JOIN files ON pr = o_orderkey JOIN customer ON c_custkey = o_custkey")
+def request_files(spark, sf):
+    requests = t(spark, sf, "customer").select(F.col("c_custkey").alias("request"))
+    commits = t(spark, sf, "orders").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("commit"))
+    return shaping.request_files(requests, commits, _files(spark, sf).withColumnRenamed("pr", "commit"))
+
+
+@query(f"WITH {_PAIRS} SELECT c AS login, s AS following_login FROM pairs")
+def follow_edges_once(spark, sf):
+    """Follow edges that two replies tell of, once by their identity key."""
+    return shaping.one_of_each(follow_edges(spark, sf), "follow")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + l_tax AS x, l_discount + l_linenumber AS y FROM lineitem")
+def struct_sums(spark, sf):
+    pair = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).cast("double").alias("y")))
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.add_structs(pair("l_quantity", "l_discount"), pair("l_tax", "l_linenumber"), ["x", "y"])[0].alias("s"))
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "s.x", "s.y")
+
+
 @query(f"WITH {_CALLS}, e AS (SELECT src, dst, arg_max(cost, ord) AS weight FROM calls GROUP BY ALL), p AS (SELECT 'c' || c_custkey AS src, 's' || (c_custkey % 10 + 1) AS dst FROM customer) SELECT p.src, p.dst, weight IS NOT NULL AS held, weight FROM p LEFT JOIN e ON e.src = p.src AND e.dst = p.dst")
 def edge_weights(spark, sf):
     pairs = t(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("s"), F.col("c_custkey") % 10 + 1).alias("dst"))

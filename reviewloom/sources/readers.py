@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import schemas
-from .scratch import written
+from . import schemas, scratch
+from .scratch import reads, written
 
 
 def pull_requests(table: DataFrame, project: str, limit: int | None = 20) -> DataFrame:
@@ -51,6 +51,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     pieces = spark.read.option("lineSep", "}").text(path)
     pieces = written(pieces.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")), "pieces")
     count = lambda c, pattern: F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    small = _by_size(pieces)
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escapes
 
     def depth(text: Column) -> Column:
@@ -73,7 +74,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     blocks = blocks.withColumn("_depth", F.coalesce(F.sum(F.when(F.col("_s") == 0, F.col("_a0")).otherwise(F.col("_a1"))).over(earlier), F.lit(0)))
     # elements of an array stand at depth 1, an object alone at 0
     blocks = blocks.withColumn("_base", F.first(F.ltrim(F.substring("_v", 1, 100)).startswith("[").cast("int")).over(files)).select("_file", "_start", "_s", "_depth", "_base")
-    placed = odd.join(F.broadcast(blocks), ["_file", "_start"])
+    placed = odd.join(small(blocks), ["_file", "_start"])
     add = F.when(F.col("_s") == 0, F.col("_add0")).otherwise(F.col("_add1"))
     at_depth = F.col("_depth") + F.coalesce(F.sum(add).over(before), F.lit(0))
     begins = (inside(F.col("_s")) == 0) & ((at_depth == F.col("_base")) | (at_depth == 0))
@@ -81,13 +82,13 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     marks = marks.withColumn("_first", F.last("_first", ignorenulls=True).over(block))
     last = marks.groupBy("_file", "_start").agg(F.max("_first").alias("_l"))
     last = last.select("_file", "_start", F.last("_l", ignorenulls=True).over(earlier).alias("_carried"))
-    element = marks.join(F.broadcast(last), ["_file", "_start"]).withColumn("_first", F.coalesce("_first", "_carried"))
+    element = marks.join(small(last), ["_file", "_start"]).withColumn("_first", F.coalesce("_first", "_carried"))
     parts = F.array_sort(F.collect_list(F.struct("_start", "_at", "value")))
     text = F.concat(F.array_join(F.transform(parts, lambda x: x["value"]), "}"), F.lit("}"))
     text = F.regexp_replace(text, r"^[\s\[,]*", "")
     whole = element.groupBy("_file", "_first").agg(text.alias("j")).where(~F.col("j").rlike(r"^\]?\s*\}$"))
     checked = F.when(F.col("j").startswith("{"), F.col("j")).otherwise(F.raise_error(F.lit("a member of the array is no object")))
-    return whole.select(F.from_json(checked, schema).alias("r")).select("r.*")
+    return reads(whole.select(F.from_json(checked, schema).alias("r")).select("r.*"), pieces)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -112,8 +113,13 @@ def ordered_lines(spark: SparkSession, path: str, keep: Column | None = None) ->
     got = written((lines if keep is None else lines.where(keep)).select("value", "_file", "_start", at), "lines")
     blocks = got.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    starts = blocks.select("_file", "_start", (before - F.col("_first")).alias("_shift"))  # a row for each block of a file
-    return got.join(F.broadcast(starts), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("line_no"), "value")
+    starts = blocks.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    return reads(got.join(_by_size(got)(starts), ["_file", "_start"]).select((F.col("_at") + F.col("_shift")).alias("line_no"), "value"), got)
+
+
+def _by_size(rows: DataFrame):
+    """How to join a table of a row for each block of a file to rows: broadcast up to SMALL_ROWS of them; beyond, each block's rows meet in a task, as when it was read."""
+    return F.broadcast if rows.select("_file", "_start").distinct().count() <= scratch.SMALL_ROWS else (lambda df: df)
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -122,7 +128,8 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered without gaps over those with a word, in the order of the files' paths and of the lines in them.
     """
     words = F.filter(F.split(F.trim("value"), r"\s+"), lambda w: w != "")
-    return ordered_lines(spark, path, keep=F.size(words) > 1).select("line_no", F.slice(words, 2, 1_000_000_000).alias("words"))
+    lines = ordered_lines(spark, path, keep=F.size(words) > 1)
+    return reads(lines.select("line_no", F.slice(words, 2, 1_000_000_000).alias("words")), lines)
 
 
 def every_nth(lines: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +153,8 @@ def numbered(rows: DataFrame, at: str) -> DataFrame:
 def dense_numbers(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """Adds `name`: 0, 1, ... in a total order. Rows are sorted by ranges; no task sorts them all."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return numbered(written(dealt, "ranges"), "_at").drop("_at").withColumnRenamed("line_no", name)
+    ranges = written(dealt, "ranges")
+    return reads(numbered(ranges, "_at").drop("_at").withColumnRenamed("line_no", name), ranges)
 
 
 def report_cells(spark: SparkSession, path: str, columns: int = 7) -> DataFrame:

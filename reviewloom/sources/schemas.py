@@ -32,5 +32,11 @@ TRAIN_ROW = (
 #: our names of a reviewer's file row, and of rounds with the changes that follow them
 PATH_ROW = ("project", "request", "opened", "reviewer", "commit", "file")
 ROUND_ROW = ("request", "round", "change", "round_position", "change_position")
-#: our name of the edges between authors and reviewers
-CALL_EDGE = "author-reviewer"
+#: our names of the kinds of nodes and edges
+NODE_KINDS = ("pr", "reviewer", "author")
+EDGE_KINDS = ("pr-pr", "pr-reviewer", "pr-author", "author-reviewer", "reviewer-reviewer")
+#: columns that tell the rows of an entity apart
+IDENTITY = {
+    "blob": ("repository", "oid"), "tree": ("repository", "parent_oid", "child_oid"), "round": ("request", "round", "change"),
+    "follow": ("login", "following_login"), "watch": ("login", "repo_full_name"),
+}

@@ -58,10 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._reviewloom_path = path
+    out._reviewloom_paths = (path,)
     return out
 
 
+def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, noted as a lazy result that reads written tables (or such results): drop_written(df) deletes them."""
+    df._reviewloom_paths = tuple(p for t in tables for p in getattr(t, "_reviewloom_paths", ()))
+    return df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,10 +75,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def drop_written(*tables: DataFrame | None) -> None:
-    """Delete tables made by `written` that no later plan reads."""
+    """Delete tables made by `written`, or those that a result noted by `reads` reads, that no later plan needs."""
     for df in tables:
-        path = getattr(df, "_reviewloom_path", None)
-        if path:
+        for path in getattr(df, "_reviewloom_paths", ()):
             drop_path(df.sparkSession, path)
 
 

@@ -8,6 +8,7 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .schemas import NODE_KINDS
 from .scratch import drop_path
 
 
@@ -108,8 +109,9 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
 
 def plot_nodes(nodes: DataFrame) -> DataFrame:
     """Adds size and colour by node type, for a plot."""
-    size = F.when(F.col("type") == "pr", 100).otherwise(300)
-    colour = F.when(F.col("type") == "pr", "r").when(F.col("type") == "reviewer", "b").otherwise("g")
+    pr, reviewer, _ = NODE_KINDS
+    size = F.when(F.col("type") == pr, 100).otherwise(300)
+    colour = F.when(F.col("type") == pr, "r").when(F.col("type") == reviewer, "b").otherwise("g")
     return nodes.withColumn("size", size).withColumn("colour", colour)
 
 

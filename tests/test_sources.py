@@ -59,8 +59,10 @@ def small_parts(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_lines_of_many_files_in_order(spark, tmp_path, small_parts):
-    """Files of unequal size, each in several parts, packed by size: numbers follow the paths, then the lines."""
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_lines_of_many_files_in_order(spark, tmp_path, small_parts, monkeypatch, rows):
+    """Files of unequal size, each in several parts, packed by size: numbers follow the paths, then the lines; blocks broadcast or not."""
+    monkeypatch.setattr(scratch, "SMALL_ROWS", rows)
     want = []
     for name, n in (("a", 2), ("b", 2000), ("c", 200), ("d", 0), ("e", 1)):
         lines = [f"id{i} {name}{i}" if i % 4 != 1 else ["", "id", " \t "][i % 3] for i in range(n)]
