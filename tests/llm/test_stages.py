@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+import pytest
+
 from reviewloom.llm import toxicity
 from reviewloom.llm.shared import labelled_sample
 
@@ -61,3 +63,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     shards = collections.Counter(x.shard for x in last)
     assert max(shards.values()) - min(shards.values()) <= 1
     assert all(sorted(x.slot for x in last if x.shard == s) == list(range(n)) for s, n in shards.items())
+
+
+def test_ids_must_be_integers(spark):
+    docs = spark.createDataFrame([("a", "b c d e f", "s")], "doc_id string, text string, source string")
+    with pytest.raises(ValueError, match="integer"):
+        corpus_pipeline.drop_near_duplicates(spark, docs, "")
